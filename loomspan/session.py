@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,8 +42,16 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _show_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is run from a folder and not installed."""
+    home, known = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if home not in known.get("PYTHONPATH", "").split(":"):
+        known["PYTHONPATH"] = ":".join(x for x in (home, known.get("PYTHONPATH", "")) if x)
+
+
 def small_arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the rows of one Arrow batch, so that a Python worker holds megabytes of text and not gigabytes."""
+    _show_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
