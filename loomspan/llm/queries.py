@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.html_text import extract_text
 from loomspan.llm.kd_shards import kd_shards
+from loomspan.llm.near_dedup import near_duplicates
+from loomspan.llm.substring_dedup import without_repeated_windows
+from loomspan.llm.suffix_dedup import without_earlier_strings
 from loomspan.llm.url_filter import Rule, judge_urls
 from loomspan.session import table
 
@@ -25,6 +28,11 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept at a Jaccard similarity of 0.85."""
+    return near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict. The blocklist is a stand-in feed: the keys whose MD5 starts with 0."""
     listed = lambda host, path: F.startswith(F.md5(F.concat(host, path).cast("binary")), F.lit("0"))
@@ -56,10 +64,23 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for strings of 100 bytes."""
+    return without_earlier_strings(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 for windows of 35 words."""
+    return without_repeated_windows(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
+    "op3_near_dedup": op3_near_dedup,
     "op4_url_filter": op4_url_filter,
     "op6_kd_sharding": op6_kd_sharding,
+    "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE_SQL = {
