@@ -69,16 +69,19 @@ class Windows:
 
 
 class Words:
-    """The words of a slice of texts: byte bounds, 64-bit hashes, and the words [first[d], first[d + 1]) of text d."""
+    """The words of a slice of texts: byte bounds, 64-bit hashes, and the words [first[d], first[d + 1]) of text d.
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False):
-        word = ~_IS_SEPARATOR[data]
+    A word is a run of bytes of one class; class 0 separates. Without `classes` all bytes but white space are of one class.
+    """
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False, classes: np.ndarray | None = None):
+        word = ~_IS_SEPARATOR[data] if classes is None else classes[data]
         edge = np.empty(len(data) + 1, dtype=bool)
         edge[1:-1] = word[1:] != word[:-1]
         edge[0] = edge[-1] = True
         edge[bounds] = True
         cuts = np.flatnonzero(edge)
-        inside = word[cuts[:-1]] if len(data) else np.zeros(0, dtype=bool)
+        inside = word[cuts[:-1]].astype(bool) if len(data) else np.zeros(0, dtype=bool)
         self.start, self.end = cuts[:-1][inside], cuts[1:][inside]
         letters = Windows(_UNITS[_LOWER[data] if lower else data])
         self.hash = letters.spans(self.start, self.end)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from loomspan.llm.decontaminate import contaminated
+from loomspan.llm.embedding_dedup import embedding_links
 from loomspan.llm.html_text import extract_text
 from loomspan.llm.kd_shards import kd_shards
 from loomspan.llm.near_dedup import near_duplicates
+from loomspan.llm.packing import pack
+from loomspan.llm.quality import quality
 from loomspan.llm.substring_dedup import without_repeated_windows
 from loomspan.llm.suffix_dedup import without_earlier_strings
 from loomspan.llm.url_filter import Rule, judge_urls
@@ -28,6 +34,11 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept at a Jaccard similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), 85)
@@ -58,12 +69,22 @@ FROM p LEFT JOIN fit f USING (page_id)
 """
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece, in sequences of 1024 tokens."""
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 39 by the law `bytes`, with gapless slots."""
     out = kd_shards(table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id and how they match, for every document that holds a benchmark item."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for strings of 100 bytes."""
     return without_earlier_strings(table(spark, sf_dir, "documents")).drop("kept")
@@ -71,16 +92,26 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for windows of 35 words."""
-    return without_repeated_windows(table(spark, sf_dir, "documents")).drop("kept")
+    return without_repeated_windows(table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept at a cosine of 0.95."""
+    return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_near_dedup": op3_near_dedup,
     "op4_url_filter": op4_url_filter,
+    "op5_packing": op5_packing,
     "op6_kd_sharding": op6_kd_sharding,
+    "op7_decontamination": op7_decontamination,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

@@ -83,46 +83,67 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM)
     return whole.unionByName(single)
 
 
+def _kept(raw: bytes, start: np.ndarray, end: np.ndarray, spans: list[dict]) -> tuple[bytes, int]:
+    """(the words that no span covers, joined by one space, how many are covered) of a text with words [start, end)."""
+    both = np.array([(s["start"], s["end"]) for s in spans], dtype=np.int64).reshape(-1, 2)
+    gone = np.zeros(len(start) + 1, dtype=np.int64)
+    np.add.at(gone, both[:, 0], 1)
+    np.add.at(gone, both[:, 1], -1)
+    keep = np.cumsum(gone)[:-1] == 0
+    return b" ".join(raw[a:b] for a, b in zip(start[keep].tolist(), end[keep].tolist(), strict=True)), int((~keep).sum())
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans = batch.column("spans")
-        counts, removed, digests, texts = [], [], [], []
+        counts, removed, digests = [], [], []
         for row, end, data, bounds in slices(batch.column("text")):
             words = Words(data, bounds)
             for d in range(end - row):
                 a, b = words.first[d], words.first[d + 1]
-                gone = np.zeros(b - a + 1, dtype=np.int64)
-                mine = spans[row + d].as_py() or ()
-                if mine:
-                    both = np.array([(s["start"], s["end"]) for s in mine], dtype=np.int64)
-                    np.add.at(gone, both[:, 0], 1)
-                    np.add.at(gone, both[:, 1], -1)
-                keep = np.cumsum(gone)[:-1] == 0
+                mine = spans[row + d].as_py()
                 raw = data[bounds[d] : bounds[d + 1]].tobytes()
-                if mine:
-                    base = bounds[d]
-                    kept = b" ".join(raw[s - base : e - base] for s, e in zip(words.start[a:b][keep].tolist(), words.end[a:b][keep].tolist(), strict=True))
-                else:
-                    kept = b" ".join(raw.split())
+                kept, cut = _kept(raw, words.start[a:b] - bounds[d], words.end[a:b] - bounds[d], mine) if mine else (b" ".join(raw.split()), 0)
                 counts.append(int(b - a))
-                removed.append(int((~keep).sum()))
+                removed.append(cut)
                 digests.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept.decode("utf-8", "replace") if removed[-1] else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
-            ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
+            [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())],
+            ["doc_id", "n_words", "n_removed", "kept_sha256"],
         )
 
 
+def _with_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """docs as d, joined with an array `spans` of the word spans that repeat (null: none)."""
+    spans = repeated_word_spans(docs, window, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return docs.alias("d").join(spans.alias("s"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")), "left")
+
+
 def without_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept) of every row of docs (doc_id, text; others are not read).
+    """(doc_id, n_words, n_removed, kept_sha256) of every row of docs (doc_id, text; others are not read).
 
-    Every word covered by a window that also starts anywhere else is removed, in all its places; kept is
-    the text of the words that stay, joined by one space, or null where nothing is removed. Null, empty and
-    blank texts have no words. Rows that repeat a doc_id share their findings, and a repeated row is a copy like any
-    other. An empty table gives no rows.
+    Every word covered by a window that also starts anywhere else is removed, in all its places; the digest is that of
+    the words that stay, joined by one space. Null, empty and blank texts have no words. Rows that repeat a doc_id
+    share their findings, and a repeated row is a copy like any other. An empty table gives no rows.
     """
-    spans = repeated_word_spans(docs, window, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).alias("d")
-    joined = texts.join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left").select("d.doc_id", "d.text", "s.spans")
-    return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    joined = _with_spans(texts, window, gram).select("d.doc_id", "d.text", "s.spans")
+    return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+@F.arrow_udf("string")
+def _rest(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    out: list[str | None] = []
+    for row, end, data, bounds in slices(texts):
+        words = Words(data, bounds)
+        for d in range(end - row):
+            a, b, at = words.first[d], words.first[d + 1], bounds[d]
+            mine = spans[row + d].as_py()
+            out.append(_kept(data[at : bounds[d + 1]].tobytes(), words.start[a:b] - at, words.end[a:b] - at, mine)[0].decode("utf-8", "replace") if mine else texts[row + d].as_py())
+    return pa.array(out, pa.string())
+
+
+def cut_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """docs, all columns, whose text has lost its repeated windows; a text without any stays as it is, white space included."""
+    joined = _with_spans(docs, window, gram)
+    return joined.select(*[_rest(F.col("d.text"), F.col("s.spans")).alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
