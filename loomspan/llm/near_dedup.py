@@ -7,9 +7,8 @@
    and a second one with the chance that makes 1/threshold children the expectation, so that a pair at the
    threshold keeps an expected one common child at every depth.
 3. The members of a node are first linked to its pivot; whatever that joins is one component and
-   is never compared again. Small nodes are then compared exhaustively between components, large ones
-   branch further. A node that is still large at MAX_DEPTH is compared exhaustively too: its sets outside
-   the largest component against all of it.
+   is never compared again. A node with few sets outside its largest component is then compared
+   exhaustively between components; other nodes branch further, and what is left at MAX_DEPTH is compared exhaustively too.
 4. Candidates pass a size bound and a sketch of 128 one-bit minwise hashes, and are then confirmed on
    full sets.
 """
@@ -169,11 +168,16 @@ def _exhaustive(rows: DataFrame, percent: int) -> DataFrame:
     return a.join(b, on).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
 
 
+def _with_main(rows: DataFrame) -> DataFrame:
+    """rows with `main`, the largest component of their node, and `others`, how many of the node's sets lie outside it."""
+    sizes = rows.groupBy("node", "component").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("node").agg(F.max_by("component", F.struct("c", "component")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
+    return rows.join(main, "node")
+
+
 def _against_minority(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs between components of a node, whose larger side is only read and never multiplied by itself."""
-    sizes = rows.groupBy("node", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("node").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    a, b = rows.join(main, "node").where("component <> main").alias("a"), rows.alias("b")
+    a, b = rows.where("component <> main").alias("a"), rows.alias("b")
     on = (F.col("a.node") == F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _alike("a", "b", percent)
     return a.join(b, on).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
 
@@ -208,15 +212,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE, tr
 
     pairs = None
     for depth in range(1, MAX_DEPTH + 1):
-        live = materialise(_members(rows, component)[0].drop("pivot"), "live")
-        small = live.where(F.col("size") <= SMALL)
-        fresh = _exhaustive(small, percent)
-        large = live.where(F.col("size") > SMALL)
-        more = large.limit(1).count() > 0
-        if more and depth == MAX_DEPTH:
-            fresh = fresh.union(_against_minority(large, percent))
+        live = materialise(_with_main(_members(rows, component)[0].drop("pivot")), "live")
+        settled = live if depth == MAX_DEPTH else live.where(F.col("others") <= SMALL)
+        fresh = _exhaustive(settled.where(F.col("size") <= SMALL), percent).union(_against_minority(settled.where(F.col("size") > SMALL), percent))
         pairs = fresh if pairs is None else pairs.union(fresh)
-        if not more or depth == MAX_DEPTH:
+        large = live.where(F.col("others") > SMALL)
+        if depth == MAX_DEPTH or not large.limit(1).count():
             break
         deeper = large.select("node", "rep", "n", "s1", "s2").join(reps.select("rep", "sig"), "rep").select("node", "rep", "n", "s1", "s2", "sig")
         rows = materialise(deeper.mapInArrow(_children(percent / 100), walk), "walk")
