@@ -10,9 +10,13 @@ unused. Only the last sequence of a shard has padding.
 
 from __future__ import annotations
 
+import base64
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,51 +30,69 @@ SIZE = 1024
 SHARD_ROWS = 2000
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
 VOCABULARY = 50_257
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Tokenizer:
-    """Token ids of whole texts. A byte-level BPE never joins two pre-tokens, so the ids of frequent ones are remembered.
+#: Characters for which Python's own `re` and the tokenizer's pattern agree on what a letter, a digit and white space is.
+_UNUSUAL = re.compile("[^\\t\\n\\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018-\u201e\u2026\u20ac]")
+_PLAIN_SPLIT = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
-    pattern: the tokenizer's own pre-token pattern. It cuts exactly where the tokenizer does, and what it
-    cuts is encoded by the tokenizer itself.
-    """
 
-    def __init__(self, path: str, pattern: str):
-        import os
+class Tokenizer(dict):
+    """Token ids of whole texts, as little-endian 16-bit numbers. A byte-level BPE never joins two pre-tokens, so the
+    ids of frequent ones are remembered: this is the dictionary of known pre-tokens, and a missing one is encoded when it is asked for.
 
-        import regex
+    Texts with characters outside the common Latin ones are encoded whole by the tokenizer. ranks: the same vocabulary as
+    merge ranks, which encodes single pre-tokens several times faster; without it the tokenizer itself does.
+    """
 
+    def __init__(self, path: str, ranks: str | None, pattern: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Fast
 
         self.fast = Fast.from_file(path)
         self.fast.encode_special_tokens = True
-        self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.one = self._ids
+        if ranks:
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+
+    def _ids(self, text: str) -> list[int]:
+        return self.fast.encode(text, add_special_tokens=False).ids
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("H", self.one(word)).tobytes()
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = ids
+        return ids
 
     def __call__(self, text: str) -> np.ndarray:
-        words = self.split(text)
-        known = self.known
-        if missing := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                missing = list(dict.fromkeys(words))
-            for w, e in zip(missing, self.fast.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                known[w] = tuple(e.ids)
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), dtype=np.uint32)
+        if _UNUSUAL.search(text):
+            return np.array(self._ids(text), dtype="<u2")
+        return np.frombuffer(b"".join(map(self.__getitem__, _PLAIN_SPLIT.findall(text))), dtype="<u2")
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str, ranks: str | None, pattern: str) -> Tokenizer:
+    """One for all tasks of a worker process."""
+    return Tokenizer(path, ranks, pattern)
 
 
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _tokenised(path: str, pattern: str, size: int, end_id: int):
+def _tokenised(path: str, ranks: str | None, pattern: str, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Tokenizer(path, pattern)
+        encode = _tokenizer(path, ranks, pattern)
         sequence = (TaskContext.get().partitionId() << 36) + (1 << 35)
         seen, docs, total = np.zeros(VOCABULARY, dtype=np.int64), 0, 0
         kinds = [pa.int64()] * 6 + [pa.binary(), pa.binary()]
@@ -78,7 +100,7 @@ def _tokenised(path: str, pattern: str, size: int, end_id: int):
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(encode(text or ""), np.uint32(end_id))
+                ids = np.append(encode(text or ""), np.uint16(end_id))
                 seen[np.unique(ids)] += 1
                 docs += 1
                 total += len(ids)
@@ -86,7 +108,7 @@ def _tokenised(path: str, pattern: str, size: int, end_id: int):
                     out.append((doc_id, start, size, _crc(ids[start : start + size]), len(ids), sequence, None, None))
                     sequence += 1
                 if rest := len(ids) % size:
-                    out.append((doc_id, len(ids) - rest, rest, None, len(ids), None, ids[len(ids) - rest :].astype("<u2").tobytes(), None))
+                    out.append((doc_id, len(ids) - rest, rest, None, len(ids), None, ids[len(ids) - rest :].tobytes(), None))
             columns = list(zip(*out, strict=True)) or [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
         if docs:
@@ -172,10 +194,11 @@ def _pack(sent, size: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, pattern: str, size: int = SIZE, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, ranks: str | None, pattern: str, size: int = SIZE, end_id: int = 0) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) that hold every token id of docs exactly once.
 
-    tokenizer: a byte-level BPE file that every executor can read; pattern: its pre-token pattern. A document is its ids followed by end_id; a null or
+    tokenizer: a byte-level BPE file that every executor can read; ranks: the same vocabulary as merge ranks, or None;
+    pattern: its pre-token pattern. A document is its ids followed by end_id; a null or
     empty text is end_id alone. Only doc_id and text are read; repeated and null doc_ids are documents of their own. An
     empty table gives no rows. Equal tails are ordered by doc_id, so the result does not depend on the order of rows.
     """
@@ -183,7 +206,7 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, size: int = SIZE, end_id
     small_arrow_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, tail binary, seen binary"
-    cut = materialise(texts.mapInArrow(_tokenised(tokenizer, pattern, size, end_id), schema), "pieces")
+    cut = materialise(texts.mapInArrow(_tokenised(tokenizer, ranks, pattern, size, end_id), schema), "pieces")
     counts = cut.where("seen IS NOT NULL")
     total = counts.agg(F.sum("start"), F.sum("length")).first()
     documents, tokens = int(total[0] or 0), int(total[1] or 0)

@@ -71,7 +71,7 @@ FROM p LEFT JOIN fit f USING (page_id)
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece, in sequences of 1024 tokens."""
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
