@@ -50,7 +50,7 @@ def points(docs: DataFrame) -> DataFrame:
     dims = [
         F.col("d0"),
         F.col("d1"),
-        F.log2(F.col("size").cast("double")) / F.lit(max(4.0, float(big or 16).bit_length())),
+        F.log2(F.col("size").cast("double")) / F.lit(float(max(4, int(big or 16).bit_length()))),
         F.coalesce(_unit(F.col("doc_id").cast("double"), float(low or 0), float(high or 0)), F.lit(0.0)),
     ]
     keys = [(F.least(F.floor(F.greatest(d, F.lit(0.0)) * F.lit(2.0**LOW_BITS)).cast("long"), F.lit(2**LOW_BITS - 1)) * F.lit(2**LOW_BITS) + jitter).alias(f"k{i}") for i, d in enumerate(dims)]

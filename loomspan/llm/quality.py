@@ -3,7 +3,7 @@
 A token is a run of letters and digits or a run of other visible characters, so that marks stuck to words
 are seen. Single tokens and pairs of neighbours (all pairs of equal neighbours are one feature) are hashed to
 2**BITS weights, with damped counts and unit length. FTRL-Proximal
-runs in SHARDS tasks over a bounded sample of labelled rows, where the rarer label weighs more by the root of its rarity;
+runs in up to SHARDS tasks over a bounded sample of labelled rows, where the rarer label weighs more by the root of its rarity;
 the shards' weights are averaged. Every
 text is then scored by one sparse dot product in a narrow map over the documents.
 """
@@ -24,6 +24,7 @@ from loomspan.session import small_arrow_batches
 BITS = 18
 SAMPLE_ROWS = 16_000
 SHARDS = 4
+SHARD_LEAST = 2000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.1
 
@@ -106,8 +107,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out())
     usable = usable.select("doc_id", F.col(label).cast("int").alias("label"), F.xxhash64("doc_id").alias("place")).dropDuplicates(["doc_id"])
     sample = usable.orderBy("place", "doc_id").limit(SAMPLE_ROWS)
+    shards = max(1, min(SHARDS, sample.count() // SHARD_LEAST))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    texts = texts.withColumn("shard", F.pmod(F.shiftright("place", 7), F.lit(SHARDS)))
+    texts = texts.withColumn("shard", F.pmod(F.shiftright("place", 7), F.lit(shards)))
     got = texts.groupBy("shard").applyInArrow(_train, "rows long, weights binary, bias double").collect()  # one row for each shard
     total = sum(r["rows"] for r in got)
     if not total:

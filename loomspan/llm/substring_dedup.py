@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loomspan.llm.hashing import Bloom, Windows, Words, ragged, signed, slices
 from loomspan.llm.repeats import classes, gram_keys, repeated_keys, surviving
@@ -131,7 +132,7 @@ def without_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int =
     return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _rest(texts: pa.Array, spans: pa.Array) -> pa.Array:
     out: list[str | None] = []
     for row, end, data, bounds in slices(texts):

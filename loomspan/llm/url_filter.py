@@ -55,20 +55,25 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
-def _positions(h1: np.ndarray, h2: np.ndarray, bits: int, probes: int) -> list[np.ndarray]:
-    a, b = h1.astype(np.int64).view(np.uint64), h2.astype(np.int64).view(np.uint64) | np.uint64(1)
-    return [((a + np.uint64(i) * b) >> np.uint64(3)) & np.uint64(bits - 1) for i in range(probes)]
+def _shifts(level: int, probes: int) -> list[tuple[int, int]]:
+    """How far the two hashes of a key are shifted for each probe; every level probes elsewhere."""
+    return [((7 * (i + 3 * level)) % 38, (11 * (i + 5 * level)) % 37) for i in range(probes)]
+
+
+def _positions(h1: np.ndarray, h2: np.ndarray, bits: int, level: int, probes: int) -> list[np.ndarray]:
+    a, b = h1.astype(np.int64).view(np.uint64), h2.astype(np.int64).view(np.uint64)
+    return [((a >> np.uint64(x)) ^ (b >> np.uint64(y))) & np.uint64(bits - 1) for x, y in _shifts(level, probes)]
 
 
 class Level:
     """One Bloom filter of a power of two bits."""
 
-    def __init__(self, words: np.ndarray, bits: int, probes: int):
-        self.words, self.bits, self.probes = words, bits, probes
+    def __init__(self, words: np.ndarray, bits: int, level: int, probes: int):
+        self.words, self.bits, self.level, self.probes = words, bits, level, probes
 
     def lets_through(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         out = np.ones(len(h1), dtype=bool)
-        for p in _positions(h1, h2, self.bits, self.probes):
+        for p in _positions(h1, h2, self.bits, self.level, self.probes):
             out &= (self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
         return out
 
@@ -91,13 +96,13 @@ def _level(keys: DataFrame, count: int, k: int) -> Level:
     """Bits are set by a grouped bit_or, so that only one filter's words come back to the driver."""
     bits = 1 << max(10, (BITS_PER_KEY[min(k, 1)] * count - 1).bit_length())
     probes = PROBES[min(k, 1)]
-    step = F.shiftrightunsigned(F.col("h1") + F.col("i") * F.col("h2").bitwiseOR(F.lit(1)), 3).bitwiseAND(F.lit(bits - 1))
-    spots = keys.select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(probes - 1))).alias("i")).select(step.alias("p"))
+    probe = [F.shiftrightunsigned("h1", x).bitwiseXOR(F.shiftrightunsigned("h2", y)).bitwiseAND(F.lit(bits - 1)) for x, y in _shifts(k, probes)]
+    spots = keys.select(F.explode(F.array(*probe)).alias("p"))
     words = spots.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
     got = words.toArrow()
     out = np.zeros(bits // 64, dtype=np.uint64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return Level(out, bits, probes)
+    return Level(out, bits, k, probes)
 
 
 def _tester(cascade: Cascade, spark):
