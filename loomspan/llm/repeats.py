@@ -121,20 +121,22 @@ def repeated_keys(keys: DataFrame) -> DataFrame:
 @dataclass
 class Repeats:
     members: DataFrame
-    detail: DataFrame
+    heads: DataFrame
 
 
 def classes(rows: DataFrame) -> Repeats:
     """Sort extents (gram, content, doc_id, first, ...) into classes; null doc_ids stand before all others.
 
     members: the extents of classes with several members, with the class's `head`, its earliest (doc_id, first).
-    detail: the head of every class of a gram that has several classes, with its members' number n.
+    heads: (gram, content, n, head) of every class of a gram that has several classes.
     """
-    place = F.struct(F.col("doc_id"), F.col("first"))
-    groups = rows.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min(place).alias("head"))
+    groups = rows.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first")).alias("head"))
     groups = materialise(groups, "classes")
     several = groups.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    members = rows.join(groups.where("n > 1"), ["gram", "content"])
-    heads = groups.join(several, "gram", "left_semi").select("gram", "content", "n", "head")
-    detail = rows.join(heads, ["gram", "content"]).where(place.eqNullSafe(F.col("head")))
-    return Repeats(members, detail)
+    members = rows.join(groups.where("n > 1").drop("n"), ["gram", "content"])
+    return Repeats(members, groups.join(several, "gram", "left_semi"))
+
+
+def only_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """The extents among rows that are the heads of their classes, with n."""
+    return rows.join(heads, ["gram", "content"]).where(F.struct("doc_id", "first").eqNullSafe(F.col("head")))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from loomspan.llm.hashing import Bloom, Windows, Words, ragged, signed, slices
-from loomspan.llm.repeats import classes, gram_keys, repeated_keys, surviving
+from loomspan.llm.repeats import classes, gram_keys, only_heads, repeated_keys, surviving
 from loomspan.session import materialise, small_arrow_batches
 
 WINDOW = 35
@@ -76,7 +76,7 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM)
     rows = materialise(rows, "extents")
     sorted_ = classes(rows)
     whole = sorted_.members.select("doc_id", F.col("first").alias("start"), (F.col("last") + window).alias("end"))
-    each = sorted_.detail.select("n", "doc_id", "first", F.posexplode("windows").alias("k", "h"))
+    each = only_heads(rows, sorted_.heads).select("n", "doc_id", "first", F.posexplode("windows").alias("k", "h"))
     each = materialise(each, "windows")
     again = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     at = F.col("first") + F.col("k")

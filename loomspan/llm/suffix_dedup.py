@@ -7,8 +7,9 @@ suffix array (order and adjacent common prefixes) and scans it with a stack. Eve
 common prefixes of at least `length` bytes whose occurrences differ in the byte to their left is a maximal
 repeat, and is output with all its occurrences.
 
-A gram with more than HOT classes would make one task's array too long: its windows are compared by
-a grouped least place instead, which is combined before its shuffle.
+A gram with more than HOT classes would make one task's array too long: its extents are cut down to the runs of
+windows that repeat, which again are sorted into classes, and only where these differ are windows compared by a
+grouped least place.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.hashing import _UNITS, Bloom, Windows, signed, slices
-from loomspan.llm.repeats import classes, gram_keys, repeated_keys, surviving
+from loomspan.llm.hashing import _UNITS, Bloom, Windows, ragged, signed, slices
+from loomspan.llm.repeats import Extents, classes, gram_keys, only_heads, repeated_keys, surviving
 from loomspan.session import materialise, small_arrow_batches
 
 LENGTH = 100
@@ -35,26 +36,33 @@ def _read(data: np.ndarray, bounds: np.ndarray) -> tuple[Windows, np.ndarray]:
     return Windows(_UNITS[data]), bounds
 
 
-def _extents(window: int, gram: int, seen):
+EXTENT = "gram long, content long, doc_id long, first long, last long"
+
+
+def _extents(window: int, gram: int, seen, only=None):
+    """The extents of every text; with `only`, a broadcast filter of grams, just theirs, and with their bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
             for row, _, data, bounds in slices(batch.column("text")):
                 units, edges = _read(data, bounds)
                 found = surviving(units, edges, gram, window, seen.value)
+                if only:
+                    keep = only.value.might_hold(found.gram)
+                    found = Extents(*[x[keep] for x in (found.text, found.anchor, found.first, found.last, found.gram)])
                 end = found.last + window
-                raw = data.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(signed(found.gram)),
-                        pa.array(signed(units.spans(found.first, end) + (found.anchor - found.first).astype(np.uint64))),
-                        ids.take(pa.array(row + found.text)),
-                        pa.array((found.first - edges[found.text]).astype(np.int64)),
-                        pa.array((found.last - edges[found.text]).astype(np.int64)),
-                        pa.array([raw[a:b] for a, b in zip(found.first.tolist(), end.tolist(), strict=True)], pa.binary()),
-                    ],
-                    ["gram", "content", "doc_id", "first", "last", "bytes"],
-                )
+                columns = {
+                    "gram": pa.array(signed(found.gram)),
+                    "content": pa.array(signed(units.spans(found.first, end) + (found.anchor - found.first).astype(np.uint64))),
+                    "doc_id": ids.take(pa.array(row + found.text)),
+                    "first": pa.array((found.first - edges[found.text]).astype(np.int64)),
+                    "last": pa.array((found.last - edges[found.text]).astype(np.int64)),
+                }
+                if only:
+                    raw = data.tobytes()
+                    columns["bytes"] = pa.array([raw[a:b] for a, b in zip(found.first.tolist(), end.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
@@ -148,19 +156,44 @@ def _repeats_in(least: int):
     return run
 
 
-def _windows_of(window: int):
+def _runs_of(window: int, again):
+    """Extents with bytes, cut into the runs of windows that `again`, a broadcast filter of window hashes, lets through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, _, data, bounds in slices_of_bytes(batch.column("bytes")):
                 units = Windows(_UNITS[data])
-                each = units.each(window)
-                size = np.diff(bounds)
-                count = size - window + 1
-                text = np.repeat(np.arange(len(size)), count)
-                k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-                at = pa.array(row + text)
-                first = batch.column("first").take(at).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(signed(each[bounds[text] + k])), batch.column("doc_id").take(at), pa.array(first + k)], ["h", "doc_id", "start"])
+                text, at = _window_starts(bounds, window)
+                keep = again.value.might_hold(units.each(window)[at])
+                text, at = text[keep], at[keep]
+                fresh = np.ones(len(at), dtype=bool)
+                fresh[1:] = (np.diff(at) > 1) | (np.diff(text) > 0)
+                begins = np.flatnonzero(fresh)
+                low, high = at[begins], at[np.append(begins[1:], len(at)) - 1] if len(at) else at
+                rows = pa.array(row + text[begins])
+                first = batch.column("first").take(rows).to_numpy() + low - bounds[text[begins]]
+                raw = data.tobytes()
+                content = units.spans(low, high + window)
+                parts = [pa.array(signed(content)), batch.column("doc_id").take(rows), pa.array(first), pa.array(first + high - low)]
+                yield pa.RecordBatch.from_arrays([batch.column("gram").take(rows), *parts, pa.array([raw[a:b] for a, b in zip(low.tolist(), (high + window).tolist(), strict=True)], pa.binary())], ["gram", "content", "doc_id", "first", "last", "bytes"])
+
+    return run
+
+
+def _window_starts(bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, start) of every window of texts of at least `window` bytes each."""
+    count = np.diff(bounds) - window + 1
+    return np.repeat(np.arange(len(count)), count), ragged(bounds[:-1], count)
+
+
+def _windows_of(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, _, data, bounds in slices_of_bytes(batch.column("bytes")):
+                text, at = _window_starts(bounds, window)
+                rows = pa.array(row + text)
+                first = batch.column("first").take(rows).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(signed(Windows(_UNITS[data]).each(window)[at])), batch.column("doc_id").take(rows), pa.array(first + at - bounds[text])], ["h", "doc_id", "start"])
 
     return run
 
@@ -186,19 +219,29 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tu
     gram = min(gram, length)
     keys = repeated_keys(gram_keys(texts, _read, gram, length, gram, spark.sparkContext.broadcast([])))
     seen = spark.sparkContext.broadcast([(gram, Bloom.of(keys, "key"))])
-    rows = materialise(texts.mapInArrow(_extents(length, gram, seen), "gram long, content long, doc_id long, first long, last long, bytes binary"), "extents")
+    rows = materialise(texts.mapInArrow(_extents(length, gram, seen), EXTENT), "extents")
     sorted_ = classes(rows)
     copies = sorted_.members.select("doc_id", "first", "last", "head")
-    detail = materialise(sorted_.detail.select("gram", "doc_id", "first", "last", "bytes"), "detail")
+    heads = materialise(sorted_.heads, "heads")
+    only = spark.sparkContext.broadcast(Bloom.of(heads.select("gram").distinct(), "gram"))
+    detail = only_heads(texts.mapInArrow(_extents(length, gram, seen, only), f"{EXTENT}, bytes binary"), heads)
+    detail = materialise(detail.select("gram", "doc_id", "first", "last", "bytes"), "detail")
     hot = detail.groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("gram")
     hot = materialise(hot, "hot")
     cold = detail.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
     groups = cold.mapInArrow(_repeats_in(length), REPEAT)
-    windows = detail.join(hot, "gram", "left_semi").mapInArrow(_windows_of(length), "h long, doc_id long, start long")
-    windows = materialise(windows, "windows")
+
+    many = materialise(detail.join(hot, "gram", "left_semi"), "many")
+    windows = "h long, doc_id long, start long"
+    again = many.mapInArrow(_windows_of(length), windows).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    again = spark.sparkContext.broadcast(Bloom.of(materialise(again, "again"), "h"))
+    runs = materialise(many.mapInArrow(_runs_of(length, again), f"{EXTENT}, bytes binary"), "runs")
+    of_runs = classes(runs)
+    copies = copies.unionByName(of_runs.members.select("doc_id", "first", "last", "head"))
+    each = materialise(only_heads(runs, of_runs.heads).mapInArrow(_windows_of(length), windows), "windows")
     place = F.struct("doc_id", "start")
-    least = windows.groupBy("h").agg(F.count("*").alias("c"), F.min(place).alias("head")).where("c > 1")
-    loose = windows.join(least, "h").where(~place.eqNullSafe(F.col("head"))).select("doc_id", "start")
+    least = each.groupBy("h").agg(F.count("*").alias("c"), F.min(place).alias("head")).where("c > 1")
+    loose = each.join(least, "h").where(~place.eqNullSafe(F.col("head"))).select("doc_id", "start")
     return copies, groups, loose
 
 
