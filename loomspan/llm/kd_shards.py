@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.session import materialise
+from loomspan.session import discard, materialise
 
 DIMS = 4
 BIN_BITS = 10
@@ -104,7 +104,7 @@ def kd_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     Returns (doc_id, size, text_crc32, shard, slot). An empty table gives no rows; columns of docs
     other than doc_id, text, source and lang are not read, whatever their names.
     """
-    rows = points(docs).withColumn("node", F.lit(0))
+    rows = materialise(points(docs).withColumn("node", F.lit(0)), "kd-level")
     owed, first = [shards], [0]
     while max(owed) > 1:
         stats = rows.groupBy("node").agg(F.sum("size").alias("total"), *[(F.max(f"k{i}") - F.min(f"k{i}")).alias(f"w{i}") for i in range(DIMS)])
@@ -123,7 +123,9 @@ def kd_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
                 f += p
         node = F.col("node")
         right = (_table(owed, node) > 1) & (_key(_table(widest, node)) >= _table(cut, node))
-        rows = rows.withColumn("node", (_table(child, node) + right.cast("int")).cast("int"))
+        deeper = materialise(rows.withColumn("node", (_table(child, node) + right.cast("int")).cast("int")), "kd-level")
+        discard(rows)
+        rows = deeper
         owed, first = next_owed, next_first
     shard = _table(first, F.col("node")).cast("int")
     return with_slots(rows.select("doc_id", "size", "text_crc32", shard.alias("shard")))

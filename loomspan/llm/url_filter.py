@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from loomspan.session import materialise
+from loomspan.session import materialise, small_arrow_batches
 
 BITS_PER_KEY = (12, 6)
 PROBES = (8, 4)
@@ -136,6 +136,7 @@ def listed_in_cascade(rows: DataFrame, key: str, listed: Column, into: str) -> D
     The key universe is the distinct keys of rows; a hot key is one row of it after the partial
     aggregate. A null key is never listed. No listed keys: nothing is listed.
     """
+    small_arrow_batches(rows.sparkSession)
     hashes = [F.xxhash64(F.col(key)).alias("h1"), F.xxhash64(F.lit(7), F.col(key)).alias("h2")]
     universe = materialise(rows.where(F.col(key).isNotNull()).groupBy(F.col(key)).agg(F.first(listed).alias("listed")).select(*hashes, F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
     count = universe.where("listed").count()
