@@ -104,6 +104,25 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         row = end
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
+    """Runs of whole groups of `key`, of about `least` rows, from batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        all_ = pa.Table.from_batches(held)
+        keys = all_.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield all_.slice(0, cut)
+            held, rows = all_.slice(cut).to_batches(), all_.num_rows - cut
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

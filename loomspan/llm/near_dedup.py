@@ -9,6 +9,7 @@
 3. The members of a node are first linked to its pivot; whatever that joins is one component and
    is never compared again. A node with few sets outside its largest component is then compared
    exhaustively between components; other nodes branch further, and what is left at MAX_DEPTH is compared exhaustively too.
+   Nodes of at most NODE_ROWS sets are walked down to the end inside one task each; larger ones branch across the cluster until they are that small.
 4. Candidates pass a size bound and a sketch of 128 one-bit minwise hashes, and are then confirmed on
    full sets.
 """
@@ -19,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.hashing import Bloom, Windows, Words, mix, ragged, signed, slices
+from loomspan.llm.hashing import Bloom, Windows, Words, mix, ragged, signed, slices, whole_groups
 from loomspan.operators.graph import connected_components
 from loomspan.session import materialise, small_arrow_batches
 
@@ -31,6 +33,8 @@ COORDINATES = 64
 TREES = 12
 SMALL = 24
 MAX_DEPTH = 16
+NODE_ROWS = 20_000
+CHUNK_ROWS = 5000
 SKETCH_SLACK = 4.5
 
 _RNG = np.random.default_rng(77003)
@@ -101,38 +105,99 @@ def _sets(width: int, wanted):
     return run
 
 
-def _children(threshold: float):
-    extra = int((1 / threshold - 1) * (1 << 32))
+def _branch(node: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, child): the children of each row's node that the row walks to. The node alone decides which coordinates are chosen."""
+    pick = mix(node.copy())
+    first = (pick % np.uint64(COORDINATES)).astype(np.int64)
+    second = (first + 1 + ((pick >> np.uint64(8)) % np.uint64(COORDINATES - 1)).astype(np.int64)) % COORDINATES
+    both = (pick >> np.uint64(32)) < np.uint64(int((1 / threshold - 1) * (1 << 32)))
+    rows = np.arange(len(node))
+    out = np.concatenate([rows, rows[both]])
+    chosen = np.concatenate([first, second[both]])
+    return out, mix(node[out] * np.uint64(0x9E3779B97F4A7C15) + sig[out, chosen] * np.uint64(COORDINATES) + chosen.astype(np.uint64))
+
+
+def _sig_matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
 
+
+def _children(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node = batch.column("node").to_numpy().view(np.uint64)
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
-            pick = mix(node.copy())
-            first = (pick % np.uint64(COORDINATES)).astype(np.int64)
-            second = (first + 1 + ((pick >> np.uint64(8)) % np.uint64(COORDINATES - 1)).astype(np.int64)) % COORDINATES
-            both = (pick >> np.uint64(32)) < np.uint64(extra)
-            rows = np.arange(len(node))
-            out_rows = np.concatenate([rows, rows[both]])
-            chosen = np.concatenate([first, second[both]])
-            child = mix(node[out_rows] * np.uint64(0x9E3779B97F4A7C15) + sig[out_rows, chosen] * np.uint64(COORDINATES) + chosen.astype(np.uint64))
-            out = batch.drop_columns(["node", "sig"]).take(pa.array(out_rows))
+            rows, child = _branch(batch.column("node").to_numpy().view(np.uint64), _sig_matrix(batch.column("sig")), threshold)
+            out = batch.drop_columns(["node", "sig"]).take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([pa.array(signed(child)), *out.columns], ["node", *out.schema.names])
 
     return run
 
 
-def _alike(a: str, b: str, percent: int) -> F.Column:
-    """The bounds that every pair at the threshold meets: sizes surely, the sketch but for one pair in a hundred thousand."""
+def _at_each_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each of a set's nodes."""
+    for batch in batches:
+        nodes = batch.column("nodes")
+        rest = batch.drop_columns(["nodes"]).take(pc.list_parent_indices(nodes))
+        yield pa.RecordBatch.from_arrays([pc.list_flatten(nodes), *rest.columns], ["node", *rest.schema.names])
+
+
+def _slack(percent: int) -> int:
+    """Bits in which the sketches of a pair at the threshold differ at most, but for one pair in a hundred thousand."""
     expected = 128 * (1 - percent / 100) / 2
-    slack = int(expected + SKETCH_SLACK * (128 * (1 - percent / 100) / 2 * (1 - (1 - percent / 100) / 2)) ** 0.5)
+    return int(expected + SKETCH_SLACK * (expected * (1 - (1 - percent / 100) / 2)) ** 0.5)
+
+
+def _alike(a: str, b: str, percent: int) -> F.Column:
+    """The bounds that every pair at the threshold meets: sizes surely, the sketch nearly so."""
     return F.expr(
-        f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND bit_count({a}.s1 ^ {b}.s1) + bit_count({a}.s2 ^ {b}.s2) <= {slack}"
+        f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND bit_count({a}.s1 ^ {b}.s1) + bit_count({a}.s2 ^ {b}.s2) <= {_slack(percent)}"
     )
 
 
+def _walked(percent: int, depth: int):
+    """Candidate pairs (a, b) of whole nodes of bounded size, walked down from `depth` inside the task, all nodes of a chunk at once."""
+    slack = _slack(percent)
+
+    def against(rows: np.ndarray, rep, component, n, s1, s2) -> Iterator[np.ndarray]:
+        names, count = np.unique(component[rows], return_counts=True)
+        outside = rows[component[rows] != names[np.argmax(count)]]
+        for k in range(0, len(outside), 256):
+            i = outside[k : k + 256][:, None]
+            near = (component[i] != component[rows]) & (100 * np.minimum(n[i], n[rows]) >= percent * np.maximum(n[i], n[rows]))
+            near &= np.bitwise_count(s1[i] ^ s1[rows]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[rows]) <= slack
+            left, right = np.nonzero(near)
+            x, y = rep[outside[k + left]], rep[rows[right]]
+            yield np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in whole_groups(batches, "node", CHUNK_ROWS):
+            columns = [chunk.column(c).to_numpy() for c in ("rep", "component", "n")] + [chunk.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2")]
+            component, sig = columns[1], _sig_matrix(chunk.column("sig"))
+            node, row = chunk.column("node").to_numpy().view(np.uint64), np.arange(chunk.num_rows)
+            found = [np.zeros((0, 2), dtype=np.int64)]
+            for level in range(depth, MAX_DEPTH + 1):
+                order = np.lexsort((component[row], node))
+                node, row = node[order], row[order]
+                part = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (component[row[1:]] != component[row[:-1]])))
+                most = np.diff(np.append(part, len(row)))
+                first = np.flatnonzero(np.append(True, node[part][1:] != node[part][:-1]))
+                edges = np.append(part[first], len(row))
+                others = np.diff(edges) - np.maximum.reduceat(most, first)
+                done = (others > 0) & ((others <= SMALL) | (level == MAX_DEPTH))
+                for g in np.flatnonzero(done).tolist():
+                    found += against(row[edges[g] : edges[g + 1]], *columns)
+                deeper = np.repeat((others > 0) & ~done, np.diff(edges))
+                if not deeper.any():
+                    break
+                node, row = node[deeper], row[deeper]
+                which, node = _branch(node, sig[row], percent / 100)
+                row = row[which]
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
 def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets meet the threshold."""
     spark = docs.sparkSession
@@ -182,6 +247,13 @@ def _against_minority(rows: DataFrame, percent: int) -> DataFrame:
     return a.join(b, on).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
 
 
+def _with_signatures(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """rows (node, rep, component) with all columns of reps; signatures are joined once for each set, whatever its nodes."""
+    sets = rows.groupBy("rep").agg(F.first("component").alias("component"), F.collect_list("node").alias("nodes"))
+    joined = sets.join(reps, "rep").select("nodes", "rep", "component", "n", "s1", "s2", "sig")
+    return joined.mapInArrow(_at_each_node, "node long, rep long, component long, n long, s1 long, s2 long, sig binary")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE, trees: int = TREES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text; others are not read).
 
@@ -215,11 +287,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE, tr
         live = materialise(_with_main(_members(rows, component)[0].drop("pivot")), "live")
         settled = live if depth == MAX_DEPTH else live.where(F.col("others") <= SMALL)
         fresh = _exhaustive(settled.where(F.col("size") <= SMALL), percent).union(_against_minority(settled.where(F.col("size") > SMALL), percent))
+        open_ = live.where(F.col("others") > SMALL)
+        if depth < MAX_DEPTH:
+            inside = _with_signatures(open_.where(F.col("size") <= NODE_ROWS), reps).repartition("node").sortWithinPartitions("node")
+            fresh = fresh.union(inside.mapInArrow(_walked(percent, depth), "a long, b long"))
+        fresh = materialise(fresh.distinct(), "candidates")
         pairs = fresh if pairs is None else pairs.union(fresh)
-        large = live.where(F.col("others") > SMALL)
+        large = open_.where(F.col("size") > NODE_ROWS)
         if depth == MAX_DEPTH or not large.limit(1).count():
             break
-        deeper = large.select("node", "rep", "n", "s1", "s2").join(reps.select("rep", "sig"), "rep").select("node", "rep", "n", "s1", "s2", "sig")
+        deeper = _with_signatures(large, reps).select("node", "rep", "n", "s1", "s2", "sig")
         rows = materialise(deeper.mapInArrow(_children(percent / 100), walk), "walk")
     late = _confirm(docs, materialise(pairs.distinct(), "pairs"), percent, width)
     if late.limit(1).count():

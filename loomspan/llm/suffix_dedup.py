@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.hashing import _UNITS, Bloom, Windows, ragged, signed, slices
+from loomspan.llm.hashing import _UNITS, Bloom, Windows, ragged, signed, slices, whole_groups
 from loomspan.llm.repeats import Extents, classes, gram_keys, only_heads, repeated_keys, surviving
 from loomspan.session import materialise, small_arrow_batches
 
@@ -121,28 +121,9 @@ def maximal_repeats(texts: list[bytes], starts: list[int], least: int) -> Iterat
 REPEAT = "gram long, length long, doc_id long, start long, earliest boolean"
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of whole grams of about CHUNK_ROWS rows from batches that are sorted by gram."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < CHUNK_ROWS:
-            continue
-        all_ = pa.Table.from_batches(held)
-        grams = all_.column("gram").to_numpy()
-        cut = int(np.searchsorted(grams, grams[-1]))
-        if cut:
-            yield all_.slice(0, cut)
-            held, rows = all_.slice(cut).to_batches(), all_.num_rows - cut
-    if rows:
-        yield pa.Table.from_batches(held)
-
-
 def _repeats_in(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches):
+        for chunk in whole_groups(batches, "gram", CHUNK_ROWS):
             gram, ids, first = (chunk.column(c).to_pylist() for c in ("gram", "doc_id", "first"))
             starts = (chunk.column("last").to_numpy() - chunk.column("first").to_numpy() + 1).tolist()
             out: list[tuple] = []

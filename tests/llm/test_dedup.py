@@ -35,9 +35,10 @@ def least_reachable(ids, linked):
     return label
 
 
-@pytest.mark.parametrize("small", [24, 0])
-def test_near_duplicates(docs, rows, small, monkeypatch):
+@pytest.mark.parametrize(("small", "node_rows"), [(24, 20_000), (0, 20_000), (0, 3)])
+def test_near_duplicates(docs, rows, small, node_rows, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "NODE_ROWS", node_rows)
     monkeypatch.setattr(near_dedup, "MAX_DEPTH", 3)
     sets = {i: shingles(t) for i, t in rows}
     linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
