@@ -70,6 +70,15 @@ def theil_sen(spark, sf_dir):
     return stats.theil_sen(first, "user_id", "at", "value").select("user_id", F.round(F.col("slope") * 3600, 6).alias("slope"))
 
 
+@query(f"""
+WITH {EVENTS}, s AS (SELECT a.user_id, (b.value - a.value) / (b.t - a.t) * 3600 AS slope FROM e a JOIN e b ON a.user_id = b.user_id AND a.t < b.t)
+SELECT user_id, round(list_sort(list(slope))[count(*) // 2 + 1], 6) AS slope FROM s GROUP BY user_id""")
+def theil_sen_all(spark, sf_dir):
+    """As theil_sen, whose SQL reads the first 12 events of a user, over all events."""
+    slopes = stats.theil_sen(_events(spark, sf_dir), "user_id", "at", "value").where("slope IS NOT NULL")
+    return slopes.select("user_id", F.round(F.col("slope") * 3600, 6).alias("slope"))
+
+
 @query("SELECT l_returnflag, round(sum(l_discount * l_quantity) / nullif(sum(l_quantity), 0), 6) AS mean FROM lineitem GROUP BY 1")
 def weighted_mean(spark, sf_dir):
     mean = stats.weighted_mean(F.col("l_discount"), F.col("l_quantity"))
@@ -172,6 +181,15 @@ def ema(spark, sf_dir):
     return values.select("user_id", F.round(sequences.damped(F.transform("v", lambda s: s["value"])), 6).alias("ema"))
 
 
+@query(f"""WITH {EVENTS}, l AS (SELECT user_id, list(value ORDER BY t, event_id) AS v FROM e GROUP BY user_id)
+SELECT user_id, round(list_reduce(list_prepend(0.0, v), lambda m, x: 0.5 * m + 0.5 * x), 6) AS ema FROM l""")
+def ema_all(spark, sf_dir):
+    """As ema, whose SQL reads the last 32 events of a user, over all events: the k-th from the end weighs 0.5 ** k."""
+    newest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("at"), F.desc("event_id")))
+    weighed = _events(spark, sf_dir).select("user_id", (F.col("value") * F.pow(F.lit(0.5), newest)).alias("part"))
+    return weighed.groupBy("user_id").agg(F.round(F.sum("part"), 6).alias("ema"))
+
+
 @query("""
 WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS total FROM orders GROUP BY 1)
 SELECT day, round(avg(total) OVER (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 2) AS mean FROM d""")
@@ -353,6 +371,12 @@ def bad_text(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", exprs.looks_garbled(F.col("text")).alias("garbled"))
 
 
+@query(r"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: length(w) > 2 AND w <> upper(w) AND NOT regexp_matches(w, '^[A-Za-z][a-z]*[a-z.''",!?-]$'))) > 0 AS garbled FROM documents""")
+def bad_text_documents(spark, sf_dir):
+    """As bad_text, over whole documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", exprs.looks_garbled(F.col("text")).alias("garbled"))
+
+
 @query(r"""SELECT conv_id, turn, reverse(text) AS backwards, regexp_replace(replace(text, chr(10), ' '), '- +', '', 'g') AS joined FROM conversations""")
 def reverse_dehyphen(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.reverse("text").alias("backwards"), exprs.dehyphenate(F.col("text")).alias("joined"))
