@@ -28,7 +28,6 @@ from loomspan.session import materialise, small_arrow_batches
 
 SIZE = 1024
 SHARD_ROWS = 2000
-QUERY_TERMS = 12
 K1, B = 1.2, 0.75
 CACHE_WORDS = 250_000
 VOCABULARY = 50_257
@@ -137,16 +136,14 @@ class Index:
         self.term, self.doc = key // len(tails), key % len(tails)
         self.impact = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / mean))
         self.first = np.searchsorted(self.term, np.arange(VOCABULARY + 1))
-        self.idf, self.n = idf, len(tails)
+        self.n = len(tails)
 
     def neighbours(self, tail: np.ndarray, unused: np.ndarray) -> np.ndarray:
-        """Unused tails by falling score, those that share no query term last, in their own order."""
-        terms, tf = np.unique(tail, return_counts=True)
-        best = terms[np.argsort(-self.idf[terms] * np.minimum(tf, 3), kind="stable")[:QUERY_TERMS]]
-        score = np.zeros(self.n)
-        for t in best.tolist():
-            a, b = self.first[t], self.first[t + 1]
-            score[self.doc[a:b]] += self.impact[a:b]
+        """The score of every tail over all token ids of `tail`, -1 for used ones."""
+        terms = np.unique(tail)
+        size = self.first[terms + np.uint16(1)] - self.first[terms]
+        at = np.arange(size.sum()) + np.repeat(self.first[terms] - np.cumsum(size) + size, size)
+        score = np.bincount(self.doc[at], weights=self.impact[at], minlength=self.n)
         score[~unused] = -1.0
         return score
 
