@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become templates: numbers, names and the units that follow numbers are replaced by typed placeholders, other
-words are lower-cased. Windows of template words are hash-joined with those of the benchmark items. A document
-holds an item if it holds at least the threshold's share of the item's windows in one alignment and the slots
+words are lower-cased. A capitalised word is a name wherever it stands; adjoining names are one placeholder, and so are the
+groups of a number such as 1,000 or 3.5. Windows of template words are hash-joined with those of the benchmark items. A document
+holds an item if its windows cover at least the threshold's share of the item's template words in one alignment and the slots
 agree: whatever fills a placeholder of the item is answered by one and the same filler in the document, so that
 a question with other numbers and names is still caught, and one with the same phrasing only by chance is not.
 
@@ -36,20 +37,21 @@ UNITS = (
 
 _CLASSES = np.zeros(256, dtype=np.uint8)
 _CLASSES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
-_STOPS = np.zeros(256, dtype=bool)
-_STOPS[list(b".!?:;\n\"")] = True
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
+_GLYPH = np.ones(256, dtype=bool)
+_GLYPH[list(b" \t\n\r\f\v")] = False
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0xA11CE0000000001D, 0xA11CE0000000002D, 0xA11CE0000000003D))
 
 
 @dataclass
 class Template:
-    """Template words of a slice: `code` with placeholders, `filler` as written, `slot` where they differ, and the bounds of each text."""
+    """Template words of a slice: `code` with placeholders, `filler` as written, `slot` where they differ, the first `word` of each, and the bounds of each text."""
 
     code: np.ndarray
     filler: np.ndarray
     slot: np.ndarray
+    word: np.ndarray
     first: np.ndarray
 
 
@@ -66,25 +68,35 @@ def _units() -> np.ndarray:
 def templates(data: np.ndarray, bounds: np.ndarray) -> Template:
     words = Words(data, bounds, lower=True, classes=_CLASSES)
     if not len(words.hash):
-        return Template(words.hash, words.hash, np.zeros(0, dtype=bool), words.first)
+        return Template(words.hash, words.hash, np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64), words.first)
     first = data[words.start]
     number = _DIGIT[first]
-    upper = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (data[np.minimum(words.start + 1, len(data) - 1)] <= 0x9E))
-    stops = np.concatenate([[0], np.cumsum(_STOPS[data])])
-    opens = np.ones(len(words.start), dtype=bool)
-    opens[1:] = stops[words.start[1:]] > stops[words.end[:-1]]
-    opens[words.first[:-1][np.diff(words.first) > 0]] = True
-    name = upper & ~opens
+    name = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (data[np.minimum(words.start + 1, len(data) - 1)] <= 0x9E))
     unit = np.zeros(len(number), dtype=bool)
     unit[1:] = number[:-1]
     unit &= np.isin(words.hash, _units()) & ~number
     code = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, words.hash)))
-    return Template(code, words.hash, number | name | unit, words.first)
+    glyphs = np.concatenate([[0], np.cumsum(_GLYPH[data])])
+    before, after = words.end[:-1], words.start[1:]
+    spaced = glyphs[before] == glyphs[after]
+    grouped = (after - before == 1) & np.isin(data[before], list(b".,"))
+    joined = np.zeros(len(number), dtype=bool)
+    joined[1:] = name[1:] & name[:-1] & spaced | number[1:] & number[:-1] & grouped
+    joined[words.first[:-1][np.diff(words.first) > 0]] = False
+    word = np.flatnonzero(~joined)
+    nth = np.arange(len(joined)) - np.repeat(word, np.diff(np.append(word, len(joined))))
+    filler = np.add.reduceat(words.hash * (2 * nth + 1).astype(np.uint64), word)
+    kept = np.concatenate([[0], np.cumsum(~joined)])
+    return Template(code[word], filler, (number | name | unit)[word], word, kept[words.first])
 
 
 def windows(t: Template, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of every window of `width` template words that lies in one text."""
+    """(start, hash) of every window of `width` template words that lies in one text; one of placeholders alone is taken as written."""
     h = Windows(t.code).each(width)
+    slots = np.concatenate([[0], np.cumsum(t.slot)])
+    bare = slots[width:] - slots[:-width] == width
+    if bare.any():
+        h = np.where(bare, Windows(t.filler).each(width), h)
     start = np.arange(len(h))
     text_end = np.repeat(t.first[1:], np.diff(t.first))[: len(h)]
     inside = start + width <= text_end
@@ -128,12 +140,12 @@ class Block:
         return cls(h[order], flat(owner, np.int64)[order], flat(place, np.int64)[order], mask, ids, fillers, slots, flat(sizes, np.int64))
 
 
-def _agreement(item_filler: np.ndarray, slot: np.ndarray, doc_filler: np.ndarray) -> tuple[int, int]:
+def _agreement(item_filler: np.ndarray, doc_filler: np.ndarray) -> tuple[int, int]:
     """(slots, those whose filler is the usual answer to the item's filler) of an aligned item and document."""
     answers: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
-    for a, b in zip(item_filler[slot].tolist(), doc_filler[slot].tolist(), strict=True):
+    for a, b in zip(item_filler.tolist(), doc_filler.tolist(), strict=True):
         answers[a][b] += 1
-    return int(slot.sum()), sum(max(x.values()) for x in answers.values())
+    return len(item_filler), sum(max(x.values()) for x in answers.values())
 
 
 def held_items(data: np.ndarray, bounds: np.ndarray, block: Block, width: int, share: int, consistent: int) -> Iterator[tuple]:
@@ -155,21 +167,26 @@ def held_items(data: np.ndarray, bounds: np.ndarray, block: Block, width: int, s
     fresh = np.ones(len(text), dtype=bool)
     fresh[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(shift) > width)
     edges = np.append(np.flatnonzero(fresh), len(text))
-    many = (np.diff(edges) * 100 >= share * block.sizes[item[edges[:-1]]]).nonzero()[0]
+    length = np.array([len(x) for x in block.fillers])
+    many = (np.diff(edges) * width * 100 >= share * length[item[edges[:-1]]]).nonzero()[0]
     for g in many.tolist():
         a, b = edges[g], edges[g + 1]
         k, d = int(item[a]), int(text[a])
-        matched = len(np.unique(place[a:b]))
-        if matched * 100 < share * block.sizes[k]:
-            continue
         values, counts = np.unique(shift[a:b], return_counts=True)
         best = int(values[np.argmax(counts)])
-        n = len(block.fillers[k])
-        low_word, high_word = max(best, int(t.first[d])), min(best + n, int(t.first[d + 1]))
-        slot = block.slots[k][low_word - best : high_word - best] & t.slot[low_word:high_word]
-        slots, agreeing = _agreement(block.fillers[k][low_word - best : high_word - best], slot, t.filler[low_word:high_word])
+        # every covered word of the item answers to the document's word in the most usual shift of those that cover it
+        answer = np.full(length[k], -1)
+        for v in values[np.argsort(counts, kind="stable")].tolist():
+            covered = (place[a:b][shift[a:b] == v][:, None] + np.arange(width)).ravel()
+            answer[covered] = covered + v
+        at_item = np.flatnonzero(answer >= 0)
+        if len(at_item) * 100 < share * length[k]:
+            continue
+        at_item = at_item[block.slots[k][at_item]]
+        slots, agreeing = _agreement(block.fillers[k][at_item], t.filler[answer[at_item]])
         if agreeing * 100 >= consistent * slots:
-            yield d, k, low_word - int(t.first[d]), int(block.sizes[k]), matched, slots, agreeing
+            low_word, begin = max(best, int(t.first[d])), int(t.first[d])
+            yield d, k, int(t.word[low_word] - t.word[begin]), int(block.sizes[k]), len(np.unique(place[a:b])), slots, agreeing
 
 
 HIT = "doc_id long, item_id long, word long, windows long, matched long, slots long, agreeing long"
@@ -179,7 +196,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shar
     """One row (doc_id, item_id, word, windows, matched, slots, agreeing) for each document and benchmark item it holds.
 
     docs needs doc_id and text, benchmark item_id and text; other columns are not read. Items of fewer than `width`
-    words can't be told from common phrases and match nothing; so do null and empty texts on either side. Repeated items and
+    template words can't be told from common phrases and match nothing; so do null and empty texts on either side. Repeated items and
     documents are separate rows; a document that holds an item twice gives one row, its first place.
     """
     spark = docs.sparkSession
