@@ -26,14 +26,17 @@ FLOOR = 1
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|select|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(?:script|style|noscript|template|textarea|iframe|svg|select|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>"
+    r"|<(script|style|textarea|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(noscript|template|svg|select|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</\2\s*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|</[^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -50,36 +53,43 @@ BOILERPLATE_NAMES = frozenset(
 P_CLOSERS = BLOCKS - {"body", "html", "head"}
 
 
+def _is_hidden(attributes: str) -> bool:
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), a or b or c
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _UNSHOWN.search(value):
+            return True
+    return False
+
+
 def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in BOILERPLATE or tag == "header" and not in_article:
         return True
     if tag in ("html", "body", "article", "main", "p", "h1") or not attributes:
         return False
-    if _HIDDEN.search(attributes):
+    if _is_hidden(attributes):
         return True
     words = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower()
     return not BOILERPLATE_NAMES.isdisjoint(re.split(r"[\s_-]+", words))
 
 
 def page_lines(source: str) -> tuple[list[str], list[int]]:
-    """(text, weight) of every block line: the weight is its length without links, 0 in boilerplate."""
+    """(text, weight) of every block line: the weight is its length without links outside an article, 0 in boilerplate."""
     lines: list[str] = []
     weights: list[int] = []
     part: list[str] = []
-    linked = 0
+    linked: list[str] = []
     links = 0
     open_tags: list[tuple[str, bool]] = []
     muted = 0
     articles = 0
 
     def flush() -> None:
-        nonlocal linked
         text = " ".join(html.unescape("".join(part)).split())
         part.clear()
         if text:
             lines.append("" if muted else text)
-            weights.append(0 if muted or linked >= len(text) else len(text) - linked)
-        linked = 0
+            weights.append(0 if muted else len(text) - min(len(text), len(" ".join(html.unescape("".join(linked)).split()))))
+        linked.clear()
 
     def close(upto: int) -> None:
         nonlocal muted, articles
@@ -93,26 +103,26 @@ def page_lines(source: str) -> tuple[list[str], list[int]]:
         if m.start() > at:
             piece = source[at : m.start()]
             part.append(piece)
-            if links:
-                linked += len(piece)
+            if links and not articles:
+                linked.append(piece)
         at = m.end()
-        if not m[3]:
+        if not m[4]:
             continue
-        tag = m[3].lower()
+        tag = m[4].lower()
         if tag == "a":
-            links = 0 if m[2] else 1
+            links = 0 if m[3] else 1
             continue
         if tag not in BLOCKS and tag not in BOILERPLATE:
             if tag in ("br", "img", "input"):
                 part.append(" ")
-            elif m[2]:
+            elif m[3]:
                 for k in range(len(open_tags) - 1, -1, -1):
                     if open_tags[k][0] == tag:
                         close(k)
                         break
                     if open_tags[k][0] in BLOCKS:
                         break
-            elif tag not in VOID and not m[4].endswith("/") and _is_boilerplate(tag, m[4], articles > 0):
+            elif tag not in VOID and not m[5].endswith("/") and _is_boilerplate(tag, m[5], articles > 0):
                 flush()
                 open_tags.append((tag, True))
                 muted += 1
@@ -121,7 +131,7 @@ def page_lines(source: str) -> tuple[list[str], list[int]]:
         links = 0
         if tag in VOID:
             continue
-        if m[2]:
+        if m[3]:
             for k in range(len(open_tags) - 1, -1, -1):
                 if open_tags[k][0] == tag:
                     close(k)
@@ -133,7 +143,7 @@ def page_lines(source: str) -> tuple[list[str], list[int]]:
             close(len(open_tags) - 1)
         if tag == "body":
             close(0)
-        mutes = _is_boilerplate(tag, m[4], articles > 0)
+        mutes = _is_boilerplate(tag, m[5], articles > 0)
         open_tags.append((tag, mutes))
         muted += mutes
         articles += tag in ("article", "main")
