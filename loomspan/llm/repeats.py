@@ -4,6 +4,8 @@ Of all short grams inside a window, the one with the least hash is its anchor. E
 anchors at equal offsets, so it is enough to compare windows whose anchors repeat. Neighbouring windows
 mostly share an anchor: all windows of one anchor form an *extent*, and one row stands for them.
 
+A document is told by its doc_id and the hash `h` of its text, so that rows that repeat an id with another text stay apart.
+
 Extents with one anchor gram are sorted into classes of equal content. All windows of a class with
 several members repeat. Windows can also repeat between classes of one gram (at the edges of copied
 passages); for these, one member of each class is compared in detail.
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.hashing import Bloom, Windows, mix, signed, slices
@@ -124,13 +126,22 @@ class Repeats:
     heads: DataFrame
 
 
+PLACE = ("doc_id", "h", "first")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, text): texts with the hash that tells apart rows which repeat a doc_id."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
 def classes(rows: DataFrame) -> Repeats:
-    """Sort extents (gram, content, doc_id, first, ...) into classes; null doc_ids stand before all others.
+    """Sort extents (gram, content, doc_id, h, first, ...) into classes; null doc_ids stand before all others.
 
-    members: the extents of classes with several members, with the class's `head`, its earliest (doc_id, first).
+    members: the extents of classes with several members, with the class's `head`, its earliest place (doc_id, h, first).
     heads: (gram, content, n, head) of every class of a gram that has several classes.
     """
-    groups = rows.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first")).alias("head"))
+    groups = rows.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("head"))
     groups = materialise(groups, "classes")
     several = groups.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
     members = rows.join(groups.where("n > 1").drop("n"), ["gram", "content"])
@@ -139,4 +150,34 @@ def classes(rows: DataFrame) -> Repeats:
 
 def only_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """The extents among rows that are the heads of their classes, with n."""
-    return rows.join(heads, ["gram", "content"]).where(F.struct("doc_id", "first").eqNullSafe(F.col("head")))
+    return rows.join(heads, ["gram", "content"]).where(F.struct(*PLACE).eqNullSafe(F.col("head")))
+
+
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """(doc_id, h, spans) of documents with spans (doc_id, h, start, end): overlapping and touching spans are made one."""
+    order = Window.partitionBy("doc_id", "h").orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = spans.withColumn("fresh", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
+    runs = fresh.withColumn("run", F.sum("fresh").over(order)).groupBy("doc_id", "h", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
+def beside_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs (all columns) as d, beside the column `spans` of spans (doc_id, h, start, end): null where a document has none.
+
+    Only documents that a Bloom filter takes for one with spans are shuffled; all others stay in their tasks.
+    """
+    spark = docs.sparkSession
+    found = materialise(merged_spans(spans), "spans")
+    some = spark.sparkContext.broadcast(Bloom.of(found.select(F.xxhash64("doc_id", "h").alias("key")), "key"))
+
+    @F.arrow_udf("boolean")
+    def touched(keys: pa.Array) -> pa.Array:
+        return pa.array(some.value.might_hold(keys.to_numpy(zero_copy_only=False)))
+
+    doc_id, h = F.col("d.doc_id").cast("long"), F.xxhash64(F.col("d.text").cast("string"))
+    d, maybe = docs.alias("d"), touched(F.xxhash64(doc_id, h))
+    on = doc_id.eqNullSafe(F.col("s.doc_id")) & (h == F.col("s.h"))
+    joined = d.where(maybe).join(found.alias("s"), on, "left").select("d.*", F.col("s.spans").alias("spans of this row"))
+    rest = d.where(~maybe).select("d.*", F.lit(None).cast(found.schema["spans"].dataType).alias("spans of this row"))
+    return joined.union(rest)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from loomspan.llm.hashing import Bloom, Windows, Words, ragged, signed, slices
-from loomspan.llm.repeats import classes, gram_keys, only_heads, repeated_keys, surviving
+from loomspan.llm.repeats import beside_spans, classes, gram_keys, identified, only_heads, repeated_keys, surviving
 from loomspan.session import materialise, small_arrow_batches
 
 WINDOW = 35
@@ -34,36 +34,35 @@ def _read(data: np.ndarray, bounds: np.ndarray) -> tuple[Windows, np.ndarray]:
 def _extents(window: int, gram: int, seen):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            empty = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             for row, _, data, bounds in slices(batch.column("text")):
                 units, edges = _read(data, bounds)
                 found = surviving(units, edges, gram, window, seen.value)
                 count = found.last - found.first + 1
                 windows = units.each(window)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(signed(windows[ragged(found.first, count)]) if len(count) else np.zeros(0, np.int64)))
-                base = edges[found.text]
+                base, rows = edges[found.text], pa.array(row + found.text)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(signed(found.gram)),
                         pa.array(signed(units.spans(found.first, found.last + window) + (found.anchor - found.first).astype(np.uint64))),
-                        pa.array(ids[row + found.text], pa.int64(), mask=empty[row + found.text], from_pandas=True),
+                        batch.column("doc_id").take(rows),
+                        batch.column("h").take(rows),
                         pa.array((found.first - base).astype(np.int64)),
                         pa.array((found.last - base).astype(np.int64)),
                         lists,
                     ],
-                    ["gram", "content", "doc_id", "first", "last", "windows"],
+                    ["gram", "content", "doc_id", "h", "first", "last", "windows"],
                 )
 
     return run
 
 
 def repeated_word_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, start, end) word spans, in no order and maybe overlapping, that together are all windows of `window`
-    words whose word sequence also starts anywhere else."""
+    """(doc_id, h, start, end) word spans, in no order and maybe overlapping, that together are all windows of `window`
+    words whose word sequence also starts anywhere else; h is the hash of the document's text."""
     spark = docs.sparkSession
     small_arrow_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = identified(docs)
     gram = min(gram, window)
     seen, length = [], gram
     while True:
@@ -72,15 +71,15 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM)
         if 2 * length > window:
             break
         length *= 2
-    rows = texts.mapInArrow(_extents(window, gram, spark.sparkContext.broadcast(seen)), "gram long, content long, doc_id long, first long, last long, windows array<long>")
+    rows = texts.mapInArrow(_extents(window, gram, spark.sparkContext.broadcast(seen)), "gram long, content long, doc_id long, h long, first long, last long, windows array<long>")
     rows = materialise(rows, "extents")
     sorted_ = classes(rows)
-    whole = sorted_.members.select("doc_id", F.col("first").alias("start"), (F.col("last") + window).alias("end"))
-    each = only_heads(rows, sorted_.heads).select("n", "doc_id", "first", F.posexplode("windows").alias("k", "h"))
+    whole = sorted_.members.select("doc_id", "h", F.col("first").alias("start"), (F.col("last") + window).alias("end"))
+    each = only_heads(rows, sorted_.heads).select("n", "doc_id", "h", "first", F.posexplode("windows").alias("k", "w"))
     each = materialise(each, "windows")
-    again = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    again = each.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
     at = F.col("first") + F.col("k")
-    single = each.where("n = 1").join(again, "h", "left_semi").select("doc_id", at.alias("start"), (at + window).alias("end"))
+    single = each.where("n = 1").join(again, "w", "left_semi").select("doc_id", "h", at.alias("start"), (at + window).alias("end"))
     return whole.unionByName(single)
 
 
@@ -114,21 +113,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _with_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """docs as d, joined with an array `spans` of the word spans that repeat (null: none)."""
-    spans = repeated_word_spans(docs, window, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return docs.alias("d").join(spans.alias("s"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")), "left")
-
-
 def without_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row of docs (doc_id, text; others are not read).
 
     Every word covered by a window that also starts anywhere else is removed, in all its places; the digest is that of
-    the words that stay, joined by one space. Null, empty and blank texts have no words. Rows that repeat a doc_id
-    share their findings, and a repeated row is a copy like any other. An empty table gives no rows.
+    the words that stay, joined by one space. Null, empty and blank texts have no words. Every row is a text of its own: rows
+    that repeat a doc_id (null too) are compared like any others, so a repeated row is a copy. An empty table gives no rows.
     """
+    small_arrow_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = _with_spans(texts, window, gram).select("d.doc_id", "d.text", "s.spans")
+    joined = beside_spans(texts, repeated_word_spans(texts, window, gram)).withColumnRenamed("spans of this row", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -145,6 +139,10 @@ def _rest(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def cut_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """docs, all columns, whose text has lost its repeated windows; a text without any stays as it is, white space included."""
-    joined = _with_spans(docs, window, gram)
-    return joined.select(*[_rest(F.col("d.text"), F.col("s.spans")).alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
+    """docs, all columns, whose text has lost its repeated windows; a text without any stays as it is, white space included.
+
+    Every row is a text of its own, as in without_repeated_windows; null and empty texts and null doc_ids stay as they are.
+    """
+    joined = beside_spans(docs, repeated_word_spans(docs, window, gram))
+    text = F.when(F.col("spans of this row").isNull(), F.col("text")).otherwise(_rest(F.col("text"), F.col("spans of this row")))
+    return joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,9 +7,10 @@ suffix array (order and adjacent common prefixes) and scans it with a stack. Eve
 common prefixes of at least `length` bytes whose occurrences differ in the byte to their left is a maximal
 repeat, and is output with all its occurrences.
 
-A gram with more than HOT classes would make one task's array too long: its extents are cut down to the runs of
-windows that repeat, which again are sorted into classes, and only where these differ are windows compared by a
-grouped least place.
+A gram with more than HOT classes would make one task's array too long. Its extents are taken apart by longer context: each is cut into PARTS
+by where its windows start, and a part belongs to the gram of all bytes that its windows share, which is longer than the gram before. Parts are
+sorted into classes again, so that copied middles leave at once, and are cut on until every gram has few classes. A single
+window is its own context, so this ends; rows follow the logarithm of a window's length, not its windows.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.hashing import _UNITS, Bloom, Windows, ragged, signed, slices, whole_groups
-from loomspan.llm.repeats import Extents, classes, gram_keys, only_heads, repeated_keys, surviving
+from loomspan.llm.hashing import _UNITS, Bloom, Windows, mix, signed, slices, whole_groups
+from loomspan.llm.repeats import Extents, beside_spans, classes, gram_keys, identified, only_heads, repeated_keys, surviving
 from loomspan.session import materialise, small_arrow_batches
 
 LENGTH = 100
 GRAM = 32
 HOT = 400
+PARTS = 4
 CHUNK_ROWS = 1500
 
 
@@ -36,31 +38,33 @@ def _read(data: np.ndarray, bounds: np.ndarray) -> tuple[Windows, np.ndarray]:
     return Windows(_UNITS[data]), bounds
 
 
-EXTENT = "gram long, content long, doc_id long, first long, last long"
+EXTENT = "gram long, content long, doc_id long, h long, first long, last long"
+DETAIL = f"{EXTENT}, at int, bytes binary"
 
 
 def _extents(window: int, gram: int, seen, only=None):
-    """The extents of every text; with `only`, a broadcast filter of grams, just theirs, and with their bytes."""
+    """The extents of every text; with `only`, a broadcast filter of grams, just theirs, with their bytes and the place `at` of the gram in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
             for row, _, data, bounds in slices(batch.column("text")):
                 units, edges = _read(data, bounds)
                 found = surviving(units, edges, gram, window, seen.value)
                 if only:
                     keep = only.value.might_hold(found.gram)
                     found = Extents(*[x[keep] for x in (found.text, found.anchor, found.first, found.last, found.gram)])
-                end = found.last + window
+                end, rows = found.last + window, pa.array(row + found.text)
                 columns = {
                     "gram": pa.array(signed(found.gram)),
                     "content": pa.array(signed(units.spans(found.first, end) + (found.anchor - found.first).astype(np.uint64))),
-                    "doc_id": ids.take(pa.array(row + found.text)),
+                    "doc_id": batch.column("doc_id").take(rows),
+                    "h": batch.column("h").take(rows),
                     "first": pa.array((found.first - edges[found.text]).astype(np.int64)),
                     "last": pa.array((found.last - edges[found.text]).astype(np.int64)),
                 }
                 if only:
                     raw = data.tobytes()
+                    columns["at"] = pa.array((found.anchor - found.first).astype(np.int32))
                     columns["bytes"] = pa.array([raw[a:b] for a, b in zip(found.first.tolist(), end.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -118,65 +122,58 @@ def maximal_repeats(texts: list[bytes], starts: list[int], least: int) -> Iterat
         yield shared, list(zip(text[left : right + 1].tolist(), position[left : right + 1].tolist(), strict=True))
 
 
-REPEAT = "gram long, length long, doc_id long, start long, earliest boolean"
+REPEAT = "gram long, length long, doc_id long, h long, start long, earliest boolean"
 
 
 def _repeats_in(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_groups(batches, "gram", CHUNK_ROWS):
-            gram, ids, first = (chunk.column(c).to_pylist() for c in ("gram", "doc_id", "first"))
+            gram, ids, h, first = (chunk.column(c).to_pylist() for c in ("gram", "doc_id", "h", "first"))
             starts = (chunk.column("last").to_numpy() - chunk.column("first").to_numpy() + 1).tolist()
             out: list[tuple] = []
             for length, places in maximal_repeats(chunk.column("bytes").to_pylist(), starts, least):
-                found = [(ids[t], first[t] + p, gram[t]) for t, p in places]
-                head = min(found, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-                out += [(g, length, d, s, (d, s) == head[:2]) for d, s, g in found]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 4 + (pa.bool_(),), strict=True)], ["gram", "length", "doc_id", "start", "earliest"])
+                found = [(gram[t], length, ids[t], h[t], first[t] + p) for t, p in places]
+                head = min((d is not None, d or 0, k, s) for _, _, d, k, s in found)
+                out += [(*x, (x[2] is not None, x[2] or 0, *x[3:]) == head) for x in found]
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 5 + (pa.bool_(),), strict=True)], ["gram", "length", "doc_id", "h", "start", "earliest"])
 
     return run
 
 
-def _runs_of(window: int, again):
-    """Extents with bytes, cut into the runs of windows that `again`, a broadcast filter of window hashes, lets through."""
+def _parts(window: int, low: int, width: int):
+    """Extents whose windows start at `low` to low + width - 1, counted from their gram, cut into PARTS with longer grams."""
+    step = -(-width // PARTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, _, data, bounds in slices_of_bytes(batch.column("bytes")):
-                units = Windows(_UNITS[data])
-                text, at = _window_starts(bounds, window)
-                keep = again.value.might_hold(units.each(window)[at])
-                text, at = text[keep], at[keep]
-                fresh = np.ones(len(at), dtype=bool)
-                fresh[1:] = (np.diff(at) > 1) | (np.diff(text) > 0)
-                begins = np.flatnonzero(fresh)
-                low, high = at[begins], at[np.append(begins[1:], len(at)) - 1] if len(at) else at
-                rows = pa.array(row + text[begins])
-                first = batch.column("first").take(rows).to_numpy() + low - bounds[text[begins]]
-                raw = data.tobytes()
-                content = units.spans(low, high + window)
-                parts = [pa.array(signed(content)), batch.column("doc_id").take(rows), pa.array(first), pa.array(first + high - low)]
-                yield pa.RecordBatch.from_arrays([batch.column("gram").take(rows), *parts, pa.array([raw[a:b] for a, b in zip(low.tolist(), (high + window).tolist(), strict=True)], pa.binary())], ["gram", "content", "doc_id", "first", "last", "bytes"])
-
-    return run
-
-
-def _window_starts(bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, start) of every window of texts of at least `window` bytes each."""
-    count = np.diff(bounds) - window + 1
-    return np.repeat(np.arange(len(count)), count), ragged(bounds[:-1], count)
-
-
-def _windows_of(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, _, data, bounds in slices_of_bytes(batch.column("bytes")):
-                text, at = _window_starts(bounds, window)
-                rows = pa.array(row + text)
-                first = batch.column("first").take(rows).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(signed(Windows(_UNITS[data]).each(window)[at])), batch.column("doc_id").take(rows), pa.array(first + at - bounds[text])], ["h", "doc_id", "start"])
-
-    return run
+            gram, first, last, at = (batch.column(c).to_numpy() for c in ("gram", "first", "last", "at"))
+            for row, end, data, bounds in slices_of_bytes(batch.column("bytes")):
+                units, raw = Windows(_UNITS[data]), data.tobytes()
+                mine = slice(row, end)
+                anchor = bounds[:-1] + at[mine]
+                for begin in range(low, low + width, step):
+                    stop = min(begin + step, low + width) - 1
+                    a, b = np.maximum(bounds[:-1], anchor + begin), np.minimum(bounds[1:] - window, anchor + stop)
+                    some = np.flatnonzero(a <= b)
+                    rows, place, a, b = pa.array(row + some), anchor[some], a[some], b[some]
+                    shift = a - bounds[:-1][some]
+                    core = mix(units.spans(place + stop, place + begin + window) ^ mix(gram[mine][some].view(np.uint64) + np.uint64(begin - low)))
+                    content = units.spans(a, b + window) + (place - a).astype(np.uint64)
+                    columns = {
+                        "gram": pa.array(signed(core)),
+                        "content": pa.array(signed(content)),
+                        "doc_id": batch.column("doc_id").take(rows),
+                        "h": batch.column("h").take(rows),
+                        "first": pa.array(first[mine][some] + shift),
+                        "last": pa.array(first[mine][some] + shift + b - a),
+                        # counted from where the next parts' windows may start
+                        "at": pa.array((place + begin - low - a).astype(np.int32)),
+                        "bytes": pa.array([raw[x:y] for x, y in zip(a.tolist(), (b + window).tolist(), strict=True)], pa.binary()),
+                    }
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return run, step
 
 
 def slices_of_bytes(column: pa.Array):
@@ -188,42 +185,40 @@ def slices_of_bytes(column: pa.Array):
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
 
 
-def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(copies, groups, loose): the repeats of at least `length` bytes in three forms.
+def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """(copies, groups): the repeats of at least `length` bytes in two forms.
 
-    copies: extents (doc_id, first, last, head) of equal content with their earliest place. groups: the maximal
-    repeats among what is left, one row for each occurrence. loose: windows (doc_id, start) of hot grams that also start earlier.
+    copies: extents (doc_id, h, first, last, head) of equal content with their earliest place. groups: the maximal
+    repeats among what is left, one row for each occurrence; a copied extent stands there by its head alone.
     """
     spark = docs.sparkSession
     small_arrow_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = identified(docs)
     gram = min(gram, length)
     keys = repeated_keys(gram_keys(texts, _read, gram, length, gram, spark.sparkContext.broadcast([])))
     seen = spark.sparkContext.broadcast([(gram, Bloom.of(keys, "key"))])
     rows = materialise(texts.mapInArrow(_extents(length, gram, seen), EXTENT), "extents")
     sorted_ = classes(rows)
-    copies = sorted_.members.select("doc_id", "first", "last", "head")
+    copy = ("doc_id", "h", "first", "last", "head")
+    copies = sorted_.members.select(*copy)
     heads = materialise(sorted_.heads, "heads")
     only = spark.sparkContext.broadcast(Bloom.of(heads.select("gram").distinct(), "gram"))
-    detail = only_heads(texts.mapInArrow(_extents(length, gram, seen, only), f"{EXTENT}, bytes binary"), heads)
-    detail = materialise(detail.select("gram", "doc_id", "first", "last", "bytes"), "detail")
-    hot = detail.groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("gram")
-    hot = materialise(hot, "hot")
-    cold = detail.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
-    groups = cold.mapInArrow(_repeats_in(length), REPEAT)
-
-    many = materialise(detail.join(hot, "gram", "left_semi"), "many")
-    windows = "h long, doc_id long, start long"
-    again = many.mapInArrow(_windows_of(length), windows).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    again = spark.sparkContext.broadcast(Bloom.of(materialise(again, "again"), "h"))
-    runs = materialise(many.mapInArrow(_runs_of(length, again), f"{EXTENT}, bytes binary"), "runs")
-    of_runs = classes(runs)
-    copies = copies.unionByName(of_runs.members.select("doc_id", "first", "last", "head"))
-    each = materialise(only_heads(runs, of_runs.heads).mapInArrow(_windows_of(length), windows), "windows")
-    place = F.struct("doc_id", "start")
-    least = each.groupBy("h").agg(F.count("*").alias("c"), F.min(place).alias("head")).where("c > 1")
-    loose = each.join(least, "h").where(~place.eqNullSafe(F.col("head"))).select("doc_id", "start")
-    return copies, groups, loose
+    detail = only_heads(texts.mapInArrow(_extents(length, gram, seen, only), DETAIL), heads)
+    columns = ("gram", "doc_id", "h", "first", "last", "at", "bytes")
+    level, groups, low, width = materialise(detail.select(*columns), "detail"), None, gram - length, length - gram + 1
+    while True:
+        hot = materialise(level.groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("gram"), "hot")
+        some_hot = width > 1 and hot.limit(1).count() > 0
+        cold = level.join(hot, "gram", "left_anti") if some_hot else level
+        found = cold.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeats_in(length), REPEAT)
+        groups = found if groups is None else groups.unionByName(found)
+        if not some_hot:
+            return copies, groups
+        cut, step = _parts(length, low, width)
+        parts = materialise(level.join(hot, "gram", "left_semi").mapInArrow(cut, DETAIL), "parts")
+        of_parts = classes(parts)
+        copies = copies.unionByName(of_parts.members.select(*copy))
+        level, width = materialise(only_heads(parts, of_parts.heads).select(*columns), "detail"), step
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,14 +248,13 @@ def without_earlier_strings(docs: DataFrame, length: int = LENGTH, gram: int = G
 
     Removed is each byte covered by a string of `length` bytes that also starts earlier: in a document of
     smaller doc_id (null is smallest), or before it in the same one. kept holds the bytes that stay, or null where all do. A null text
-    is empty. Rows that repeat a doc_id are the same document and share their findings. An empty table gives no rows.
+    is empty. Rows of one doc_id with different texts are documents of their own, ordered by a hash of the text; rows that
+    repeat both (null ids too) are one document, given once for each row. An empty table gives no rows.
     """
-    copies, groups, loose = repeat_groups(docs, length, gram)
-    place = F.struct("doc_id", "first")
-    spans = copies.where(~place.eqNullSafe(F.col("head"))).select("doc_id", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    spans = spans.unionByName(groups.where(~F.col("earliest")).select("doc_id", "start", (F.col("start") + F.col("length")).alias("end")))
-    spans = spans.unionByName(loose.select("doc_id", "start", (F.col("start") + length).alias("end")))
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).alias("d")
-    joined = texts.join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left").select("d.doc_id", "d.text", "s.spans")
+    copies, groups = repeat_groups(docs, length, gram)
+    place = F.struct("doc_id", "h", "first")
+    spans = copies.where(~place.eqNullSafe(F.col("head"))).select("doc_id", "h", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+    spans = spans.unionByName(groups.where(~F.col("earliest")).select("doc_id", "h", "start", (F.col("start") + F.col("length")).alias("end")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    joined = beside_spans(texts, spans).withColumnRenamed("spans of this row", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
