@@ -1,17 +1,22 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element, in page order. A line inside
+Markup is stripped into lines, one for each block element, in page order. Tags only weigh lines: a line inside
 boilerplate (menus, page headers, footers, asides, notices, adverts, forms, comment threads) keeps
-its place but counts no text, and link text counts no text either. The text lengths of sliding
-windows of lines then give a distribution: content starts where a window surges above the floor and
-ends where the following windows dive to it. All lines between a surge and its dive are kept, short
-ones included.
+its place but counts no text, link text outside an article counts none either, and where marked articles hold most of a
+page's text, lines outside them count none.
+
+The sums of the weights over sliding windows of lines then decide. The floor comes from the page itself: if its window
+sums fall into two kinds far apart, it is the threshold between these (Otsu's, on logarithms), else a single
+character. Content starts where a window surges to the floor and ends where the windows dive below it. All lines between a
+surge and its dive are kept, short ones included; at both ends, lines that stand in another container than the text do not
+belong to it, and lines in the same one do.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,7 +27,8 @@ from pyspark.sql.types import StringType
 from loomspan.session import small_arrow_batches
 
 WINDOW = 3
-FLOOR = 1
+APART = 4.0
+ARTICLE_SHARE = 0.4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -50,6 +56,7 @@ BOILERPLATE_NAMES = frozenset(
     "disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo "
     "promoted related replies reply respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+CONTAINERS = frozenset("article body center details div main section td th".split())
 P_CLOSERS = BLOCKS - {"body", "html", "head"}
 
 
@@ -72,23 +79,32 @@ def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     return not BOILERPLATE_NAMES.isdisjoint(re.split(r"[\s_-]+", words))
 
 
-def page_lines(source: str) -> tuple[list[str], list[int]]:
-    """(text, weight) of every block line: the weight is its length without links outside an article, 0 in boilerplate."""
-    lines: list[str] = []
-    weights: list[int] = []
+@dataclass
+class Line:
+    """A block of text: its weight is its length without links outside an article, and its containers are numbered, outermost first."""
+
+    text: str
+    weight: int
+    containers: tuple[int, ...]
+    in_article: bool
+
+
+def page_lines(source: str) -> list[Line]:
+    """The block lines of a page; those in boilerplate have neither text nor weight."""
+    lines: list[Line] = []
     part: list[str] = []
     linked: list[str] = []
     links = 0
     open_tags: list[tuple[str, bool]] = []
-    muted = 0
-    articles = 0
+    containers: list[int] = []
+    muted = articles = numbered = 0
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(part)).split())
         part.clear()
         if text:
-            lines.append("" if muted else text)
-            weights.append(0 if muted else len(text) - min(len(text), len(" ".join(html.unescape("".join(linked)).split()))))
+            weight = 0 if muted else len(text) - min(len(text), len(" ".join(html.unescape("".join(linked)).split())))
+            lines.append(Line("" if muted else text, weight, tuple(containers), articles > 0))
         linked.clear()
 
     def close(upto: int) -> None:
@@ -97,6 +113,8 @@ def page_lines(source: str) -> tuple[list[str], list[int]]:
             tag, mutes = open_tags.pop()
             muted -= mutes
             articles -= tag in ("article", "main")
+            if tag in CONTAINERS:
+                containers.pop()
 
     at = 0
     for m in _TOKEN.finditer(source):
@@ -147,40 +165,81 @@ def page_lines(source: str) -> tuple[list[str], list[int]]:
         open_tags.append((tag, mutes))
         muted += mutes
         articles += tag in ("article", "main")
+        if tag in CONTAINERS:
+            numbered += 1
+            containers.append(numbered)
     part.append(source[at:])
     flush()
-    return lines, weights
+    return lines
 
 
-def surges(weights: list[int], window: int = WINDOW, floor: int = FLOOR) -> list[tuple[int, int]]:
-    """[start, end) of each run of lines from a surge of the window sums to the dive that ends it.
+def line_weights(lines: list[Line]) -> np.ndarray:
+    """The weight of each line; lines outside articles count nothing where articles hold at least ARTICLE_SHARE of the weight."""
+    weight = np.array([x.weight for x in lines], dtype=np.int64)
+    inside = np.array([x.in_article for x in lines], dtype=bool)
+    return np.where(inside, weight, 0) if weight[inside].sum() >= ARTICLE_SHARE * max(1, weight.sum()) else weight
 
-    The sum of a window that starts at line i is compared with the floor. A surge is the first line
-    with text in a window at or above it; a dive is the line after which a whole window is below it.
-    """
-    w = np.asarray(weights, dtype=np.int64)
-    if not len(w):
-        return []
-    ahead = np.convolve(w, np.ones(window, dtype=np.int64))[window - 1 :]
-    ahead = np.concatenate([ahead, np.zeros(len(w) - len(ahead), dtype=np.int64)])[: len(w)]
-    found, i = [], 0
-    while i < len(w):
-        if not (w[i] and ahead[i] >= floor):
+
+def window_sums(weights: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The sum of the window of lines that starts at each line; windows at the end are short."""
+    total = np.concatenate([[0], np.cumsum(weights)])
+    at = np.arange(len(weights))
+    return total[np.minimum(at + window, len(weights))] - total[at]
+
+
+def page_floor(sums: np.ndarray, apart: float = APART) -> float:
+    """The least window sum of text: Otsu's threshold on the logarithms of a page's window sums, if both sides are `apart` times apart, else 1."""
+    level = np.sort(np.log(sums[sums > 0]))
+    if len(level) < 2:
+        return 1.0
+    n = np.arange(1, len(level))
+    below = np.cumsum(level)[:-1] / n
+    above = (level.sum() - np.cumsum(level)[:-1]) / (len(level) - n)
+    k = int(np.argmax(n * (len(level) - n) * (above - below) ** 2))
+    return float(np.exp(level[k + 1])) * (1 - 1e-9) if above[k] - below[k] >= np.log(apart) else 1.0
+
+
+def _together(a: Line, b: Line) -> bool:
+    """Do two lines stand in one container, or one of them in a container inside the other's? The page's body alone joins only its own lines."""
+    inner, outer = (a, b) if len(a.containers) >= len(b.containers) else (b, a)
+    if len(outer.containers) <= 1:
+        return len(inner.containers) <= 1
+    return inner.containers[: len(outer.containers)] == outer.containers
+
+
+def surges(lines: list[Line], weights: np.ndarray, floor: float, window: int = WINDOW) -> list[tuple[int, int]]:
+    """[start, end) of each run of lines from a surge of the window sums to the dive that ends it."""
+    full = window_sums(weights, window) >= floor
+    found: list[tuple[int, int]] = []
+    heavy = weights * window >= floor
+    i = 0
+    while i < len(lines):
+        if not full[i]:
             i += 1
             continue
-        j = i + 1
-        while j < len(w) and ahead[j] >= floor:
+        j = i
+        while j < len(lines) and full[j]:
             j += 1
-        while j > i and not w[j - 1]:
-            j -= 1
-        found.append((i, j))
-        i = j
+        end = min(len(lines), j - 1 + window)
+        text = [k for k in range(i, end) if heavy[k] and weights[k]] or [i + int(np.argmax(weights[i:end]))]
+        first, last = text[0], text[-1]
+        # short lines beside the text belong to it if they stand in its container, however many they are
+        while first and weights[first - 1] and _together(lines[first - 1], lines[text[0]]):
+            first -= 1
+        while last + 1 < len(lines) and weights[last + 1] and _together(lines[last + 1], lines[text[-1]]):
+            last += 1
+        if found and len(lines[first].containers) > 1 and _together(lines[found[-1][1] - 1], lines[first]):
+            first = found.pop()[0]  # what lies between two surges of one container is part of it
+        found.append((first, last + 1))
+        i = max(j, last + 1)
     return found
 
 
 def main_text(source: str | None) -> str:
-    lines, weights = page_lines((source or "").replace("\x00", ""))
-    return "\n".join(x for a, b in surges(weights) for x in lines[a:b] if x)
+    lines = page_lines(source or "")
+    weights = line_weights(lines)
+    floor = page_floor(window_sums(weights))
+    return "\n".join(x.text for a, b in surges(lines, weights, floor) for x in lines[a:b] if x.text)
 
 
 @F.pandas_udf(StringType())
@@ -191,8 +250,9 @@ def _main_text(sources: pd.Series) -> pd.Series:
 def extract_text(pages: DataFrame, html_column: str = "html", into: str = "text") -> DataFrame:
     """pages with the main text of each html in column `into`; a null, empty or textless page gives ''.
 
-    A narrow map over pages: no shuffle, and Arrow batches of bounded rows. Truncated markup ends at
-    the end of the page; unknown character references stay as written.
+    A column of that name is replaced; all others, repeated rows and null ids stay as they are. A narrow map over pages: no
+    shuffle, and Arrow batches of bounded rows. Truncated markup ends at the end of the page; unknown character
+    references stay as written. An empty table gives no rows.
     """
     small_arrow_batches(pages.sparkSession)
     return pages.withColumn(into, _main_text(F.col(html_column)))
