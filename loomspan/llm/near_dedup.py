@@ -6,12 +6,14 @@
    on the minwise tokens chosen on the way; at every node one coordinate of the signature is chosen,
    and a second one with the chance that makes 1/threshold children the expectation, so that a pair at the
    threshold keeps an expected one common child at every depth.
-3. The members of a node are first linked to its pivot; whatever that joins is one component and
+3. The members of a node are first compared with its pivot; whatever that links is one component and
    is never compared again. A node with few sets outside its largest component is then compared
    exhaustively between components; other nodes branch further, and what is left at MAX_DEPTH is compared exhaustively too.
    Nodes of at most NODE_ROWS sets are walked down to the end inside one task each; larger ones branch across the cluster until they are that small.
-4. Candidates pass a size bound and a sketch of 128 one-bit minwise hashes, and are then confirmed on
-   full sets.
+4. A comparison inside a node is a size bound and a sketch of 128 one-bit minwise hashes. What it finds is not a pair of sets but
+   a set and the component it may join: a node gives at most SMALL + 1 rows for each of its sets outside the largest component, however large that is.
+5. Such sets are then held against all members of that component on full sets, in blocks of about BLOCK_ROWS sets or BLOCK_SHINGLES on either side: every set
+   travels once for each block of the other side, and only links leave a task, one for each set and component.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.hashing import Bloom, Windows, Words, mix, ragged, signed, slices, whole_groups
+from loomspan.llm.repeats import identified
 from loomspan.operators.graph import connected_components
-from loomspan.session import materialise, small_arrow_batches
+from loomspan.session import arrow_batches, materialise, small_arrow_batches
 
 SHINGLE = 5
 COORDINATES = 64
@@ -36,6 +39,10 @@ MAX_DEPTH = 16
 NODE_ROWS = 20_000
 CHUNK_ROWS = 5000
 SKETCH_SLACK = 4.5
+BLOCK_ROWS = 2000
+BLOCK_SHINGLES = 1_000_000
+BATCH_ROWS = 200
+VECTOR_NODE = 64
 
 _RNG = np.random.default_rng(77003)
 _FACTORS = _RNG.integers(0, 1 << 64, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -70,8 +77,7 @@ def _minima(h: np.ndarray, starts: np.ndarray, factor: np.uint64) -> np.ndarray:
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for row, end, data, bounds in slices(batch.column(1)):
+            for row, end, data, bounds in slices(batch.column("text")):
                 h, sizes = shingle_sets(data, bounds, width)
                 some = np.flatnonzero(sizes)
                 starts = (np.cumsum(sizes) - sizes)[some]
@@ -86,8 +92,8 @@ def _signatures(width: int):
                         bit = mix(_minima(h, starts, f)) & np.uint64(1)
                         (s1 if i < 64 else s2)[some] |= bit << np.uint64(i % 64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, end - row), pa.array(sizes.astype(np.int64)), *[pa.array(signed(x)) for x in (k1, k2, s1, s2)], pa.array([x.tobytes() for x in sig], pa.binary())],
-                    ["doc_id", "n", "k1", "k2", "s1", "s2", "sig"],
+                    [batch.column("doc_id").slice(row, end - row), batch.column("h").slice(row, end - row), pa.array(sizes.astype(np.int64)), *[pa.array(signed(x)) for x in (k1, k2, s1, s2)], pa.array([x.tobytes() for x in sig], pa.binary())],
+                    ["doc_id", "h", "n", "k1", "k2", "s1", "s2", "sig"],
                 )
 
     return run
@@ -96,11 +102,11 @@ def _signatures(width: int):
 def _sets(width: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(wanted.value.might_hold(batch.column(2).to_numpy())))
-            for row, end, data, bounds in slices(batch.column(1)):
+            batch = batch.filter(pa.array(wanted.value.might_hold(batch.column("key").to_numpy())))
+            for row, end, data, bounds in slices(batch.column("text")):
                 h, sizes = shingle_sets(data, bounds, width)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(signed(h)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), lists], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), batch.column("h").slice(row, end - row), lists], ["rep", "h", "shingles"])
 
     return run
 
@@ -147,104 +153,168 @@ def _slack(percent: int) -> int:
     return int(expected + SKETCH_SLACK * (expected * (1 - (1 - percent / 100) / 2)) ** 0.5)
 
 
-def _alike(a: str, b: str, percent: int) -> F.Column:
-    """The bounds that every pair at the threshold meets: sizes surely, the sketch nearly so."""
-    return F.expr(
-        f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND bit_count({a}.s1 ^ {b}.s1) + bit_count({a}.s2 ^ {b}.s2) <= {_slack(percent)}"
-    )
+def _alike(n, s1, s2, a, b, percent: int) -> np.ndarray:
+    """The bounds that every pair at the threshold meets, of rows a against rows b: sizes surely, the sketch nearly so."""
+    near = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+    return near & (np.bitwise_count(s1[a] ^ s1[b]).astype(np.int64) + np.bitwise_count(s2[a] ^ s2[b]) <= _slack(percent))
 
 
-def _walked(percent: int, depth: int):
-    """Candidate pairs (a, b) of whole nodes of bounded size, walked down from `depth` inside the task, all nodes of a chunk at once."""
-    slack = _slack(percent)
+def _walked(percent: int, depth: int, last: int):
+    """Distinct (c, rep): sets that may be linked with a set of component c. Rows are whole nodes of bounded size, walked down from `depth`
+    to `last` inside the task, all nodes of a chunk at once."""
 
-    def against(rows: np.ndarray, rep, component, n, s1, s2) -> Iterator[np.ndarray]:
+    def within(row, part_size, edges, component, *sketch) -> Iterator[np.ndarray]:
+        """All pairs of small nodes; row is sorted by node and component, part_size holds how many of the row's node are of its component."""
+        node_end = np.repeat(edges[1:], np.diff(edges))
+        at = np.arange(len(row))
+        count = node_end - at - 1
+        left, right = np.repeat(at, count), ragged(at + 1, count)
+        a, b = row[left], row[right]
+        near = (component[a] != component[b]) & _alike(*sketch, a, b, percent)
+        left, right = left[near], right[near]
+        swap = (part_size[left] > part_size[right]) | ((part_size[left] == part_size[right]) & (component[row[left]] > component[row[right]]))
+        yield np.stack([component[row[np.where(swap, left, right)]], row[np.where(swap, right, left)]], axis=1)
+
+    def against(rows: np.ndarray, component, *sketch) -> Iterator[np.ndarray]:
+        """The sets of one node outside its largest component against all others."""
         names, count = np.unique(component[rows], return_counts=True)
-        outside = rows[component[rows] != names[np.argmax(count)]]
+        main = names[np.argmax(count)]
+        outside = rows[component[rows] != main]
         for k in range(0, len(outside), 256):
             i = outside[k : k + 256][:, None]
-            near = (component[i] != component[rows]) & (100 * np.minimum(n[i], n[rows]) >= percent * np.maximum(n[i], n[rows]))
-            near &= np.bitwise_count(s1[i] ^ s1[rows]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[rows]) <= slack
+            near = (component[i] != component[rows]) & ((component[rows] == main) | (component[i] < component[rows])) & _alike(*sketch, i, rows[None, :], percent)
             left, right = np.nonzero(near)
-            x, y = rep[outside[k + left]], rep[rows[right]]
-            yield np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
+            yield np.unique(np.stack([component[rows[right]], outside[k + left]], axis=1), axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_groups(batches, "node", CHUNK_ROWS):
-            columns = [chunk.column(c).to_numpy() for c in ("rep", "component", "n")] + [chunk.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2")]
-            component, sig = columns[1], _sig_matrix(chunk.column("sig"))
+            rep, component, n = (chunk.column(c).to_numpy() for c in ("rep", "component", "n"))
+            sketch = (n, *[chunk.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2")])
+            sig = _sig_matrix(chunk.column("sig")) if last > depth else None
             node, row = chunk.column("node").to_numpy().view(np.uint64), np.arange(chunk.num_rows)
             found = [np.zeros((0, 2), dtype=np.int64)]
-            for level in range(depth, MAX_DEPTH + 1):
+            for level in range(depth, last + 1):
                 order = np.lexsort((component[row], node))
                 node, row = node[order], row[order]
                 part = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (component[row[1:]] != component[row[:-1]])))
                 most = np.diff(np.append(part, len(row)))
                 first = np.flatnonzero(np.append(True, node[part][1:] != node[part][:-1]))
                 edges = np.append(part[first], len(row))
-                others = np.diff(edges) - np.maximum.reduceat(most, first)
-                done = (others > 0) & ((others <= SMALL) | (level == MAX_DEPTH))
-                for g in np.flatnonzero(done).tolist():
-                    found += against(row[edges[g] : edges[g + 1]], *columns)
-                deeper = np.repeat((others > 0) & ~done, np.diff(edges))
+                size = np.diff(edges)
+                others = size - np.maximum.reduceat(most, first)
+                done = (others > 0) & ((others <= SMALL) | (level == last))
+                for g in np.flatnonzero(done & (size > VECTOR_NODE)).tolist():
+                    found += against(row[edges[g] : edges[g + 1]], component, *sketch)
+                small = done & (size <= VECTOR_NODE)
+                if small.any():
+                    take = np.repeat(small, size)
+                    found += within(row[take], np.repeat(most, most)[take], np.append(0, np.cumsum(size[small])), component, *sketch)
+                deeper = np.repeat((others > 0) & ~done, size)
                 if not deeper.any():
                     break
                 node, row = node[deeper], row[deeper]
                 which, node = _branch(node, sig[row], percent / 100)
                 row = row[which]
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            pairs = np.concatenate(found)
+            pairs = np.unique(np.stack([pairs[:, 0], rep[pairs[:, 1]]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["c", "rep"])
+
+    return run
+
+
+def _linked_in_group(chunk: pa.Table, percent: int) -> Iterator[tuple[int, int]]:
+    """(x, y) for every set of side 0 that is linked with a set of side 1, to the first such one. One group, sorted by side."""
+    side = chunk.column("side").to_numpy()
+    shingles = chunk.column("shingles").combine_chunks()
+    shingles = shingles.chunk(0) if isinstance(shingles, pa.ChunkedArray) else shingles
+    flat, length = pc.list_flatten(shingles).to_numpy(), pc.list_value_length(shingles).to_numpy().astype(np.int64)
+    start = np.cumsum(length) - length
+    rep, n = chunk.column("rep").to_numpy(), chunk.column("n").to_numpy()
+    s1, s2 = (chunk.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2"))
+    xs, ys = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(xs) or not len(ys):
+        return
+    known, place = np.unique(flat[start[ys[0]] :], return_inverse=True)
+    base = start[ys[0]]
+    mark = np.zeros(len(known), dtype=bool)
+    for x in xs.tolist():
+        near = ys[(rep[ys] != rep[x]) & _alike(n, s1, s2, x, ys, percent)]
+        if not len(near):
+            continue
+        mine = flat[start[x] : start[x] + length[x]]
+        at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+        at = at[known[at] == mine]
+        mark[at] = True
+        held = mark[place[ragged(start[near] - base, length[near])]]
+        both = np.add.reduceat(held, np.cumsum(length[near]) - length[near], dtype=np.int64)
+        mark[at] = False
+        linked = np.flatnonzero(100 * both >= percent * (length[x] + length[near] - both))
+        if len(linked):
+            yield int(rep[x]), int(rep[near[linked[0]]])
+
+
+def _linked(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in whole_groups(batches, "key", BATCH_ROWS):
+            keys = chunk.column("key").to_numpy()
+            edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).tolist() + [len(keys)]
+            found = [x for a, b in zip(edges[:-1], edges[1:], strict=True) for x in _linked_in_group(chunk.slice(a, b - a), percent)]
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets meet the threshold."""
+def _confirm(docs: DataFrame, reps: DataFrame, candidates: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
+    """(a, b): one link on full sets for every candidate (c, rep) that is linked with one of the members (c, rep) of its group c."""
     spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = spark.sparkContext.broadcast(Bloom.of(ids.select(F.xxhash64("doc_id").alias("h")), "h"))
-    sets = materialise(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_sets(width, wanted), "doc_id long, shingles array<long>"), "sets")
-    left = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "sa"}), "a")
-    both = left.join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "sb"}), "b")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    both = both.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb") - inter).alias("u"))
-    return materialise(both.where(F.lit(100) * F.col("i") >= F.lit(percent) * F.col("u")).select("a", "b"), "links")
-
-
-def _members(rows: DataFrame, component: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(live rows with their node's size, the nodes) of all nodes that hold two sets, of two components if those are known."""
-    if component is not None:
-        rows = rows.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    else:
-        rows = rows.withColumn("component", F.col("rep"))
-    nodes = rows.groupBy("node").agg(
-        F.count("*").alias("size"),
-        F.min("component").alias("low"),
-        F.max("component").alias("high"),
-        F.min_by(F.struct("rep", "n", "s1", "s2"), F.xxhash64("node", "rep")).alias("pivot"),
-    )
-    nodes = nodes.where("low <> high").drop("low", "high")
-    return rows.join(nodes, "node"), nodes
-
-
-def _exhaustive(rows: DataFrame, percent: int) -> DataFrame:
-    a, b = rows.alias("a"), rows.alias("b")
-    on = (F.col("a.node") == F.col("b.node")) & (F.col("a.component") < F.col("b.component")) & _alike("a", "b", percent)
-    return a.join(b, on).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
-
-
-def _with_main(rows: DataFrame) -> DataFrame:
-    """rows with `main`, the largest component of their node, and `others`, how many of the node's sets lie outside it."""
-    sizes = rows.groupBy("node", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("node").agg(F.max_by("component", F.struct("c", "component")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
-    return rows.join(main, "node")
-
-
-def _against_minority(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs between components of a node, whose larger side is only read and never multiplied by itself."""
-    a, b = rows.where("component <> main").alias("a"), rows.alias("b")
-    on = (F.col("a.node") == F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _alike("a", "b", percent)
-    return a.join(b, on).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
+    sides = candidates.select("c", "rep", F.lit(0).alias("side")).union(members.join(candidates.select("c").distinct(), "c", "left_semi").select("c", "rep", F.lit(1)))
+    sides = materialise(sides.distinct(), "sides")
+    used = materialise(sides.select("rep").distinct().join(reps.select("rep", "h", "n", "s1", "s2"), "rep"), "used")
+
+    def blocks(side: int) -> F.Column:
+        mine = F.when(F.col("side") == side, F.col("n"))
+        return F.greatest(F.lit(1), F.ceil(F.count(mine) / BLOCK_ROWS), F.ceil(F.coalesce(F.sum(mine), F.lit(0)) / BLOCK_SHINGLES)).cast("int").alias(f"b{side}")
+
+    counts = sides.join(used.select("rep", "n"), "rep").groupBy("c").agg(blocks(0), blocks(1)).where("b0 * b1 > 1")
+    dealt = sides.join(counts, "c", "left").withColumns({"b0": F.coalesce("b0", F.lit(1)), "b1": F.coalesce("b1", F.lit(1))})
+    own, other = F.when(F.col("side") == 0, F.col("b0")).otherwise(F.col("b1")), F.when(F.col("side") == 0, F.col("b1")).otherwise(F.col("b0"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), own)).withColumn("theirs", F.explode(F.sequence(F.lit(0), other - 1)))
+    block = F.when(F.col("side") == 0, F.struct(F.col("mine").cast("long").alias("x"), F.col("theirs").cast("long").alias("y")))
+    block = block.otherwise(F.struct(F.col("theirs").cast("long").alias("x"), F.col("mine").cast("long").alias("y")))
+    dealt = dealt.select(F.xxhash64("c", block).alias("key"), "side", "rep")
+
+    wanted = spark.sparkContext.broadcast(Bloom.of(used.select(F.xxhash64("rep", "h").alias("key")), "key"))
+    sets = docs.select("doc_id", "h", "text", F.xxhash64("doc_id", "h").alias("key")).mapInArrow(_sets(width, wanted), "rep long, h long, shingles array<long>")
+    sets = materialise(sets.join(used, ["rep", "h"]).drop("h"), "sets")
+    work = dealt.join(sets, "rep").repartition("key").sortWithinPartitions("key", "side")
+    with arrow_batches(spark, BATCH_ROWS):
+        return materialise(work.select("key", "side", "rep", "n", "s1", "s2", "shingles").mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
+
+
+def _live(rows: DataFrame, component: DataFrame) -> DataFrame:
+    """rows of all nodes that hold sets of two components, with their node's size, and how many of its sets lie outside its largest component."""
+    rows = rows.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parts = rows.groupBy("node", "component").agg(F.count("*").alias("k"))
+    nodes = parts.groupBy("node").agg(F.sum("k").alias("size"), (F.sum("k") - F.max("k")).alias("others"), F.max_by("component", F.struct("k", "component")).alias("main")).where("others > 0")
+    return materialise(rows.join(nodes, "node"), "live")
+
+
+def _pivots(rows: DataFrame, percent: int) -> DataFrame:
+    """(c, rep): the sets of nodes of several that may be linked with the node's pivot c."""
+    pivot = F.min_by(F.struct(F.col("rep").alias("c"), F.col("n").alias("pn"), F.col("s1").alias("p1"), F.col("s2").alias("p2")), F.xxhash64("node", "rep"))
+    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), pivot.alias("p")).where("size > 1").select("node", "p.*")
+    sizes = F.lit(100) * F.least("n", "pn") >= F.lit(percent) * F.greatest("n", "pn")
+    bits = F.bit_count(F.col("s1").bitwiseXOR(F.col("p1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("p2")))
+    return rows.join(nodes, "node").where((F.col("rep") != F.col("c")) & sizes & (bits <= _slack(percent))).select("c", "rep").distinct()
+
+
+def _in_pieces(rows: DataFrame) -> DataFrame:
+    """Nodes of more than NODE_ROWS sets in pieces of that many; the sets outside the largest component stand in every piece."""
+    pieces = F.ceil(F.col("size") / NODE_ROWS).cast("int")
+    piece = F.when(F.col("component") == F.col("main"), F.array(F.pmod(F.xxhash64("rep"), pieces).cast("int"))).otherwise(F.sequence(F.lit(0), pieces - 1))
+    cut = rows.withColumn("piece", F.explode(piece))
+    return cut.withColumn("node", F.when(F.col("size") > NODE_ROWS, F.xxhash64("node", "piece")).otherwise(F.col("node")))
 
 
 def _with_signatures(rows: DataFrame, reps: DataFrame) -> DataFrame:
@@ -259,49 +329,75 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE, tr
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets;
     component_id is the least doc_id reachable over links. Texts without words, null and empty
-    texts have no shingles and are linked with nothing. Rows that repeat a doc_id are the same document;
-    a null doc_id stays alone, with a null component_id and kept false. An empty table gives no rows.
+    texts have no shingles and are linked with nothing. Rows that repeat a doc_id are the same document: its links are
+    those of the row whose set has the least hash, and sets equal to that of any of its rows. A null doc_id stays alone,
+    with a null component_id and kept false. An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_arrow_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialise(docs.mapInArrow(_signatures(width), "doc_id long, n long, k1 long, k2 long, s1 long, s2 long, sig binary"), "signatures")
+    docs = identified(docs)
+    found = materialise(docs.mapInArrow(_signatures(width), "doc_id long, h long, n long, k1 long, k2 long, s1 long, s2 long, sig binary"), "signatures")
     sets = found.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialise(sets.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    of_class = materialise(sets.select("doc_id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"]).select("doc_id", "rep"), "of-class")
-    reps = sets.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2", "n"), ["doc_id", "k1", "k2", "n"], "left_semi").dropDuplicates(["doc_id"])
-    reps = materialise(reps.select(F.col("doc_id").alias("rep"), "n", "s1", "s2", "sig"), "reps")
+    classes = materialise(sets.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "h")).alias("rep")), "classes")
+    of_class = materialise(sets.select("doc_id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"]).select("doc_id", F.col("rep.doc_id").alias("rep")), "of-class")
+    first = classes.groupBy(F.col("rep.doc_id").alias("doc_id")).agg(F.min_by("rep.h", F.struct("k1", "k2", "n")).alias("h"))
+    reps = sets.select("doc_id", "h", "n", "s1", "s2", "sig").join(first, ["doc_id", "h"], "left_semi")
+    reps = materialise(reps.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]), "reps")
 
     walk = "node long, rep long, n long, s1 long, s2 long"
     roots = reps.withColumn("node", F.explode(F.array(*[F.lit(t + 1).cast("long") for t in range(trees)]))).select("node", "rep", "n", "s1", "s2", "sig")
     rows = materialise(roots.mapInArrow(_children(percent / 100), walk), "walk")
-    live, _ = _members(rows, None)
-    star = live.where(F.col("rep") != F.col("pivot.rep")).alias("a").select("a.*", F.col("a.pivot.n").alias("pn"), F.col("a.pivot.s1").alias("ps1"), F.col("a.pivot.s2").alias("ps2"))
-    star = star.withColumn("p", F.struct(F.col("pn").alias("n"), F.col("ps1").alias("s1"), F.col("ps2").alias("s2"))).withColumn("q", F.struct("n", "s1", "s2"))
-    star = star.where(_alike("p", "q", percent)).select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
-    links = _confirm(docs, materialise(star, "star"), percent, width)
+    star = materialise(_pivots(rows, percent), "star")
+    links = _confirm(docs, reps, star, star.select("c", F.col("c").alias("rep")), percent, width)
     component = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
 
-    pairs = None
+    may = "c long, rep long"
+    joining = None
     for depth in range(1, MAX_DEPTH + 1):
-        live = materialise(_with_main(_members(rows, component)[0].drop("pivot")), "live")
-        settled = live if depth == MAX_DEPTH else live.where(F.col("others") <= SMALL)
-        fresh = _exhaustive(settled.where(F.col("size") <= SMALL), percent).union(_against_minority(settled.where(F.col("size") > SMALL), percent))
-        open_ = live.where(F.col("others") > SMALL)
+        live = _live(rows, component)
+        settled = live.where((F.col("others") <= SMALL) | F.lit(depth == MAX_DEPTH))
+        whole = _in_pieces(settled).select("node", "rep", "component", "n", "s1", "s2").repartition("node").sortWithinPartitions("node")
+        fresh = whole.mapInArrow(_walked(percent, depth, depth), may)
         if depth < MAX_DEPTH:
+            open_ = live.where(F.col("others") > SMALL)
             inside = _with_signatures(open_.where(F.col("size") <= NODE_ROWS), reps).repartition("node").sortWithinPartitions("node")
-            fresh = fresh.union(inside.mapInArrow(_walked(percent, depth), "a long, b long"))
+            fresh = fresh.union(inside.mapInArrow(_walked(percent, depth, MAX_DEPTH), may))
         fresh = materialise(fresh.distinct(), "candidates")
-        pairs = fresh if pairs is None else pairs.union(fresh)
+        joining = fresh if joining is None else joining.union(fresh)
+        if depth == MAX_DEPTH:
+            break
         large = open_.where(F.col("size") > NODE_ROWS)
-        if depth == MAX_DEPTH or not large.limit(1).count():
+        if not large.limit(1).count():
             break
         deeper = _with_signatures(large, reps).select("node", "rep", "n", "s1", "s2", "sig")
         rows = materialise(deeper.mapInArrow(_children(percent / 100), walk), "walk")
-    late = _confirm(docs, materialise(pairs.distinct(), "pairs"), percent, width)
+    component = materialise(component, "component")
+    # a candidate names its group by a component; sets without links are components of their own
+    members = component.select(F.col("component").alias("c"), "rep").union(joining.select("c", F.col("c").alias("rep")))
+    late = _confirm(docs, reps, joining, members, percent, width)
     if late.limit(1).count():
         component = connected_components(links.union(late), "a", "b").select(F.col("node").alias("rep"), "component")
     placed = of_class.join(component, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = found.select("doc_id", "n").join(placed, "doc_id", "left")
     root = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, percent: int = 80, width: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, without near duplicates: of each component the document of least doc_id stays.
+
+    Documents that are linked with nothing, null and empty texts stay. A null doc_id stands for a document of its own, named by its text and
+    behind all others; of rows that repeat a doc_id and a text, one stays.
+    """
+    text = F.col("text").cast("string")
+    # names of texts without an id are above all ids in use: a hash in the upper quarter of the 64-bit numbers
+    name = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(1 << 62)))
+    found = materialise(near_duplicates(docs.select(name.alias("doc_id"), text.alias("text")), percent, width).select("doc_id", "kept"), "near-duplicates")
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    left = docs.withColumn("name of this row", name).join(gone.withColumnRenamed("doc_id", "name of this row"), "name of this row", "left_anti")
+    again = materialise(found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("name of this row")), "repeated")
+    if again.limit(1).count():
+        once = left.join(again, "name of this row", "left_semi").withColumn("text of this row", F.coalesce(F.sha2(text, 256), F.lit("")))
+        once = once.dropDuplicates(["name of this row", "text of this row"]).drop("text of this row")
+        left = left.join(again, "name of this row", "left_anti").unionByName(once)
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
