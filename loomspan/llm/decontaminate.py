@@ -4,7 +4,7 @@ Texts become templates: numbers, names and the units that follow numbers are rep
 words are lower-cased. A capitalised word is a name wherever it stands; adjoining names are one placeholder, and so are the
 groups of a number such as 1,000 or 3.5. Windows of template words are hash-joined with those of the benchmark items. A document
 holds an item if its windows cover at least the threshold's share of the item's template words in one alignment and the slots
-agree: whatever fills a placeholder of the item is answered by one and the same filler in the document, so that
+agree: fillers of the item and of the document answer each other one to one, within their kind, so that
 a question with other numbers and names is still caught, and one with the same phrasing only by chance is not.
 
 The benchmark is a stated query set: its windows come in blocks of at most BLOCK_WINDOWS, each broadcast
@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.hashing import Windows, Words, slices
-from loomspan.session import small_arrow_batches
+from loomspan.session import materialise, small_arrow_batches
 
 WIDTH = 5
 SHARE = 80
@@ -113,12 +114,15 @@ class Block:
     mask: np.ndarray
     ids: list[int]
     fillers: list[np.ndarray]
+    kinds: list[np.ndarray]
     slots: list[np.ndarray]
     sizes: np.ndarray
+    short: dict[bytes, list[int]]
 
     @classmethod
     def of(cls, items: pa.Table, width: int) -> Block:
-        ids, fillers, slots, sizes, hashes, owner, place = [], [], [], [], [], [], []
+        ids, fillers, kinds, slots, sizes, hashes, owner, place = [], [], [], [], [], [], [], []
+        short: dict[bytes, list[int]] = {}
         for row, end, data, bounds in slices(items.column("text")):
             t = templates(data, bounds)
             start, h = windows(t, width)
@@ -127,6 +131,9 @@ class Block:
             for k in range(end - row):
                 ids.append(items.column("item_id")[row + k].as_py())
                 fillers.append(t.filler[t.first[k] : t.first[k + 1]].copy())
+                kinds.append(t.code[t.first[k] : t.first[k + 1]].copy())
+                if 0 < len(fillers[-1]) < width:
+                    short.setdefault(fillers[-1].tobytes(), []).append(len(ids) - 1)
                 slots.append(t.slot[t.first[k] : t.first[k + 1]].copy())
             sizes.append(np.bincount(text, minlength=end - row))
             hashes.append(h)
@@ -137,20 +144,31 @@ class Block:
         order = np.argsort(h, kind="stable")
         mask = np.zeros(1 << 22, dtype=bool)
         mask[h >> np.uint64(42)] = True
-        return cls(h[order], flat(owner, np.int64)[order], flat(place, np.int64)[order], mask, ids, fillers, slots, flat(sizes, np.int64))
+        return cls(h[order], flat(owner, np.int64)[order], flat(place, np.int64)[order], mask, ids, fillers, kinds, slots, flat(sizes, np.int64), short)
 
 
-def _agreement(item_filler: np.ndarray, doc_filler: np.ndarray) -> tuple[int, int]:
-    """(slots, those whose filler is the usual answer to the item's filler) of an aligned item and document."""
-    answers: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
-    for a, b in zip(item_filler.tolist(), doc_filler.tolist(), strict=True):
-        answers[a][b] += 1
-    return len(item_filler), sum(max(x.values()) for x in answers.values())
+def _agreement(item_filler: np.ndarray, doc_filler: np.ndarray, kind: np.ndarray) -> tuple[int, int]:
+    """(slots, those that agree) of an aligned item and document: pairs of fillers count, the most frequent first, whose
+    two sides answer no other filler of their kind; on a tie equal ones go first."""
+    pairs: dict[tuple[int, int, int], int] = defaultdict(int)
+    for k, a, b in zip(kind.tolist(), item_filler.tolist(), doc_filler.tolist(), strict=True):
+        pairs[k, a, b] += 1
+    left, right, agreeing = set(), set(), 0
+    for (k, a, b), n in sorted(pairs.items(), key=lambda x: (-x[1], x[0][1] != x[0][2], x[0])):
+        if (k, a) not in left and (k, b) not in right:
+            left.add((k, a))
+            right.add((k, b))
+            agreeing += n
+    return len(item_filler), agreeing
 
 
 def held_items(data: np.ndarray, bounds: np.ndarray, block: Block, width: int, share: int, consistent: int) -> Iterator[tuple]:
     """(text, item, word, windows, matched, slots, agreeing) of the items that the texts of a slice hold."""
     t = templates(data, bounds)
+    if block.short:
+        for d in np.flatnonzero((np.diff(t.first) > 0) & (np.diff(t.first) < width)).tolist():
+            for k in block.short.get(t.filler[t.first[d] : t.first[d + 1]].tobytes(), ()):
+                yield d, k, 0, 0, 0, 0, 0
     start, h = windows(t, width)
     likely = np.flatnonzero(block.mask[h >> np.uint64(42)])
     low = np.searchsorted(block.hash, h[likely], side="left")
@@ -183,7 +201,7 @@ def held_items(data: np.ndarray, bounds: np.ndarray, block: Block, width: int, s
         if len(at_item) * 100 < share * length[k]:
             continue
         at_item = at_item[block.slots[k][at_item]]
-        slots, agreeing = _agreement(block.fillers[k][at_item], t.filler[answer[at_item]])
+        slots, agreeing = _agreement(block.fillers[k][at_item], t.filler[answer[at_item]], block.kinds[k][at_item])
         if agreeing * 100 >= consistent * slots:
             low_word, begin = max(best, int(t.first[d])), int(t.first[d])
             yield d, k, int(t.word[low_word] - t.word[begin]), int(block.sizes[k]), len(np.unique(place[a:b])), slots, agreeing
@@ -192,26 +210,60 @@ def held_items(data: np.ndarray, bounds: np.ndarray, block: Block, width: int, s
 HIT = "doc_id long, item_id long, word long, windows long, matched long, slots long, agreeing long"
 
 
+def _blocks(benchmark: DataFrame, width: int) -> Iterator[Block]:
+    """The items in blocks of about BLOCK_WINDOWS windows, by their hash."""
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // (2 * BLOCK_WINDOWS)))
+    for b in range(blocks):
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        yield Block.of(mine.orderBy("item_id", "text").toArrow(), width)  # bounded by BLOCK_WINDOWS
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE, consistent: int = CONSISTENT) -> DataFrame:
     """One row (doc_id, item_id, word, windows, matched, slots, agreeing) for each document and benchmark item it holds.
 
     docs needs doc_id and text, benchmark item_id and text; other columns are not read. Items of fewer than `width`
-    template words can't be told from common phrases and match nothing; so do null and empty texts on either side. Repeated items and
-    documents are separate rows; a document that holds an item twice gives one row, its first place.
+    template words can't be told from common phrases: only a text that consists of such an item holds it. Null, empty and wordless texts
+    on either side match nothing. Repeated items and documents (null ids too) are separate rows; a document that
+    holds an item twice gives one row, its first place. Either table may be empty. A benchmark of several blocks takes one pass for each.
     """
     spark = docs.sparkSession
     small_arrow_batches(spark)
-    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    words = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-words // (2 * BLOCK_WINDOWS)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = None
-    for b in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        sent = spark.sparkContext.broadcast(Block.of(mine.orderBy("item_id").toArrow(), width))  # bounded by BLOCK_WINDOWS
-        part = texts.mapInArrow(_search(sent, width, share, consistent), HIT)
-        found = part if found is None else found.union(part)
-    return found
+    parts: list[DataFrame] = []
+    last = None
+    for block in _blocks(benchmark, width):
+        if last:  # one block is broadcast at a time
+            parts[-1] = materialise(parts[-1], "contaminated")
+            last.unpersist()
+        last = spark.sparkContext.broadcast(block)
+        parts.append(texts.mapInArrow(_search(last, width, share, consistent), HIT))
+    return reduce(DataFrame.union, parts)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE, consistent: int = CONSISTENT) -> DataFrame:
+    """The rows of docs, all columns, that hold no item as contaminated() finds them; ids are not read, so null and repeated ones don't matter.
+
+    The benchmark's blocks are all broadcast: it must be far smaller than the corpus. No row leaves its task.
+    """
+    spark = docs.sparkSession
+    small_arrow_batches(spark)
+    for block in _blocks(benchmark, width):
+        docs = docs.where(~_holds(spark.sparkContext.broadcast(block), width, share, consistent)(F.col("text").cast("string")))
+    return docs
+
+
+def _holds(sent, width: int, share: int, consistent: int):
+    @F.arrow_udf("boolean")
+    def holds(texts: pa.Array) -> pa.Array:
+        found = np.zeros(len(texts), dtype=bool)
+        for row, _, data, bounds in slices(texts):
+            for d, *_ in held_items(data, bounds, sent.value, width, share, consistent):
+                found[row + d] = True
+        return pa.array(found)
+
+    return holds
 
 
 def _search(sent, width: int, share: int, consistent: int):
