@@ -16,7 +16,7 @@ from loomspan.llm.packing import pack
 from loomspan.llm.quality import quality
 from loomspan.llm.substring_dedup import without_repeated_windows
 from loomspan.llm.suffix_dedup import without_earlier_strings
-from loomspan.llm.url_filter import Rule, judge_urls
+from loomspan.llm.url_filter import Rule, blocked_by, judge_urls, keys_of
 from loomspan.session import table
 
 URL_RULES = [
@@ -45,9 +45,9 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, host, path, rule, verdict. The blocklist is a stand-in feed: the keys whose MD5 starts with 0."""
-    listed = lambda host, path: F.startswith(F.md5(F.concat(host, path).cast("binary")), F.lit("0"))
-    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, listed)
+    """page_id, host, path, rule, verdict. The cascade learns the keys of the corpus that the rules block; all others are allowed."""
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, URL_RULES, blocked_by(URL_RULES, keys_of(pages)))
 
 
 OP4_SQL = """
@@ -64,7 +64,7 @@ fit AS (
   FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   GROUP BY page_id)
 SELECT p.page_id, p.host, p.path, f.rule,
-       coalesce(f.verdict, CASE WHEN starts_with(md5(p.host || p.path), '0') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(f.verdict, 'allow') AS verdict
 FROM p LEFT JOIN fit f USING (page_id)
 """
 

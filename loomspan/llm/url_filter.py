@@ -6,14 +6,13 @@ that level 2 lets through, and so on until no key is misjudged. A key is then ju
 level that rejects it. Nothing is joined: each page's key is hashed and tested in place.
 
 Keys are dealt to blocks by their hash, so that one block's filters stay under MAX_BITS; the blocks
-are built and applied one after the other, whatever the number of listed keys. Only the filters
-reach the driver, and only they are broadcast.
+are built and applied one after the other, whatever the number of listed keys, and a block's filters are
+dropped before the next one's are sent. Only the filters reach the driver, and only they are broadcast.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -105,9 +104,7 @@ def _level(keys: DataFrame, count: int, k: int) -> Level:
     return Level(out, bits, k, probes)
 
 
-def _tester(cascade: Cascade, spark):
-    sent = spark.sparkContext.broadcast(cascade)
-
+def _tester(sent):
     @F.pandas_udf(BooleanType())
     def test(h1: pd.Series, h2: pd.Series) -> pd.Series:
         return pd.Series(sent.value.listed(h1.to_numpy(), h2.to_numpy()))
@@ -124,42 +121,61 @@ def build_cascade(keys: DataFrame) -> Cascade:
         if len(levels) == MAX_LEVELS:
             raise RuntimeError("a listed and an unlisted key share 128 hash bits")
         levels.append(_level(wrong, count, len(levels)))
-        test = _tester(Cascade(levels[-1:]), keys.sparkSession)
+        test = _tester(keys.sparkSession.sparkContext.broadcast(Cascade(levels[-1:])))
         wrong, others = others.where(test("h1", "h2")), wrong
         wrong = materialise(wrong, "cascade")
     return Cascade(levels)
 
 
-def listed_in_cascade(rows: DataFrame, key: str, listed: Column, into: str) -> DataFrame:
-    """rows with the boolean column `into`: is its key one of those for which `listed` holds.
+def listed_in_cascade(rows: DataFrame, key: str, listed: DataFrame, into: str) -> DataFrame:
+    """rows with the boolean column `into`: is its key one of the column `key` of the table `listed`.
 
-    The key universe is the distinct keys of rows; a hot key is one row of it after the partial
-    aggregate. A null key is never listed. No listed keys: nothing is listed.
+    The key universe is the distinct keys of rows; a hot key is one row of it after the partial aggregate, and only these
+    meet the list. A null key is never listed; repeated and null keys of the list, and those that no row has, change nothing. No
+    listed keys: nothing is listed.
     """
-    small_arrow_batches(rows.sparkSession)
-    hashes = [F.xxhash64(F.col(key)).alias("h1"), F.xxhash64(F.lit(7), F.col(key)).alias("h2")]
-    universe = materialise(rows.where(F.col(key).isNotNull()).groupBy(F.col(key)).agg(F.first(listed).alias("listed")).select(*hashes, F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
-    count = universe.where("listed").count()
-    blocks = max(1, -(-count * BITS_PER_KEY[0] // (MAX_BITS // 2)))
-    tests = []
+    spark = rows.sparkSession
+    small_arrow_batches(spark)
+    h1, h2 = F.xxhash64(F.col(key)), F.xxhash64(F.lit(7), F.col(key))
+    own = rows.select(F.col(key).alias("k")).where("k IS NOT NULL").distinct()
+    marks = listed.select(F.col(key).alias("k")).where("k IS NOT NULL").distinct().withColumn("listed", F.lit(True))
+    hashes = (F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k").alias("h2"))
+    universe = materialise(own.join(marks, "k", "left").select(*hashes, F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
+    blocks = max(1, -(-universe.where("listed").count() * BITS_PER_KEY[0] // (MAX_BITS // 2)))
+    answer = None
     for b in range(blocks):
-        mine = F.pmod(F.col("h1"), F.lit(blocks)) == b
-        tests.append((b, _tester(build_cascade(universe.where(mine)), rows.sparkSession)))
-    h1, h2 = hashes
-    answer = reduce(lambda rest, t: F.when(F.pmod(h1, F.lit(blocks)) == t[0], t[1](h1, h2)).otherwise(rest), tests, F.lit(False)) if blocks > 1 else tests[0][1](h1, h2)
-    return rows.withColumn(into, F.col(key).isNotNull() & answer)
+        sent = spark.sparkContext.broadcast(build_cascade(universe.where(F.pmod("h1", F.lit(blocks)) == b)))
+        mine = rows if blocks == 1 else rows.where(F.coalesce(F.pmod(h1, F.lit(blocks)), F.lit(0)) == b)
+        judged = mine.withColumn(into, F.col(key).isNotNull() & _tester(sent)(h1, h2))
+        if blocks > 1:
+            judged = materialise(judged, "judged")
+            sent.unpersist()
+        answer = judged if answer is None else answer.union(judged)
+    return answer
+
+
+def keys_of(pages: DataFrame, url: str = "url") -> DataFrame:
+    """(host, path, key) of every row of pages: the key of a url is its host and path."""
+    host, path = split_url(F.col(url))
+    return pages.select(host.alias("host"), path.alias("path"), F.concat(host, path).alias("key"))
+
+
+def blocked_by(rules: list[Rule], keys: DataFrame) -> DataFrame:
+    """(key): the distinct keys among `keys` (host, path, key) that the rules block, as a list for judge_urls."""
+    return keys.where(longest_rule(F.col("host"), F.col("path"), rules)["verdict"] == "block").select("key").distinct()
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], listed, url: str = "url", page_id: str = "page_id") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str = "url", page_id: str = "page_id") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of pages.
 
-    listed(host, path) is the Column that marks the keys of the blocklist; the cascade learns it
-    on the distinct keys of pages. A fitting rule overrules the cascade. Repeated ids and urls are
-    separate rows; other columns of pages are not read.
+    listed: a table with the column `key` of blocked keys (host and path); the cascade learns it on the distinct keys of pages and
+    gives the verdict of every url that no rule fits. A fitting rule overrules the cascade. A null url has an empty host and path.
+    Repeated and null ids and repeated urls are separate rows; other columns of pages are not read. An empty table gives no rows.
     """
     host, path = split_url(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("key", F.concat("host", "path"))
-    rows = rows.withColumn("fits", longest_rule(F.col("host"), F.col("path"), rules))
-    judged = listed_in_cascade(rows, "key", listed(F.col("host"), F.col("path")), "in_list")
+    judged = listed_in_cascade(rows, "key", listed, "in_list")
+    fits = longest_rule(F.col("host"), F.col("path"), rules)
+    judged = judged.withColumn("fits", fits)
     verdict = F.coalesce(F.col("fits.verdict"), F.when(F.col("in_list"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("fits.rule").alias("rule"), verdict.alias("verdict"))
