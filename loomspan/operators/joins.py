@@ -1,37 +1,32 @@
-"""Overlap, range and nearest-neighbour joins as equi-joins on buckets."""
+"""Overlap, range and nearest-neighbour joins as equi-joins on buckets, or as windows over the union of both sides."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.boxes import box_pairs
 
-def _cells(low: str, high: str, width: float) -> Column:
-    cell = lambda c: F.floor(F.col(c) / F.lit(width))
-    return F.sequence(cell(low), cell(high))
 
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], suffixes: tuple[str, str] = ("_l", "_r")) -> DataFrame:
+    """Pairs of intervals [x0, x1] with equal keys that overlap, each once; other columns get the sides' suffixes.
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: float, suffixes: tuple[str, str] = ("_l", "_r")) -> DataFrame:
-    """Pairs of intervals [x0, x1] with equal keys that overlap; other columns get the sides' suffixes.
-
-    Intervals are dealt to buckets of `width`; a pair that meets in several buckets is kept only in the first of them,
-    so nothing has to be de-duplicated. Adaptive execution splits buckets that are too large.
+    Intervals lie on grids as wide as they are, so a long one takes no more cells than a short one. Null ends match nothing.
     """
-    side = lambda df, s: df.withColumnsRenamed({c: c + s for c in df.columns if c not in keys}).withColumn("cell", F.explode(_cells("x0" + s, "x1" + s, width)))
-    a, b = suffixes
-    pairs = side(left, a).join(side(right, b), [*keys, "cell"])
-    low = F.greatest(F.col("x0" + a), F.col("x0" + b))
-    return pairs.where((low <= F.least(F.col("x1" + a), F.col("x1" + b))) & (F.floor(low / F.lit(width)) == F.col("cell"))).drop("cell")
+    return box_pairs(left, right, keys, ["x"], suffixes=suffixes)
 
 
 def nearest_before(left: DataFrame, right: DataFrame, key: str, at: str, carry: list[str], within: float) -> DataFrame:
-    """left with struct `hit` of `carry` from the latest right row of the key at or before `at` by up to `within`; else null.
+    """left with struct `hit` of (at, *carry) from the latest right row of the key at or before `at` by up to `within`; else null.
 
-    A right row is looked for in its own bucket and the next one only, both of width `within`.
+    Both sides are one sorted run per key and the hit is the last right row seen: no pair is built. The greatest
+    `carry` of the latest rows wins; repeated left rows stay. Rows with null keys or times find nothing.
     """
-    cell = F.floor(F.col(at) / F.lit(within))
-    probe = left.withColumn("cell", F.explode(F.array(cell, cell - 1))).withColumn("own", F.monotonically_increasing_id())
-    found = right.select(F.col(key).alias("rk"), F.floor(F.col(at) / F.lit(within)).alias("rc"), F.col(at).alias("rat"), F.struct(F.col(at).alias("at"), *carry).alias("hit"))
-    joined = probe.join(found, (F.col(key) == F.col("rk")) & (F.col("cell") == F.col("rc")) & (F.col("rat") <= F.col(at)) & (F.col("rat") >= F.col(at) - F.lit(within)), "left")
-    columns = left.columns
-    return joined.groupBy(*columns).agg(F.max("hit").alias("hit"))
+    hit = F.struct(F.col(at).alias("at"), *carry)
+    found = right.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("k"), F.col(at).alias("t"), hit.alias("hit"), F.lit(0).alias("side"))
+    rows = left.select(F.col(key).alias("k"), F.col(at).alias("t"), F.struct(*left.columns).alias("row"), F.lit(1).alias("side"))
+    both = found.unionByName(rows, allowMissingColumns=True)
+    seen = Window.partitionBy("k").orderBy("t", "side", F.col("hit").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    last = both.withColumn("last", F.last("hit", ignorenulls=True).over(seen)).where("side = 1")
+    near = F.col("last.at") >= F.col("t") - F.lit(within)
+    return last.select("row.*", F.when(near, F.col("last")).alias("hit"))

@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions.exprs import upper_median
 from loomspan.session import materialise, small_arrow_batches
 
 POINTS = 1024
@@ -37,9 +36,28 @@ def otsu(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return best.select(*keys, F.when(F.col("best.between") > 0, F.col("best.bin")).otherwise(0).cast("long").alias("threshold"), "n")
 
 
+def upper_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, med): the element at floor(n/2) of every key's sorted values, exact, with no group in one task.
+
+    Equal values are one row with a count. These are dealt to ranges of (keys, value), so a large key spreads over tasks;
+    the counts of the ranges tell which of them holds the median, and only that one is ordered. Null values don't count.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(counts.repartitionByRange(parts, *keys, "v").withColumn("part", F.spark_partition_id()), "ranges")
+    ranges = dealt.groupBy(*keys, "part").agg(F.sum("n").alias("w"))
+    upto, whole = Window.partitionBy(*keys).orderBy("part"), Window.partitionBy(*keys)
+    placed = ranges.select(*keys, "part", (F.sum("w").over(upto) - F.col("w")).alias("before"), F.col("w"), F.floor(F.sum("w").over(whole) / 2).alias("rank"))
+    placed = placed.where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("w"))).withColumnsRenamed({k: f"{k} of the range" for k in keys})
+    on = [dealt[k].eqNullSafe(placed[f"{k} of the range"]) for k in keys] + [dealt["part"] == placed["part"]]
+    inside = dealt.join(placed, on).select(*[dealt[k] for k in keys], "v", "n", "before", "rank")
+    reached = F.col("before") + F.sum("n").over(Window.partitionBy(*keys).orderBy("v"))
+    return inside.withColumn("reached", reached).where("reached > rank").groupBy(*keys).agg(F.min("v").alias("med"))
+
+
 def deviation_about_median(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, med, mad): mean absolute deviation about the upper median; the medians are joined back, one row a key."""
-    medians = df.groupBy(key).agg(upper_median(value).alias("med"))
+    medians = upper_medians(df, [key], value)
     return df.join(medians, key).groupBy(key).agg(F.first("med").alias("med"), F.avg(F.abs(F.col(value) - F.col("med"))).alias("mad"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import exprs
+from loomspan.operators import boxes as boxes_
 from loomspan.operators import graph, joins, sequences, stats
 from loomspan.session import table
 
@@ -50,7 +51,7 @@ def otsu_quantity(spark, sf_dir):
 
 @query("SELECT l_returnflag, list_sort(list(l_extendedprice))[count(*) // 2 + 1] AS med FROM lineitem GROUP BY l_returnflag")
 def upper_median(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(exprs.upper_median("l_extendedprice").alias("med"))
+    return stats.upper_medians(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice")
 
 
 @query("""
@@ -60,25 +61,24 @@ def mad_price(spark, sf_dir):
     return stats.deviation_about_median(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice").withColumn("mad", F.round("mad", 4))
 
 
-@query(f"""
-WITH {EVENTS}, f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) <= 12),
-s AS (SELECT a.user_id, (b.value - a.value) / (b.t - a.t) * 3600 AS slope FROM f a JOIN f b ON a.user_id = b.user_id AND a.t < b.t)
-SELECT user_id, round(list_sort(list(slope))[count(*) // 2 + 1], 6) AS slope FROM s GROUP BY user_id""")
-def theil_sen(spark, sf_dir):
-    row = F.row_number().over(Window.partitionBy("user_id").orderBy("at", "event_id"))
-    first = _events(spark, sf_dir).withColumn("k", row).where("k <= 12")
-    return stats.theil_sen(first, "user_id", "at", "value").select("user_id", F.round(F.col("slope") * 3600, 6).alias("slope"))
+SLOPES = f"""
+WITH {EVENTS}, s AS (SELECT a.user_id, (b.value - a.value) / (b.t - a.t) * 3600 AS slope FROM e a JOIN e b ON a.user_id = b.user_id AND a.t < b.t)
+SELECT user_id, round(list_sort(list(slope))[count(*) // 2 + 1], 6) AS slope FROM s GROUP BY user_id"""
 
 
-@query(f"""
-WITH {EVENTS}, s AS (SELECT a.user_id, (b.value - a.value) / (b.t - a.t) * 3600 AS slope FROM e a JOIN e b ON a.user_id = b.user_id AND a.t < b.t)
-SELECT user_id, round(list_sort(list(slope))[count(*) // 2 + 1], 6) AS slope FROM s GROUP BY user_id""")
-def theil_sen_all(spark, sf_dir):
-    """As theil_sen, whose SQL reads the first 12 events of a user, over all events."""
+@query(SLOPES)
+def theil_sen(spark, sf_dir):
+    """The upper median of the slopes between all pairs of events of a user."""
     slopes = stats.theil_sen(_events(spark, sf_dir), "user_id", "at", "value").where("slope IS NOT NULL")
     return slopes.select("user_id", F.round(F.col("slope") * 3600, 6).alias("slope"))
 
 
+@query(SLOPES)
+def theil_sen_all(spark, sf_dir):
+    """theil_sen under its earlier name."""
+    return theil_sen(spark, sf_dir)
+
+
 @query("SELECT l_returnflag, round(sum(l_discount * l_quantity) / nullif(sum(l_quantity), 0), 6) AS mean FROM lineitem GROUP BY 1")
 def weighted_mean(spark, sf_dir):
     mean = stats.weighted_mean(F.col("l_discount"), F.col("l_quantity"))
@@ -172,24 +172,24 @@ def second_diff(spark, sf_dir):
     return bent.groupBy("o_custkey").agg(F.round(F.sum(F.abs("d2")), 2).alias("zigzag"))
 
 
-@query(f"""WITH {EVENTS}, l AS (SELECT user_id, list(value ORDER BY t, event_id) AS v FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) <= 32) GROUP BY user_id)
-SELECT user_id, round(list_reduce(list_prepend(0.0, v), lambda m, x: 0.5 * m + 0.5 * x), 6) AS ema FROM l""")
-def ema(spark, sf_dir):
-    newest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("at"), F.desc("event_id")))
-    last = _events(spark, sf_dir).withColumn("k", newest).where("k <= 32")
-    values = last.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("at", "event_id", "value"))).alias("v"))
-    return values.select("user_id", F.round(sequences.damped(F.transform("v", lambda s: s["value"])), 6).alias("ema"))
+DAMPED = f"""WITH {EVENTS}, l AS (SELECT user_id, list(value ORDER BY t, event_id) AS v FROM e GROUP BY user_id)
+SELECT user_id, round(list_reduce(list_prepend(0.0, v), lambda m, x: 0.5 * m + 0.5 * x), 6) AS ema FROM l"""
 
 
-@query(f"""WITH {EVENTS}, l AS (SELECT user_id, list(value ORDER BY t, event_id) AS v FROM e GROUP BY user_id)
-SELECT user_id, round(list_reduce(list_prepend(0.0, v), lambda m, x: 0.5 * m + 0.5 * x), 6) AS ema FROM l""")
-def ema_all(spark, sf_dir):
-    """As ema, whose SQL reads the last 32 events of a user, over all events: the k-th from the end weighs 0.5 ** k."""
+@query(DAMPED)
+def ema(spark, sf_dir):
+    """Damping m = 0.5 m + 0.5 v over all events of a user, as a weighted sum: the k-th from the end weighs 0.5 ** k."""
     newest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("at"), F.desc("event_id")))
     weighed = _events(spark, sf_dir).select("user_id", (F.col("value") * F.pow(F.lit(0.5), newest)).alias("part"))
     return weighed.groupBy("user_id").agg(F.round(F.sum("part"), 6).alias("ema"))
 
 
+@query(DAMPED)
+def ema_all(spark, sf_dir):
+    """ema under its earlier name."""
+    return ema(spark, sf_dir)
+
+
 @query("""
 WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS total FROM orders GROUP BY 1)
 SELECT day, round(avg(total) OVER (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 2) AS mean FROM d""")
@@ -225,7 +225,7 @@ SPANS = f"WITH {EVENTS}, s AS (SELECT user_id, event_id, t AS x0, t + value * 10
 FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.x0 <= b.x1 AND b.x0 <= a.x1""")
 def range_join(spark, sf_dir):
     spans = _spans(spark, sf_dir)
-    pairs = joins.overlap_join(spans, spans, ["user_id"], 4 * 3600.0).where("event_id_l < event_id_r")
+    pairs = joins.overlap_join(spans, spans, ["user_id"]).where("event_id_l < event_id_r")
     shared = F.least("x1_l", "x1_r") - F.greatest("x0_l", "x0_r")
     return pairs.select(F.col("event_id_l").alias("a"), F.col("event_id_r").alias("b"), F.round(shared, 3).alias("shared"))
 
@@ -237,7 +237,7 @@ WHERE greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(
 def box_overlap(spark, sf_dir):
     y = F.col("p_retailprice") / 10
     boxes = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("x0"), (F.col("p_size") + 2.0).alias("x1"), y.alias("y0"), (y + 4).alias("y1"))
-    pairs = joins.overlap_join(boxes, boxes, ["p_brand"], 8.0).where("p_partkey_l < p_partkey_r")
+    pairs = boxes_.box_pairs(boxes, boxes, ["p_brand"]).where("p_partkey_l < p_partkey_r")
     c = F.col
     area = exprs.overlap(c("x0_l"), c("x1_l"), c("x0_r"), c("x1_r")) * exprs.overlap(c("y0_l"), c("y1_l"), c("y0_r"), c("y1_r"))
     return pairs.where(area > 0.2 * 8).select(c("p_partkey_l").alias("a"), c("p_partkey_r").alias("b"))
@@ -269,7 +269,7 @@ FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND a.x0
 SELECT a, b, shared FROM j QUALIFY row_number() OVER (PARTITION BY a ORDER BY shared DESC, b DESC) = 1""")
 def best_overlap(spark, sf_dir):
     spans = _spans(spark, sf_dir)
-    pairs = joins.overlap_join(spans, spans, ["user_id"], 4 * 3600.0).where("event_id_l <> event_id_r")
+    pairs = joins.overlap_join(spans, spans, ["user_id"]).where("event_id_l <> event_id_r")
     shared = F.round(F.least("x1_l", "x1_r") - F.greatest("x0_l", "x0_r"), 6)
     best = pairs.groupBy(F.col("event_id_l").alias("a")).agg(F.max(F.struct(shared.alias("shared"), F.col("event_id_r").alias("b"))).alias("m"))
     return best.select("a", "m.b", "m.shared")
@@ -292,7 +292,7 @@ SELECT s.event_id, count(DISTINCT p.event_id) AS inside FROM s JOIN p ON s.user_
 def occlusion_count(spark, sf_dir):
     spans = _spans(spark, sf_dir)
     points = spans.select("user_id", "event_id", "x0", F.col("x0").alias("x1"))
-    pairs = joins.overlap_join(spans, points, ["user_id"], 4 * 3600.0).where("event_id_l <> event_id_r")
+    pairs = joins.overlap_join(spans, points, ["user_id"]).where("event_id_l <> event_id_r")
     return pairs.groupBy(F.col("event_id_l").alias("event_id")).agg(F.countDistinct("event_id_r").alias("inside")).where("inside >= 2")
 
 
@@ -304,7 +304,7 @@ SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey, island) AS comp
 def components(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", _seconds("o_orderdate").alias("x0"))
     spans = orders.withColumn("x1", F.col("x0") + F.lit(3.0 * DAY))
-    edges = joins.overlap_join(spans, orders.withColumn("x1", F.col("x0")), ["o_custkey"], 8.0 * DAY).where("o_orderkey_l <> o_orderkey_r")
+    edges = joins.overlap_join(spans, orders.withColumn("x1", F.col("x0")), ["o_custkey"]).where("o_orderkey_l <> o_orderkey_r")
     found = graph.connected_components(edges, "o_orderkey_l", "o_orderkey_r")
     return orders.join(found, F.col("o_orderkey") == F.col("node"), "left").select("o_orderkey", F.coalesce("component", "o_orderkey").alias("component"))
 

@@ -55,7 +55,7 @@ def test_components_are_least_reachable_nodes(spark):
 def test_overlap_join_equals_nested_loop(spark):
     spans = [(i, float(i * 7 % 31), float(i * 7 % 31 + i % 9)) for i in range(40)]
     df = spark.createDataFrame(spans, "id long, x0 double, x1 double").withColumn("k", F.lit(1))
-    got = {(r["id_l"], r["id_r"]) for r in joins.overlap_join(df, df, ["k"], 4.0).collect()}
+    got = {(r["id_l"], r["id_r"]) for r in joins.overlap_join(df, df, ["k"]).collect()}
     assert got == {(a, c) for a, b, e in spans for c, d, f in spans if b <= f and d <= e}
 
 

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.operators import stats
+from loomspan.operators import joins, stats
+from loomspan.operators.boxes import box_pairs
 from loomspan.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -25,9 +26,32 @@ def test_theil_sen_takes_all_pairs(spark, block):
     assert got == want
 
 
-def test_all_events_enter_the_slopes(spark):
-    first, all_ = ({r["user_id"]: r["slope"] for r in catalog.QUERIES[q](spark, SF).collect()} for q in ("theil_sen", "theil_sen_all"))
-    assert first.keys() == all_.keys() and first != all_
+def test_medians_of_large_keys_equal_sorting(spark):
+    r = random.Random(4)
+    rows = [(k, r.choice([None, 7.0, float(r.randrange(50)), r.random()])) for k in ("a", "b", None) for _ in range(301)] + [("one", 3.0), ("none", None)]
+    got = {x["k"]: x["med"] for x in stats.upper_medians(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], "v").collect()}
+    want = {}
+    for k in ("a", "b", None, "one"):
+        own = sorted(v for key, v in rows if key == k and v is not None)
+        want[k] = own[len(own) // 2]
+    assert got == want
+    assert stats.upper_medians(spark.createDataFrame([], "k string, v double"), ["k"], "v").count() == 0
+
+
+def test_latest_before_keeps_repeated_rows(spark):
+    left = spark.createDataFrame([(1, 10.0), (1, 10.0), (1, 30.0), (2, 5.0), (None, 1.0), (1, None)], "k long, at double")
+    right = spark.createDataFrame([(1, 9.0, "a"), (1, 10.0, "b"), (1, 10.0, "c"), (1, 11.0, "d"), (3, 5.0, "e"), (None, 1.0, "f")], "k long, at double, v string")
+    got = sorted((r["k"] or 0, r["at"] or 0.0, r["hit"]["v"] if r["hit"] else "") for r in joins.nearest_before(left, right, "k", "at", ["v"], 5.0).collect())
+    assert got == [(0, 1.0, ""), (1, 0.0, ""), (1, 10.0, "c"), (1, 10.0, "c"), (1, 30.0, ""), (2, 5.0, "")]
+
+
+def test_box_pairs_of_any_size_equal_nested_loop(spark):
+    r = random.Random(6)
+    boxes = [(i, i % 2, x, x + r.choice([0.0, 0.5, 3.0, 900.0]), y, y + r.choice([0.1, 2.0, 40.0])) for i in range(120) for x, y in [(r.uniform(-50, 50), r.uniform(-50, 50))]]
+    df = spark.createDataFrame([*boxes, (500, 0, None, 1.0, 0.0, 1.0), (501, 0, 2.0, 1.0, 0.0, 1.0)], "id long, k long, x0 double, x1 double, y0 double, y1 double")
+    pairs = [(x["id_l"], x["id_r"]) for x in box_pairs(df, df, ["k"], reach=[2.0, 0.5]).collect()]
+    want = {(a[0], b[0]) for a in boxes for b in boxes if a[1] == b[1] and a[2] - 2 <= b[3] and b[2] <= a[3] + 2 and a[4] - 0.5 <= b[5] and b[4] <= a[5] + 0.5}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
 def test_garbled_documents_are_all_judged(spark):
