@@ -160,7 +160,7 @@ def _alike(n, s1, s2, a, b, percent: int) -> np.ndarray:
 
 
 def _walked(percent: int, depth: int, last: int):
-    """Distinct (c, rep): sets that may be linked with a set of component c. Rows are whole nodes of bounded size, walked down from `depth`
+    """Distinct (c, rep, n): sets of n shingles that may be linked with a set of component c. Rows are whole nodes of bounded size, walked down from `depth`
     to `last` inside the task, all nodes of a chunk at once."""
 
     def within(row, part_size, edges, component, *sketch) -> Iterator[np.ndarray]:
@@ -216,8 +216,8 @@ def _walked(percent: int, depth: int, last: int):
                 which, node = _branch(node, sig[row], percent / 100)
                 row = row[which]
             pairs = np.concatenate(found)
-            pairs = np.unique(np.stack([pairs[:, 0], rep[pairs[:, 1]]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["c", "rep"])
+            pairs = np.unique(np.stack([pairs[:, 0], rep[pairs[:, 1]], n[pairs[:, 1]]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs.T], ["c", "rep", "n"])
 
     return run
 
@@ -266,17 +266,21 @@ def _linked(percent: int):
 
 
 def _confirm(docs: DataFrame, reps: DataFrame, candidates: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
-    """(a, b): one link on full sets for every candidate (c, rep) that is linked with one of the members (c, rep) of its group c."""
+    """(a, b): one link on full sets for every candidate (c, rep, n) that is linked with one of the members (c, rep) of its group c.
+
+    Blocks are counted by sets and, as only sets of like size are compared, by the largest size n of a group's candidates.
+    """
     spark = docs.sparkSession
-    sides = candidates.select("c", "rep", F.lit(0).alias("side")).union(members.join(candidates.select("c").distinct(), "c", "left_semi").select("c", "rep", F.lit(1)))
+    members = members.join(candidates.select("c").distinct(), "c", "left_semi")
+    sides = candidates.select("c", "rep", F.lit(0).alias("side"), "n").union(members.select("c", "rep", F.lit(1), F.lit(0).cast("long")))
     sides = materialise(sides.distinct(), "sides")
     used = materialise(sides.select("rep").distinct().join(reps.select("rep", "h", "n", "s1", "s2"), "rep"), "used")
 
     def blocks(side: int) -> F.Column:
-        mine = F.when(F.col("side") == side, F.col("n"))
-        return F.greatest(F.lit(1), F.ceil(F.count(mine) / BLOCK_ROWS), F.ceil(F.coalesce(F.sum(mine), F.lit(0)) / BLOCK_SHINGLES)).cast("int").alias(f"b{side}")
+        sets = F.count_if(F.col("side") == side)
+        return F.greatest(F.lit(1), F.ceil(sets / BLOCK_ROWS), F.ceil(sets * F.max("n") / BLOCK_SHINGLES)).cast("int").alias(f"b{side}")
 
-    counts = sides.join(used.select("rep", "n"), "rep").groupBy("c").agg(blocks(0), blocks(1)).where("b0 * b1 > 1")
+    counts = sides.groupBy("c").agg(blocks(0), blocks(1)).where("b0 * b1 > 1")
     dealt = sides.join(counts, "c", "left").withColumns({"b0": F.coalesce("b0", F.lit(1)), "b1": F.coalesce("b1", F.lit(1))})
     own, other = F.when(F.col("side") == 0, F.col("b0")).otherwise(F.col("b1")), F.when(F.col("side") == 0, F.col("b1")).otherwise(F.col("b0"))
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), own)).withColumn("theirs", F.explode(F.sequence(F.lit(0), other - 1)))
@@ -301,12 +305,12 @@ def _live(rows: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def _pivots(rows: DataFrame, percent: int) -> DataFrame:
-    """(c, rep): the sets of nodes of several that may be linked with the node's pivot c."""
+    """(c, rep, n): the sets of nodes of several that may be linked with the node's pivot c."""
     pivot = F.min_by(F.struct(F.col("rep").alias("c"), F.col("n").alias("pn"), F.col("s1").alias("p1"), F.col("s2").alias("p2")), F.xxhash64("node", "rep"))
     nodes = rows.groupBy("node").agg(F.count("*").alias("size"), pivot.alias("p")).where("size > 1").select("node", "p.*")
     sizes = F.lit(100) * F.least("n", "pn") >= F.lit(percent) * F.greatest("n", "pn")
     bits = F.bit_count(F.col("s1").bitwiseXOR(F.col("p1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("p2")))
-    return rows.join(nodes, "node").where((F.col("rep") != F.col("c")) & sizes & (bits <= _slack(percent))).select("c", "rep").distinct()
+    return rows.join(nodes, "node").where((F.col("rep") != F.col("c")) & sizes & (bits <= _slack(percent))).select("c", "rep", "n").distinct()
 
 
 def _in_pieces(rows: DataFrame) -> DataFrame:
@@ -351,7 +355,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE, tr
     links = _confirm(docs, reps, star, star.select("c", F.col("c").alias("rep")), percent, width)
     component = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
 
-    may = "c long, rep long"
+    may = "c long, rep long, n long"
     joining = None
     for depth in range(1, MAX_DEPTH + 1):
         live = _live(rows, component)
