@@ -29,7 +29,7 @@ from loomspan.session import materialise, small_arrow_batches
 SIZE = 1024
 SHARD_ROWS = 2000
 K1, B = 1.2, 0.75
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 VOCABULARY = 50_257
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -44,27 +44,25 @@ class Tokenizer(dict):
     """Token ids of whole texts, as little-endian 16-bit numbers. A byte-level BPE never joins two pre-tokens, so the
     ids of frequent ones are remembered: this is the dictionary of known pre-tokens, and a missing one is encoded when it is asked for.
 
-    Texts with characters outside the common Latin ones are encoded whole by the tokenizer. ranks: the same vocabulary as
-    merge ranks, which encodes single pre-tokens several times faster; without it the tokenizer itself does.
+    Texts with characters outside the common Latin ones are encoded whole. ranks: the same vocabulary as
+    merge ranks, which encodes several times faster; without it the tokenizer itself does.
     """
 
     def __init__(self, path: str, ranks: str | None, pattern: str):
         super().__init__()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer as Fast
-
-        self.fast = Fast.from_file(path)
-        self.fast.encode_special_tokens = True
-        self.one = self._ids
         if ranks:
             import tiktoken
 
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer as Fast
 
-    def _ids(self, text: str) -> list[int]:
-        return self.fast.encode(text, add_special_tokens=False).ids
+            fast = Fast.from_file(path)
+            fast.encode_special_tokens = True
+            self.one = lambda text: fast.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, word: str) -> bytes:
         ids = array("H", self.one(word)).tobytes()
@@ -75,7 +73,7 @@ class Tokenizer(dict):
 
     def __call__(self, text: str) -> np.ndarray:
         if _UNUSUAL.search(text):
-            return np.array(self._ids(text), dtype="<u2")
+            return np.array(self.one(text), dtype="<u2")
         return np.frombuffer(b"".join(map(self.__getitem__, _PLAIN_SPLIT.findall(text))), dtype="<u2")
 
 
