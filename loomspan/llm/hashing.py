@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 MAX_BLOOM_BITS = 1 << 26
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -51,7 +51,7 @@ class Windows:
 
     def __init__(self, units: np.ndarray):
         self.n = len(units)
-        up, self.down = _powers(1 << max(21, self.n.bit_length()))
+        up, self.down = _powers(1 << max(20, self.n.bit_length()))
         self.sums = np.zeros(self.n + 1, dtype=np.uint64)
         np.cumsum(units * up[: self.n], out=self.sums[1:])
 

@@ -43,6 +43,8 @@ BLOCK_ROWS = 2000
 BLOCK_SHINGLES = 1_000_000
 BATCH_ROWS = 200
 VECTOR_NODE = 64
+TILE = 64
+PAIRS = 200_000
 
 _RNG = np.random.default_rng(77003)
 _FACTORS = _RNG.integers(0, 1 << 64, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -168,20 +170,26 @@ def _walked(percent: int, depth: int, last: int):
         node_end = np.repeat(edges[1:], np.diff(edges))
         at = np.arange(len(row))
         count = node_end - at - 1
-        left, right = np.repeat(at, count), ragged(at + 1, count)
-        a, b = row[left], row[right]
-        near = (component[a] != component[b]) & _alike(*sketch, a, b, percent)
-        left, right = left[near], right[near]
-        swap = (part_size[left] > part_size[right]) | ((part_size[left] == part_size[right]) & (component[row[left]] > component[row[right]]))
-        yield np.stack([component[row[np.where(swap, left, right)]], row[np.where(swap, right, left)]], axis=1)
+        # a slice holds whole rows of about PAIRS pairs
+        cuts = np.searchsorted(np.cumsum(count), np.arange(PAIRS, count.sum() + PAIRS, PAIRS), side="right") + 1
+        begin = 0
+        for end in np.unique(np.minimum(np.append(cuts, len(row)), len(row))).tolist():
+            mine = slice(begin, end)
+            begin = end
+            left, right = np.repeat(at[mine], count[mine]), ragged(at[mine] + 1, count[mine])
+            a, b = row[left], row[right]
+            near = (component[a] != component[b]) & _alike(*sketch, a, b, percent)
+            left, right = left[near], right[near]
+            swap = (part_size[left] > part_size[right]) | ((part_size[left] == part_size[right]) & (component[row[left]] > component[row[right]]))
+            yield np.stack([component[row[np.where(swap, left, right)]], row[np.where(swap, right, left)]], axis=1)
 
     def against(rows: np.ndarray, component, *sketch) -> Iterator[np.ndarray]:
         """The sets of one node outside its largest component against all others."""
         names, count = np.unique(component[rows], return_counts=True)
         main = names[np.argmax(count)]
         outside = rows[component[rows] != main]
-        for k in range(0, len(outside), 256):
-            i = outside[k : k + 256][:, None]
+        for k in range(0, len(outside), TILE):
+            i = outside[k : k + TILE][:, None]
             near = (component[i] != component[rows]) & ((component[rows] == main) | (component[i] < component[rows])) & _alike(*sketch, i, rows[None, :], percent)
             left, right = np.nonzero(near)
             yield np.unique(np.stack([component[rows[right]], outside[k + left]], axis=1), axis=0)
