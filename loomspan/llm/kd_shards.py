@@ -101,8 +101,11 @@ def _cuts(rows: DataFrame, owed: list[int], widest: list[int], totals: list[int]
 def kd_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     """Every document with its shard in 0..shards-1 and a gapless slot inside it.
 
-    Returns (doc_id, size, text_crc32, shard, slot). An empty table gives no rows; columns of docs
-    other than doc_id, text, source and lang are not read, whatever their names.
+    Returns (doc_id, size, text_crc32, shard, slot). Of every split the left side's bytes differ from its share by at most half of
+    one document and TOLERANCE of a shard, so a shard of s bytes on average is off by at most a document for each
+    level of the tree. Equal texts, however many, differ in the hashed low half of their coordinates and are dealt like others;
+    rows that repeat id and text share a coordinate and stay together. Repeated and null ids are rows of their own. An
+    empty table gives no rows; columns of docs other than doc_id, text, source and lang are not read, whatever their names.
     """
     rows = materialise(points(docs).withColumn("node", F.lit(0)), "kd-level")
     owed, first = [shards], [0]
@@ -128,13 +131,13 @@ def kd_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
         rows = deeper
         owed, first = next_owed, next_first
     shard = _table(first, F.col("node")).cast("int")
-    return with_slots(rows.select("doc_id", "size", "text_crc32", shard.alias("shard")))
+    return with_slots(rows.select("doc_id", "size", "text_crc32", shard.alias("shard")), shards)
 
 
-def with_slots(rows: DataFrame) -> DataFrame:
+def with_slots(rows: DataFrame, shards: int) -> DataFrame:
     """Number the rows of each shard from 0 in groups of about SLOT_ROWS, so that no task orders a whole shard."""
     count = rows.count()
-    per = max(1, count // (SLOT_ROWS * max(1, 40)))
+    per = max(1, count // (SLOT_ROWS * shards))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(per)).cast("int"))
     offsets = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

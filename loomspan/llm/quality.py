@@ -82,7 +82,7 @@ class Ftrl:
 
 
 def _train(group: pa.Table) -> pa.Table:
-    group = group.sort_by([("place", "ascending"), ("doc_id", "ascending")])
+    group = group.sort_by([("place", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
     labels = group.column("label").to_pylist()
     rows = [x for _, _, data, bounds in slices(group.column("text")) for x in features(data, bounds)]
     share = [max(1, labels.count(k)) * 2 / max(1, len(labels)) for k in (0, 1)]
@@ -101,11 +101,12 @@ def is_held_out(doc_id: str = "doc_id") -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """The averaged model of at most SAMPLE_ROWS labelled rows, chosen by the hash of their doc_id; held-out rows are never used.
 
-    Null labels and labels without a document are skipped. Without any labelled row all weights are 0.
+    Null labels and labels without a document are skipped; of labels that contradict each other the least counts. Without any
+    labelled row all weights are 0. Rows that repeat a labelled doc_id are all learned from.
     """
     small_arrow_batches(docs.sparkSession)
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out())
-    usable = usable.select("doc_id", F.col(label).cast("int").alias("label"), F.xxhash64("doc_id").alias("place")).dropDuplicates(["doc_id"])
+    usable = usable.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label")).withColumn("place", F.xxhash64("doc_id"))
     sample = usable.orderBy("place", "doc_id").limit(SAMPLE_ROWS)
     shards = max(1, min(SHARDS, sample.count() // SHARD_LEAST))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")

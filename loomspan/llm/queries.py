@@ -6,7 +6,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from loomspan.llm.decontaminate import contaminated
 from loomspan.llm.embedding_dedup import embedding_links
 from loomspan.llm.html_text import extract_text
@@ -111,7 +110,6 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
