@@ -162,22 +162,37 @@ def merged_spans(spans: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def beside_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs (all columns) as d, beside the column `spans` of spans (doc_id, h, start, end): null where a document has none.
+@dataclass
+class Marked:
+    """Documents with spans, and a filter of their keys that may take a few others for one of them."""
 
-    Only documents that a Bloom filter takes for one with spans are shuffled; all others stay in their tasks.
-    """
-    spark = docs.sparkSession
-    found = materialise(merged_spans(spans), "spans")
-    some = spark.sparkContext.broadcast(Bloom.of(found.select(F.xxhash64("doc_id", "h").alias("key")), "key"))
-
-    @F.arrow_udf("boolean")
-    def touched(keys: pa.Array) -> pa.Array:
-        return pa.array(some.value.might_hold(keys.to_numpy(zero_copy_only=False)))
-
-    doc_id, h = F.col("d.doc_id").cast("long"), F.xxhash64(F.col("d.text").cast("string"))
-    d, maybe = docs.alias("d"), touched(F.xxhash64(doc_id, h))
-    on = doc_id.eqNullSafe(F.col("s.doc_id")) & (h == F.col("s.h"))
-    joined = d.where(maybe).join(found.alias("s"), on, "left").select("d.*", F.col("s.spans").alias("spans of this row"))
-    rest = d.where(~maybe).select("d.*", F.lit(None).cast(found.schema["spans"].dataType).alias("spans of this row"))
-    return joined.union(rest)
+    spans: DataFrame
+    some: object
+
+    @classmethod
+    def of(cls, spans: DataFrame) -> Marked:
+        """spans: (doc_id, h, start, end), overlapping or not."""
+        found = materialise(merged_spans(spans), "spans")
+        return cls(found, spans.sparkSession.sparkContext.broadcast(Bloom.of(found.select(F.xxhash64("doc_id", "h").alias("key")), "key")))
+
+    @staticmethod
+    def key(docs: DataFrame) -> F.Column:
+        return F.xxhash64(docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string")))
+
+    def touched(self, docs: DataFrame) -> F.Column:
+        some = self.some
+
+        @F.arrow_udf("boolean")
+        def touched(keys: pa.Array) -> pa.Array:
+            return pa.array(some.value.might_hold(keys.to_numpy(zero_copy_only=False)))
+
+        return touched(self.key(docs))
+
+    def beside(self, docs: DataFrame) -> DataFrame:
+        """The documents that may have spans, all columns, with these in column SPANS: null where there are none. Only they are shuffled."""
+        d = docs.where(self.touched(docs)).alias("d")
+        on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("s.h"))
+        return d.join(self.spans.alias("s"), on, "left").select("d.*", F.col("s.spans").alias(SPANS))
+
+
+SPANS = "spans of this row"

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from loomspan.llm.hashing import Bloom, Windows, Words, ragged, signed, slices
-from loomspan.llm.repeats import beside_spans, classes, gram_keys, identified, only_heads, repeated_keys, surviving
+from loomspan.llm.repeats import SPANS, Marked, classes, gram_keys, identified, only_heads, repeated_keys, surviving
 from loomspan.session import materialise, small_arrow_batches
 
 WINDOW = 35
@@ -93,24 +93,31 @@ def _kept(raw: bytes, start: np.ndarray, end: np.ndarray, spans: list[dict]) ->
     return b" ".join(raw[a:b] for a, b in zip(start[keep].tolist(), end[keep].tolist(), strict=True)), int((~keep).sum())
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans = batch.column("spans")
-        counts, removed, digests = [], [], []
-        for row, end, data, bounds in slices(batch.column("text")):
-            words = Words(data, bounds)
-            for d in range(end - row):
-                a, b = words.first[d], words.first[d + 1]
-                mine = spans[row + d].as_py()
-                raw = data[bounds[d] : bounds[d + 1]].tobytes()
-                kept, cut = _kept(raw, words.start[a:b] - bounds[d], words.end[a:b] - bounds[d], mine) if mine else (b" ".join(raw.split()), 0)
-                counts.append(int(b - a))
-                removed.append(cut)
-                digests.append(hashlib.sha256(kept).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())],
-            ["doc_id", "n_words", "n_removed", "kept_sha256"],
-        )
+def _cut(some=None):
+    """The digests of documents beside their spans; with `some`, a broadcast filter, those of the documents of (doc_id, key, text) that it doesn't hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if some:
+                batch = batch.filter(pa.array(~some.value.might_hold(batch.column("key").to_numpy())))
+            spans = None if some else batch.column(SPANS)
+            counts, removed, digests = [], [], []
+            for row, end, data, bounds in slices(batch.column("text")):
+                words = Words(data, bounds)
+                for d in range(end - row):
+                    a, b = words.first[d], words.first[d + 1]
+                    mine = spans[row + d].as_py() if spans else None
+                    raw = data[bounds[d] : bounds[d + 1]].tobytes()
+                    kept, cut = _kept(raw, words.start[a:b] - bounds[d], words.end[a:b] - bounds[d], mine) if mine else (b" ".join(raw.split()), 0)
+                    counts.append(int(b - a))
+                    removed.append(cut)
+                    digests.append(hashlib.sha256(kept).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())],
+                ["doc_id", "n_words", "n_removed", "kept_sha256"],
+            )
+
+    return run
 
 
 def without_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -122,8 +129,9 @@ def without_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int =
     """
     small_arrow_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = beside_spans(texts, repeated_word_spans(texts, window, gram)).withColumnRenamed("spans of this row", "spans")
-    return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    marked, out = Marked.of(repeated_word_spans(texts, window, gram)), "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    whole = texts.select("doc_id", Marked.key(texts).alias("key"), "text").mapInArrow(_cut(marked.some), out)
+    return whole.unionByName(marked.beside(texts).mapInArrow(_cut(), out))
 
 
 @F.arrow_udf(StringType())
@@ -143,6 +151,8 @@ def cut_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM
 
     Every row is a text of its own, as in without_repeated_windows; null and empty texts and null doc_ids stay as they are.
     """
-    joined = beside_spans(docs, repeated_word_spans(docs, window, gram))
-    text = F.when(F.col("spans of this row").isNull(), F.col("text")).otherwise(_rest(F.col("text"), F.col("spans of this row")))
-    return joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = Marked.of(repeated_word_spans(docs, window, gram))
+    near = marked.beside(docs)
+    cut = near.withColumn("text", F.when(F.col(SPANS).isNull(), F.col("text")).otherwise(_rest(F.col("text"), F.col(SPANS))))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.where(~marked.touched(docs)).select(*columns).union(cut.select(*columns))

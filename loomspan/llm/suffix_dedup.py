@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.hashing import _UNITS, Bloom, Windows, mix, signed, slices, whole_groups
-from loomspan.llm.repeats import Extents, beside_spans, classes, gram_keys, identified, only_heads, repeated_keys, surviving
+from loomspan.llm.repeats import SPANS, Extents, Marked, classes, gram_keys, identified, only_heads, repeated_keys, surviving
 from loomspan.session import materialise, small_arrow_batches
 
 LENGTH = 100
@@ -221,26 +221,33 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tu
         level, width = materialise(only_heads(parts, of_parts.heads).select(*columns), "detail"), step
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans = batch.column("spans")
-        out: list[list] = [[], [], [], [], []]
-        for row, end, data, bounds in slices(batch.column("text")):
-            for d in range(end - row):
-                raw = data[bounds[d] : bounds[d + 1]]
-                mine = spans[row + d].as_py()
-                n, removed, runs, kept = len(raw), 0, 0, raw
-                if mine:
-                    both = np.array([(s["start"], s["end"]) for s in mine], dtype=np.int64)
-                    gone = np.zeros(n + 1, dtype=np.int64)
-                    np.add.at(gone, both[:, 0], 1)
-                    np.add.at(gone, both[:, 1], -1)
-                    cut = np.cumsum(gone)[:-1] > 0
-                    removed, runs, kept = int(cut.sum()), int(cut[0]) + int((cut[1:] & ~cut[:-1]).sum()), raw[~cut]
-                for column, value in zip(out, (n, removed, runs, hashlib.sha256(kept.tobytes()).hexdigest(), kept.tobytes() if removed else None), strict=True):
-                    column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+def _cut(some=None):
+    """The digests of documents beside their spans; with `some`, a broadcast filter, those of the documents of (doc_id, key, text) that it doesn't hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if some:
+                batch = batch.filter(pa.array(~some.value.might_hold(batch.column("key").to_numpy())))
+            spans = None if some else batch.column(SPANS)
+            out: list[list] = [[], [], [], [], []]
+            for row, end, data, bounds in slices(batch.column("text")):
+                for d in range(end - row):
+                    raw = data[bounds[d] : bounds[d + 1]]
+                    mine = spans[row + d].as_py() if spans else None
+                    n, removed, runs, kept = len(raw), 0, 0, raw
+                    if mine:
+                        both = np.array([(s["start"], s["end"]) for s in mine], dtype=np.int64)
+                        gone = np.zeros(n + 1, dtype=np.int64)
+                        np.add.at(gone, both[:, 0], 1)
+                        np.add.at(gone, both[:, 1], -1)
+                        cut = np.cumsum(gone)[:-1] > 0
+                        removed, runs, kept = int(cut.sum()), int(cut[0]) + int((cut[1:] & ~cut[:-1]).sum()), raw[~cut]
+                    for column, value in zip(out, (n, removed, runs, hashlib.sha256(kept.tobytes()).hexdigest(), kept.tobytes() if removed else None), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return run
 
 
 def without_earlier_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -256,5 +263,6 @@ def without_earlier_strings(docs: DataFrame, length: int = LENGTH, gram: int = G
     spans = copies.where(~place.eqNullSafe(F.col("head"))).select("doc_id", "h", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     spans = spans.unionByName(groups.where(~F.col("earliest")).select("doc_id", "h", "start", (F.col("start") + F.col("length")).alias("end")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = beside_spans(texts, spans).withColumnRenamed("spans of this row", "spans")
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    marked, out = Marked.of(spans), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    whole = texts.select("doc_id", Marked.key(texts).alias("key"), "text").mapInArrow(_cut(marked.some), out)
+    return whole.unionByName(marked.beside(texts).mapInArrow(_cut(), out))
