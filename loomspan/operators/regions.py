@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -211,3 +213,103 @@ def stitched(lines: DataFrame, image: str) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
     return lines.groupBy(image).applyInPandas(stitch_image, f"{fields}, fate string")
 
+
+
+def overlap_edges(regions: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """(a, b) of regions (id, x0, y0, x1, y1) that overlap by more than `share` of the smaller one."""
+    area = lambda s: (F.col(f"x1{s}") - F.col(f"x0{s}")) * (F.col(f"y1{s}") - F.col(f"y0{s}"))
+    w, h = shared("x"), shared("y")
+    pairs = box_pairs(regions, regions, keys).where("id_l < id_r").where((w > 0) & (h > 0) & (w * h > share * F.least(area("_l"), area("_r"))))
+    return pairs.select(F.col("id_l").alias("a"), F.col("id_r").alias("b"))
+
+
+def build_regions(lines: DataFrame, letters: DataFrame, key: str) -> DataFrame:
+    """The lines that stay, with their `region`, named by its least line id.
+
+    lines (key, id, ...) become paragraphs by adjacency; overlapping paragraphs vote on one direction and those of the other
+    go; paragraphs that continue each other with even spacing are joined, columns are split at large gaps, and of regions that still
+    overlap a greedy choice by letters stays. Tilted ones are joined instead. letters: (id, line, box, thickness, size).
+    """
+    boxes = lambda placed: wrap(placed, ["region", key])
+    ids = lambda regions: regions.withColumnRenamed("region", "id")
+    placed = materialise(grouped(lines, paragraph_edges(lines, [key]), "region"), "placed")
+
+    found = materialise(ids(boxes(placed)), "regions")
+    groups = grouped(found, overlap_edges(found, [key], 0.2), "group").select(F.col("id").alias("region"), "group", F.col("direction").alias("own"))
+    votes = direction_votes(placed.join(groups, "region"), letter_scores(letters, ["line"]), "group")
+    right = groups.join(votes, "group", "left").where("vote IS NULL OR vote = own").select("region")
+    placed = materialise(placed.join(right, "region", "left_semi"), "placed")
+
+    found = materialise(boxes(placed), "regions")
+    groups = grouped(ids(found).select("id"), continuation_edges(found, placed, [key], "region"), "group").withColumnRenamed("id", "region")
+    joined = materialise(placed.join(groups, "region"), "placed")
+    even = spacing_deviation(joined, ["group"]).where("mad < 2").select("group", F.lit(True).alias("even"))
+    placed = joined.join(even, "group", "left").withColumn("region", F.when(F.col("even"), F.col("group")).otherwise(F.col("region"))).drop("group", "even")
+
+    parts = split_at_gaps(placed, ["region"]).drop("gap")
+    first = F.min("id").over(Window.partitionBy("region", "part"))
+    placed = materialise(parts.withColumn("first", first).drop("region", "part").withColumnRenamed("first", "region"), "placed")
+
+    found = materialise(ids(boxes(placed)), "regions")
+    edges = materialise(overlap_edges(found, [key], COLUMN_BREAK), "overlaps")
+    groups = grouped(found.select("id", "angle", "lettercount"), edges, "group")
+    tilted = groups.groupBy("group").agg(F.avg("angle").alias("mean"), F.count("*").alias("n")).where("abs(mean) > 0.1 AND n > 1").select("group")
+    flat = groups.join(tilted, "group", "left_anti")
+    kept = greedy_subset(flat, overlap_edges(found, [key], 0.2).join(flat.select(F.col("id").alias("a")), "a", "left_semi"), "lettercount").select("id", F.col("id").alias("name"))
+    kept = kept.union(groups.join(tilted, "group", "left_semi").select("id", "group"))
+    return placed.join(kept.withColumnRenamed("id", "region"), "region").drop("region").withColumnRenamed("name", "region")
+
+
+def _slope(letters: list[dict]) -> float:
+    """Upper median of the slopes between all pairs of letters, as an angle; pairs above each other don't count."""
+    slopes = sorted((a["cy"] - b["cy"]) / (a["cx"] - b["cx"]) for k, a in enumerate(letters) for b in letters[:k] if a["cx"] != b["cx"])
+    return math.atan(slopes[len(slopes) // 2]) if slopes else 0.0
+
+
+def _bends(letters: list[dict], slack: float = 2.0) -> bool:
+    """Does the vertical gap from letter to letter change along the line?"""
+    gaps = [max(slack, max(a["y0"], b["y0"]) - min(a["y1"], b["y1"])) for a, b in zip(letters, letters[1:], strict=False)]
+    return any(a != b for a, b in zip(gaps, gaps[1:], strict=False))
+
+
+def _may_join(a: list[dict], b: list[dict], both: list[dict]) -> bool:
+    if abs(_slope(both)) > 0.1 + abs(_slope(a)) + abs(_slope(b)) or _bends(both):
+        return False
+    (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = ((min(x["x0"] for x in s), min(x["y0"] for x in s), max(x["x1"] for x in s), max(x["y1"] for x in s)) for s in (a, b))
+    w, h = min(ax1, bx1) - max(ax0, bx0), min(ay1, by1) - max(ay0, by0)
+    if w > 0 and h > 0 and w * h > 0.3 * min((ax1 - ax0) * (ay1 - ay0), (bx1 - bx0) * (by1 - by0)):
+        return False
+    tall = sorted(max(x["height"] for x in s) for s in (a, b))
+    return tall[1] <= (1.5 + 10 / max(len(a), len(b))) * tall[0]
+
+
+def join_letters(letters: pd.DataFrame, pairs: pd.DataFrame) -> dict[int, int]:
+    """The line of each letter id, named by its least letter: pairs are taken by distance, and join two lines if the outcome is straight and even."""
+    line = {r["id"]: r["id"] for r in letters.to_dict("records")}
+    members = {r["id"]: [r] for r in letters.to_dict("records")}
+    for left, right in pairs.sort_values(["dist", "left", "right"])[["left", "right"]].itertuples(index=False):
+        a, b = line[left], line[right]
+        if a == b:
+            continue
+        both = sorted(members[a] + members[b], key=lambda x: (x["x1"], x["id"]))
+        if len(both) > 2 and not _may_join(members[a], members[b], both):
+            continue
+        name, gone = min(a, b), max(a, b)
+        del members[gone]
+        members[name] = both
+        line.update({x["id"]: name for x in both})
+    return line
+
+
+def built_lines(letters: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """(key, id, line) of letters (key, id, x0, y0, x1, y1, cx, cy, height), from pairs (key, left, right, dist).
+
+    The order of the merges decides, so a chunk of an image is one group; its letters are bounded by its pixels.
+    """
+
+    def run(mine: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        return mine[[key, "id"]].assign(line=mine["id"].map(join_letters(mine, near)))
+
+    columns = letters.select(F.col(key).cast("long").alias(key), "id", "x0", "y0", "x1", "y1", "cx", "cy", "height")
+    near = pairs.select(F.col(key).cast("long").alias(key), "left", "right", "dist")
+    return columns.groupBy(key).cogroup(near.groupBy(key)).applyInPandas(run, f"{key} long, id long, line long")

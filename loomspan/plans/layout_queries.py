@@ -435,3 +435,25 @@ def menu_filter(spark, sf_dir):
     pattern = F.concat_ws(".*?", F.substring(t, 1, 1), F.substring(t, 3, 1), F.substring(t, 4, 1))
     entry = F.lower(F.concat_ws(" ", "p_type", "p_name"))
     return table(spark, sf_dir, "part").select("p_partkey", F.regexp_like(entry, pattern).alias("hit"), F.regexp_like(entry, F.lit("z.*?q")).alias("odd"))
+
+
+def doubled_lines(lines: DataFrame) -> DataFrame:
+    """lines, and beside some of them a second reading in the other direction, a little off."""
+    again = lines.where("u % 5 = 0").withColumns({"id": F.col("id") + 10_000_000, "direction": -F.col("direction"), "lettercount": F.col("lettercount") + 2})
+    moved = again.withColumns({c: F.col(c) + 3 for c in ("x0", "x1", "cx")})
+    return lines.unionByName(moved)
+
+
+@query()
+def built_regions(spark, sf_dir):
+    """The whole way from lines to regions."""
+    lines = doubled_lines(frame(spark, sf_dir, "lines"))
+    return regions.build_regions(lines, _line_letters(lines), "img").select("id", "region")
+
+
+@query()
+def built_lines(spark, sf_dir):
+    """Letters to lines by greedy merges of near pairs."""
+    letters = frame(spark, sf_dir, "letters")
+    reach = 2 * letters.agg(F.max(F.least("width", "height"))).first()[0]
+    return regions.built_lines(letters, regions.letter_pairs(letters, ["page"], reach), "page")

@@ -47,3 +47,8 @@ def colors(documents: DataFrame) -> DataFrame:
     """(src, region_id, weight, rgb) of every colour row."""
     rows = documents.select("src", F.explode("_plaster").alias("region_id", "p")).select("src", "region_id", F.explode("p.colors").alias("c"))
     return rows.select("src", "region_id", F.col("c")[0].cast("int").alias("weight"), F.from_json(F.col("c")[1], "array<double>").alias("rgb"))
+
+
+def write_regions(regions: DataFrame, path: str, key: str = "id") -> None:
+    """One folder of JSON files for each document. Rows of a document are gathered by its key; a large one may take several files."""
+    regions.repartition(key).write.mode("overwrite").partitionBy(key).json(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomspan.operators.regions import stitch_image
+
 
 def unexpired(events: DataFrame, at: str, ttl: str) -> DataFrame:
     """Events no later than `ttl` behind the newest one; later ones are dropped by the watermark of a following stateful step."""
@@ -71,3 +74,42 @@ def jobs_with_results(jobs: DataFrame, results: DataFrame, key: str, within: str
     a, b = jobs.withWatermark("at", within).alias("j"), results.withWatermark("at", within).alias("r")
     on = (F.col(f"j.{key}") == F.col(f"r.{key}")) & (F.col("r.at") >= F.col("j.at")) & (F.col("r.at") <= F.col("j.at") + F.expr(f"INTERVAL {within}"))
     return a.join(b, on, "leftOuter")
+
+
+def region_states(events: DataFrame, key: str, at: str, kind: str) -> DataFrame:
+    """(key, at, state) after every event: waiting until `begin`, processing until `end`, then finished; `reset` begins anew.
+
+    An `end` without a `begin` changes nothing. Events of a micro-batch are taken in the order of their time.
+    """
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.get[0] if state.exists else "waiting"
+        out = []
+        for t, event in pd.concat(frames).sort_values("at")[["at", "kind"]].itertuples(index=False):
+            now = {("begin", "waiting"): "processing", ("end", "processing"): "finished"}.get((event, now), "waiting" if event == "reset" else now)
+            out.append((k[0], t, now))
+        state.update((now,))
+        yield pd.DataFrame(out, columns=["key", "at", "state"])
+
+    flat = events.select(F.col(key).cast("string").alias("key"), F.col(at).alias("at"), F.col(kind).alias("kind"))
+    return flat.groupBy("key").applyInPandasWithState(step, "key string, at timestamp, state string", "state string", "append", GroupStateTimeout.NoTimeout)
+
+
+def restitched(lines: DataFrame, image: str) -> DataFrame:
+    """Every time chunks of an image come in, all of its lines (image, id, chunk, fate) so far, stitched anew.
+
+    lines: (image, id, chunk, x0, y0, x1, y1, direction, lettercount). The state of an image is its lines, bounded by its pixels;
+    a line that comes again replaces itself.
+    """
+    columns = ["id", "chunk", "x0", "y0", "x1", "y1", "direction", "lettercount"]
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fresh = pd.concat(frames)[columns]
+        known = pd.DataFrame(json.loads(state.get[0]), columns=columns) if state.exists else fresh.iloc[:0]
+        rows = pd.concat([known, fresh]).drop_duplicates("id", keep="last").reset_index(drop=True)
+        state.update((json.dumps(rows.values.tolist()),))
+        done = stitch_image(rows.astype({"id": "int64", "chunk": "int64"}))
+        yield pd.DataFrame({"image": k[0], "id": done["id"], "chunk": done["chunk"], "fate": done["fate"]})
+
+    flat = lines.select(F.col(image).cast("string").alias("image"), *columns)
+    return flat.groupBy("image").applyInPandasWithState(step, "image string, id long, chunk long, fate string", "rows string", "append", GroupStateTimeout.NoTimeout)
