@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 ARROW_ROWS = 1000
 
+#: Paths that materialise() made inside each open scratch scope, the innermost last.
+_scopes: list[list[str]] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; one of our own only where it is unset (local tests)."""
@@ -31,17 +34,46 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a frame that materialise() made and that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, parent)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A scope whose tables are deleted at its end, but for those made by the function it gives, which works as materialise().
+
+    Nothing lazy may leave the scope but what that function returns. A kept table belongs to the scope around, if there is one.
+    """
+    mine: list[str] = []
+    outer = _scopes[-1] if _scopes else None
+    _scopes.append(mine)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = materialise(df, name)
+        path = mine.pop()
+        if outer is not None:
+            outer.append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(mine)
+        for path in mine:
+            _delete(spark, path)
 
 
 def _show_package(spark: SparkSession) -> None:
