@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
 from loomspan.operators.graph import connected_components
-from loomspan.session import arrow_batches, materialise, small_arrow_batches
+from loomspan.session import arrow_batches, materialise, scratch, small_arrow_batches
 
 COSINE = 0.95
 SAMPLE_ROWS = 16_384
@@ -274,6 +274,11 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_
     repeat a vec_id are counted as vectors of their own and share one outcome; if their vectors differ, links of either are added.
     A null vec_id links with nothing and is never kept. An empty table gives no rows.
     """
+    with scratch(vectors.sparkSession) as keep:
+        return keep(_classed(vectors, cosine, key, value, cell_rows), "embedding-links")
+
+
+def _classed(vectors: DataFrame, cosine: float, key: str, value: str, cell_rows: int) -> DataFrame:
     spark = vectors.sparkSession
     small_arrow_batches(spark)
     single = isinstance(vectors.schema[value].dataType.elementType, FloatType)

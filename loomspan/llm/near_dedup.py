@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from loomspan.llm.hashing import Bloom, Windows, Words, mix, ragged, signed, slices, whole_groups
 from loomspan.llm.repeats import identified
 from loomspan.operators.graph import connected_components
-from loomspan.session import arrow_batches, materialise, small_arrow_batches
+from loomspan.session import arrow_batches, materialise, scratch, small_arrow_batches
 
 SHINGLE = 5
 COORDINATES = 64
@@ -345,6 +345,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE, tr
     those of the row whose set has the least hash, and sets equal to that of any of its rows. A null doc_id stays alone,
     with a null component_id and kept false. An empty table gives no rows.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_components(docs, percent, width, trees), "near-duplicates")
+
+
+def _components(docs: DataFrame, percent: int, width: int, trees: int) -> DataFrame:
     spark = docs.sparkSession
     small_arrow_batches(spark)
     docs = identified(docs)
@@ -404,7 +409,7 @@ def one_of_each_group(docs: DataFrame, percent: int = 80, width: int = SHINGLE)
     text = F.col("text").cast("string")
     # names of texts without an id are above all ids in use: a hash in the upper quarter of the 64-bit numbers
     name = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(1 << 62)))
-    found = materialise(near_duplicates(docs.select(name.alias("doc_id"), text.alias("text")), percent, width).select("doc_id", "kept"), "near-duplicates")
+    found = near_duplicates(docs.select(name.alias("doc_id"), text.alias("text")), percent, width).select("doc_id", "kept")
     gone = found.where("NOT kept").select("doc_id").distinct()
     left = docs.withColumn("name of this row", name).join(gone.withColumnRenamed("doc_id", "name of this row"), "name of this row", "left_anti")
     again = materialise(found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("name of this row")), "repeated")

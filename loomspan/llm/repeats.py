@@ -170,9 +170,9 @@ class Marked:
     some: object
 
     @classmethod
-    def of(cls, spans: DataFrame) -> Marked:
-        """spans: (doc_id, h, start, end), overlapping or not."""
-        found = materialise(merged_spans(spans), "spans")
+    def of(cls, spans: DataFrame, keep=materialise) -> Marked:
+        """spans: (doc_id, h, start, end), overlapping or not; they are written by `keep`."""
+        found = keep(merged_spans(spans), "spans")
         return cls(found, spans.sparkSession.sparkContext.broadcast(Bloom.of(found.select(F.xxhash64("doc_id", "h").alias("key")), "key")))
 
     @staticmethod

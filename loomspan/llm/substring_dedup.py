@@ -20,7 +20,7 @@ from pyspark.sql.types import StringType
 
 from loomspan.llm.hashing import Bloom, Windows, Words, ragged, signed, slices
 from loomspan.llm.repeats import SPANS, Marked, classes, gram_keys, identified, only_heads, repeated_keys, surviving
-from loomspan.session import materialise, small_arrow_batches
+from loomspan.session import materialise, scratch, small_arrow_batches
 
 WINDOW = 35
 GRAM = 9
@@ -129,7 +129,9 @@ def without_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int =
     """
     small_arrow_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked, out = Marked.of(repeated_word_spans(texts, window, gram)), "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    with scratch(docs.sparkSession) as keep:
+        marked = Marked.of(repeated_word_spans(texts, window, gram), keep)
+    out = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     whole = texts.select("doc_id", Marked.key(texts).alias("key"), "text").mapInArrow(_cut(marked.some), out)
     return whole.unionByName(marked.beside(texts).mapInArrow(_cut(), out))
 
@@ -151,7 +153,8 @@ def cut_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM
 
     Every row is a text of its own, as in without_repeated_windows; null and empty texts and null doc_ids stay as they are.
     """
-    marked = Marked.of(repeated_word_spans(docs, window, gram))
+    with scratch(docs.sparkSession) as keep:
+        marked = Marked.of(repeated_word_spans(docs, window, gram), keep)
     near = marked.beside(docs)
     cut = near.withColumn("text", F.when(F.col(SPANS).isNull(), F.col("text")).otherwise(_rest(F.col("text"), F.col(SPANS))))
     columns = [F.col(f"`{c}`") for c in docs.columns]

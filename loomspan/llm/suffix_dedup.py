@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.hashing import _UNITS, Bloom, Windows, mix, signed, slices, whole_groups
 from loomspan.llm.repeats import SPANS, Extents, Marked, classes, gram_keys, identified, only_heads, repeated_keys, surviving
-from loomspan.session import materialise, small_arrow_batches
+from loomspan.session import materialise, scratch, small_arrow_batches
 
 LENGTH = 100
 GRAM = 32
@@ -258,11 +258,13 @@ def without_earlier_strings(docs: DataFrame, length: int = LENGTH, gram: int = G
     is empty. Rows of one doc_id with different texts are documents of their own, ordered by a hash of the text; rows that
     repeat both (null ids too) are one document, given once for each row. An empty table gives no rows.
     """
-    copies, groups = repeat_groups(docs, length, gram)
-    place = F.struct("doc_id", "h", "first")
-    spans = copies.where(~place.eqNullSafe(F.col("head"))).select("doc_id", "h", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    spans = spans.unionByName(groups.where(~F.col("earliest")).select("doc_id", "h", "start", (F.col("start") + F.col("length")).alias("end")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked, out = Marked.of(spans), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    place = F.struct("doc_id", "h", "first")
+    with scratch(docs.sparkSession) as keep:
+        copies, groups = repeat_groups(docs, length, gram)
+        spans = copies.where(~place.eqNullSafe(F.col("head"))).select("doc_id", "h", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+        spans = spans.unionByName(groups.where(~F.col("earliest")).select("doc_id", "h", "start", (F.col("start") + F.col("length")).alias("end")))
+        marked = Marked.of(spans, keep)
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     whole = texts.select("doc_id", Marked.key(texts).alias("key"), "text").mapInArrow(_cut(marked.some), out)
     return whole.unionByName(marked.beside(texts).mapInArrow(_cut(), out))
