@@ -14,7 +14,7 @@ from loomspan.llm.near_dedup import one_of_each_group
 from loomspan.llm.packing import pack
 from loomspan.llm.quality import fit, with_scores
 from loomspan.llm.substring_dedup import cut_repeated_windows
-from loomspan.session import materialise, table
+from loomspan.session import discard, scratch, table
 
 QUALITY_THRESHOLD = 0.3
 SIMILARITY_PERCENT = 80
@@ -60,12 +60,17 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The classifier, the joins on signatures and the packing can't be written in SQL; tests hold run() against brute force.
+#: The classifier, the joins on signatures and the packing can't be written in SQL; tests/llm/test_plain_versions.py holds run() against plain stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; each stage's table is deleted when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
