@@ -68,3 +68,24 @@ def rings(mask: DataFrame, pixels: DataFrame, keys: list[str], most: int) -> Dat
     near = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.lit(abs(dy) + abs(dx)).alias("ring")) for dy, dx in offsets])).alias("p")
     reached = mask.select(*keys, near).select(*keys, "p.*").groupBy(*keys, "y", "x").agg(F.min("ring").alias("ring")).where("ring > 0")
     return reached.join(pixels.select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
+
+
+def thinned(gradients: DataFrame, keys: list[str]) -> DataFrame:
+    """Pixels (keys, y, x, m) whose gradient (dx, dy) is at least as strong as the one before and stronger than the one after it along its own direction.
+
+    Directions fall in four sectors; m is the sum of both gradients' sizes. Neighbours outside the image count 0.
+    """
+    m, dx, dy = F.abs("dx") + F.abs("dy"), F.col("dx"), F.col("dy")
+    steep, flat = F.abs(dy) > 2.414213562373095 * F.abs(dx), F.abs(dy) < 0.4142135623730951 * F.abs(dx)
+    sx = F.when(steep, 0).when(flat, 1).when(dx * dy > 0, 1).otherwise(-1)
+    sy = F.when(steep, 1).when(flat, 0).otherwise(1)
+    marked = gradients.withColumns({"m": m, "sx": sx, "sy": sy})
+    place = [*keys, "y", "x"]
+
+    def beside(sign: int, name: str) -> DataFrame:
+        own = marked.select(*place, (F.col("y") + sign * F.col("sy")).alias("ny"), (F.col("x") + sign * F.col("sx")).alias("nx"))
+        other = marked.select(*keys, F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("m").alias(name))
+        return own.join(other, [*keys, "ny", "nx"]).select(*place, name)
+
+    both = marked.join(beside(-1, "before"), place, "left").join(beside(1, "after"), place, "left")
+    return both.where((F.col("m") >= F.coalesce("before", F.lit(0.0))) & (F.col("m") > F.coalesce("after", F.lit(0.0)))).select(*place, "m")

@@ -393,7 +393,9 @@ def pig_latin(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.transform(F.split("text", " "), exprs.pig_word), " ").alias("pig"))
 
 
-@query()
+@query(r"""
+SELECT item_id, list_reduce(regexp_split_to_array(text, '\s+'), lambda lines, word: CASE WHEN length(string_split(lines, chr(10))[-1]) + length(word) < 40 THEN lines || ' ' || word ELSE lines || chr(10) || word END) AS wrapped
+FROM benchmark""")
 def wrap_greedy(spark, sf_dir):
     """Lines of at most 40 characters, filled greedily; a longer word stands alone."""
     words = F.split("text", r"\s+")

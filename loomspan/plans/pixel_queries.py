@@ -214,3 +214,25 @@ def linked_edges(spark, sf_dir):
     weak = px.sobel(_gray(spark, sf_dir), ["img"], "v").withColumn("m", strength).where("m > 650").selectExpr("img * 1600 + y * 40 + x AS p", "img", "y", "x", "m > 900 AS strong")
     found = px.components(weak, ["img"], "p")
     return found.withColumn("any", F.bool_or("strong").over(Window.partitionBy("component"))).where("any").select("p")
+
+
+@query(f"""WITH {SOBEL}, g AS (SELECT img, y, x, abs(dx) + abs(dy) AS m,
+ CASE WHEN abs(dy) > 2.414213562373095 * abs(dx) THEN 0 WHEN abs(dy) < 0.4142135623730951 * abs(dx) THEN 1 WHEN dx * dy > 0 THEN 1 ELSE -1 END AS sx,
+ CASE WHEN abs(dy) > 2.414213562373095 * abs(dx) THEN 1 WHEN abs(dy) < 0.4142135623730951 * abs(dx) THEN 0 ELSE 1 END AS sy FROM sobel)
+SELECT g.img, g.y, g.x, CAST(g.m AS DOUBLE) AS m FROM g LEFT JOIN g b ON b.img = g.img AND b.y = g.y - g.sy AND b.x = g.x - g.sx LEFT JOIN g a ON a.img = g.img AND a.y = g.y + g.sy AND a.x = g.x + g.sx
+WHERE g.m >= coalesce(b.m, 0) AND g.m > coalesce(a.m, 0)""")
+def thin_edges(spark, sf_dir):
+    """Gradients that are the strongest along their direction, in four sectors."""
+    return px.thinned(px.sobel(_gray(spark, sf_dir), ["img"], "v").select("img", "y", "x", "dx", "dy"), ["img"])
+
+
+@query(f"""WITH {GRAY} SELECT img, CAST(floor((x - 4) * 1.5) AS BIGINT) AS x, CAST(floor((y - 2) * 1.5) AS BIGINT) AS y, count(*) AS n, round(min(20 + ((x - 20) * cos(0.3) + (y - 20) * sin(0.3)) * 0.9), 6) AS turned_x, round(max(20 + ((y - 20) * cos(0.3) - (x - 20) * sin(0.3)) * 0.9), 6) AS turned_y
+FROM gray WHERE v < 60 AND x >= 4 AND y >= 2 GROUP BY ALL""")
+def projected_mask(spark, sf_dir):
+    """Mask pixels in a resized box, and turned by an angle at nine tenths of their size."""
+    c, x, y = F.col, F.col("x") - 20, F.col("y") - 20
+    cos, sin = F.cos(F.lit(0.3)), F.sin(F.lit(0.3))
+    turned = _gray(spark, sf_dir).where("v < 60 AND x >= 4 AND y >= 2").withColumns({"tx": 20 + (x * cos + y * sin) * 0.9, "ty": 20 + (y * cos - x * sin) * 0.9})
+    place = [F.floor((c("x") - 4) * 1.5).alias("px"), F.floor((c("y") - 2) * 1.5).alias("py")]
+    grouped_ = turned.groupBy("img", *place).agg(F.count("*").alias("n"), F.round(F.min("tx"), 6).alias("turned_x"), F.round(F.max("ty"), 6).alias("turned_y"))
+    return grouped_.select("img", F.col("px").alias("x"), F.col("py").alias("y"), "n", "turned_x", "turned_y")
