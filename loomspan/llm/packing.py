@@ -1,9 +1,10 @@
 """Lexical retrieval packing into sequences of a fixed number of tokens.
 
 One narrow pass tokenises every document. Whole runs of `size` tokens from its start are sequences of their
-own; what is left, the tail, is packed with other tails. Tails are dealt by the hash of their document
-to shards of about SHARD_ROWS, so that no group of copies makes a shard large. Every shard holds a BM25 inverted index
-over token ids, with document frequencies and lengths of all documents. The next unused tail seeds a sequence; the index returns
+own; what is left, the tail, is packed with other tails. Tails are ordered by the rarest token ids that they share with any other
+document, the terms that weigh most in BM25, and dealt to ranges of that order, which become shards of SHARD_ROWS: tails with
+a rare term in common meet, whatever the number of shards, and a large group of copies fills shards of its own. Every shard holds a BM25
+inverted index over token ids, with document frequencies and lengths of all documents. The next unused tail seeds a sequence; the index returns
 its unused neighbours by score, which fill the window greedily; the last one is cut and the rest of it stays
 unused. Only the last sequence of a shard has padding.
 """
@@ -28,6 +29,7 @@ from loomspan.session import materialise, small_arrow_batches
 
 SIZE = 1024
 SHARD_ROWS = 2000
+RANGE_SHARDS = 4
 K1, B = 1.2, 0.75
 CACHE_WORDS = 100_000
 VOCABULARY = 50_257
@@ -175,16 +177,47 @@ def pack_shard(tails: list[np.ndarray], idf: np.ndarray, mean: float, size: int)
         sequence += 1
 
 
+def rarest(tail: np.ndarray, frequency: np.ndarray) -> int:
+    """The three token ids of a tail that fewest documents hold, but at least two, as one number; the rarest stands first."""
+    ids = np.unique(tail)
+    ids = ids[frequency[ids] > 1]
+    first = ids[np.argsort(frequency[ids], kind="stable")[:3]].tolist()
+    return sum(int(t) << 16 * (2 - k) for k, t in enumerate(first))
+
+
+def _placed(sent):
+    """Tails with the number that places them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, frequency = sent.value
+        for batch in batches:
+            place = [rarest(np.frombuffer(x, dtype="<u2"), frequency) for x in batch.column("tail").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, pa.int64())], [*batch.schema.names, "place"])
+
+    return run
+
+
 def _pack(sent, size: int):
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("doc_tokens", "ascending")])
-        shard = group.column("shard")[0].as_py()
-        ids, starts, totals = (group.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens"))
-        tails = [np.frombuffer(x, dtype="<u2") for x in group.column("tail").to_pylist()]
-        idf, mean = sent.value
-        out = [(ids[t], starts[t] + s, n, _crc(tails[t][s : s + n]), totals[t], (shard << 36) + q, o) for t, s, n, q, o in pack_shard(tails, idf, mean, size)]
+    """The tails of a range, in the order of their places, in shards of SHARD_ROWS."""
+
+    def pieces(shard: pa.Table, sequence: int) -> tuple[pa.RecordBatch, int]:
+        ids, starts, totals = (shard.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens"))
+        tails = [np.frombuffer(x, dtype="<u2") for x in shard.column("tail").to_pylist()]
+        idf, mean, _ = sent.value
+        out = [(ids[t], starts[t] + s, n, _crc(tails[t][s : s + n]), totals[t], sequence + q, o) for t, s, n, q, o in pack_shard(tails, idf, mean, size)]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        return pa.table([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names), max(x[5] for x in out) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence, held = TaskContext.get().partitionId() << 36, pa.table({})
+        for batch in batches:
+            held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held.num_columns else pa.Table.from_batches([batch])
+            while held.num_rows >= SHARD_ROWS:
+                out, sequence = pieces(held.slice(0, SHARD_ROWS), sequence)
+                held = held.slice(SHARD_ROWS)
+                yield out
+        if held.num_rows:
+            yield pieces(held, sequence)[0]
 
     return run
 
@@ -195,7 +228,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None, pattern: str, size:
     tokenizer: a byte-level BPE file that every executor can read; ranks: the same vocabulary as merge ranks, or None;
     pattern: its pre-token pattern. A document is its ids followed by end_id; a null or
     empty text is end_id alone. Only doc_id and text are read; repeated and null doc_ids are documents of their own. An
-    empty table gives no rows. Equal tails are ordered by doc_id, so the result does not depend on the order of rows.
+    empty table gives no rows. Tails are ordered by their terms, their content and doc_id.
     """
     spark = docs.sparkSession
     small_arrow_batches(spark)
@@ -209,10 +242,11 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None, pattern: str, size:
     for r in counts.select("seen").mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row for each id of the vocabulary
         frequency[r["id"]] = r["n"]
     idf = np.log(1 + (documents - frequency + 0.5) / (frequency + 0.5))
-    sent = spark.sparkContext.broadcast((idf, max(1.0, min(size / 2, tokens / max(1, documents)))))
-    tails = cut.where("tail IS NOT NULL")
-    shards = max(1, -(-documents // SHARD_ROWS))
-    shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.crc32("tail")), F.lit(shards))
-    packed = tails.select("doc_id", "start", "doc_tokens", "tail", shard.alias("shard")).groupBy("shard").applyInArrow(_pack(sent, size), PIECE)
+    sent = spark.sparkContext.broadcast((idf, max(1.0, min(size / 2, tokens / max(1, documents))), frequency))
+    tails = cut.where("tail IS NOT NULL").select("doc_id", "start", "doc_tokens", "tail")
+    placed = "doc_id long, start long, doc_tokens long, tail binary, place long"
+    placed = materialise(tails.mapInArrow(_placed(sent), placed).withColumn("salt", F.xxhash64("doc_id", "tail")), "tails")
+    ranges = placed.repartitionByRange(max(1, -(-documents // (RANGE_SHARDS * SHARD_ROWS))), "place", "salt")
+    packed = ranges.sortWithinPartitions("place", "salt", "doc_id", "start").mapInArrow(_pack(sent, size), PIECE)
     whole = cut.where("sequence_id IS NOT NULL").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))
     return whole.unionByName(packed)
