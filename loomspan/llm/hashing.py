@@ -7,7 +7,8 @@ a product whatever its length. A mixer spreads the result over all bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 MAX_BLOOM_BITS = 1 << 26
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -39,7 +40,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(size, _BASE, dtype=np.uint64), np.full(size, _INVERSE, dtype=np.uint64)
     up[0] = down[0] = 1
@@ -51,7 +52,7 @@ class Windows:
 
     def __init__(self, units: np.ndarray):
         self.n = len(units)
-        up, self.down = _powers(1 << max(20, self.n.bit_length()))
+        up, self.down = _powers(1 << max(19, self.n.bit_length()))
         self.sums = np.zeros(self.n + 1, dtype=np.uint64)
         np.cumsum(units * up[: self.n], out=self.sums[1:])
 
@@ -102,6 +103,20 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    give_back()
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    """The C library's own call for it, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives for many stages, and would else hold the most that any batch took."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
@@ -121,6 +136,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Ite
             held, rows = all_.slice(cut).to_batches(), all_.num_rows - cut
     if rows:
         yield pa.Table.from_batches(held)
+    give_back()
 
 
 def signed(h: np.ndarray) -> np.ndarray:

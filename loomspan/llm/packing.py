@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm.hashing import give_back
 from loomspan.session import materialise, small_arrow_batches
 
 SIZE = 1024
@@ -111,6 +112,7 @@ def _tokenised(path: str, ranks: str | None, pattern: str, size: int, end_id: in
             columns = list(zip(*out, strict=True)) or [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
         if docs:
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, docs, total, None, None, None, None, seen.astype("<i4").tobytes()), kinds, strict=True)], names)
 
     return run
