@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def upper_median(column: str) -> Column:
-    """The element at floor(n/2) of the sorted values: the discrete median read from the top. Combined before its shuffle."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column} DESC)")
-
-
 def half_up(x: Column) -> Column:
     """Round half towards positive infinity."""
     return F.floor(x + F.lit(0.5))
