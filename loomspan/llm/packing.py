@@ -32,7 +32,7 @@ SIZE = 1024
 SHARD_ROWS = 2000
 RANGE_SHARDS = 4
 K1, B = 1.2, 0.75
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 VOCABULARY = 50_257
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
