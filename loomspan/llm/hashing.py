@@ -1,13 +1,17 @@
 """Word and window hashes of whole Arrow batches with numpy, and bounded Bloom filters of such hashes.
 
-A slice of a batch is one run of bytes; nothing here loops over words. Hashes are polynomials modulo
-2**64 over random unit values, read off prefix sums: the hash of units [i, j) costs a subtraction and
-a product whatever its length. A mixer spreads the result over all bits.
+A slice of a batch is one run of bytes; nothing here loops over words. A word's hash is the sum of a random value for
+each of its bytes and their places. Runs of units have polynomials modulo 2**64 over random unit values, read off prefix sums: the hash of
+units [i, j) costs a subtraction and a product whatever its length. A mixer spreads the result over all bits.
+
+Such a polynomial loses bits on long runs of two alternating units, so runs that it calls equal are only candidates: what decides an
+answer is also held against a second hash of another kind, `folded` or `digests`.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -69,6 +73,25 @@ class Windows:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _UNITS[7])
 
 
+def folded(units: np.ndarray, length: int) -> np.ndarray:
+    """A second hash of every window of `length` units: halves are mixed at every doubling, so that no sum over the window is involved."""
+    if len(units) < length:
+        return np.zeros(0, dtype=np.uint64)
+    out, span = mix(units ^ _UNITS[11]), 1
+    while span < length:
+        step = min(span, length - span)
+        left, right = out[: len(out) - step], out[step:]
+        out = mix(left * _UNITS[13] + (right ^ (right >> np.uint64(32))))
+        span += step
+    return out
+
+
+def digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two columns of 64 bits each: a cryptographic digest of the bytes [start, end) of raw, for each of the (few) runs."""
+    found = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True))
+    return np.frombuffer(found, dtype=np.int64).reshape(-1, 2)
+
+
 class Words:
     """The words of a slice of texts: byte bounds, 64-bit hashes, and the words [first[d], first[d + 1]) of text d.
 
@@ -84,10 +107,20 @@ class Words:
         cuts = np.flatnonzero(edge)
         inside = word[cuts[:-1]].astype(bool) if len(data) else np.zeros(0, dtype=bool)
         self.start, self.end = cuts[:-1][inside], cuts[1:][inside]
-        letters = Windows(_UNITS[_LOWER[data] if lower else data])
-        self.hash = letters.spans(self.start, self.end)
+        place = np.arange(len(data)) - np.repeat(cuts[:-1], np.diff(cuts))
+        self._values = mix((place.astype(np.uint64) << np.uint64(8)) | (_LOWER[data] if lower else data))
+        self.hash = self._sums(self._values)
         self.first = np.searchsorted(self.start, bounds)
 
+    def _sums(self, values: np.ndarray) -> np.ndarray:
+        upto = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values, out=upto[1:])
+        return mix(upto[self.end] - upto[self.start])
+
+    def second(self) -> np.ndarray:
+        """Another hash of every word, independent of the first."""
+        return self._sums(mix(self._values ^ _UNITS[17]))
+
 
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, bounds) of runs of whole texts of about `limit` bytes; null is the empty text."""

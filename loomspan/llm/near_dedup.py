@@ -1,7 +1,7 @@
 """MinHash near-dedup: a chosen-path set similarity join over word shingles.
 
-1. Every text becomes its set of distinct five-word shingles. Equal sets are one class, represented by
-   the least doc_id, so copies are never compared.
+1. Every text becomes its set of distinct five-word shingles. Equal sets are one class, told by two independent hashes of all shingles and
+   represented by the least doc_id, so copies are never compared.
 2. Representatives walk down TREES independent trees. A node of a tree is a group of sets that agree
    on the minwise tokens chosen on the way; at every node one coordinate of the signature is chosen,
    and a second one with the chance that makes 1/threshold children the expectation, so that a pair at the
@@ -51,8 +51,8 @@ _FACTORS = _RNG.integers(0, 1 << 64, COORDINATES, dtype=np.uint64) | np.uint64(1
 _SKETCH_FACTORS = _RNG.integers(0, 1 << 64, 128, dtype=np.uint64) | np.uint64(1)
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, sizes): the sorted distinct shingle hashes of each text, one text after the other.
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int = SHINGLE, other: bool = False) -> tuple[np.ndarray, ...]:
+    """(hashes, sizes): the sorted distinct shingle hashes of each text, one text after the other; with `other` also an independent hash of each shingle.
 
     A text with fewer words than `width` has its whole word sequence as its one shingle, one without words has none.
     """
@@ -69,7 +69,11 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int = SHINGLE) ->
     h, text = h[order], text[order]
     fresh = np.ones(len(h), dtype=bool)
     fresh[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    return h[fresh], np.bincount(text[fresh], minlength=len(n))
+    sizes = np.bincount(text[fresh], minlength=len(n))
+    if not other:
+        return h[fresh], sizes
+    some = order[fresh]
+    return h[fresh], sizes, Windows(words.second()).spans(at[some], ends[some])
 
 
 def _minima(h: np.ndarray, starts: np.ndarray, factor: np.uint64) -> np.ndarray:
@@ -80,14 +84,14 @@ def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, bounds in slices(batch.column("text")):
-                h, sizes = shingle_sets(data, bounds, width)
+                h, sizes, again = shingle_sets(data, bounds, width, other=True)
                 some = np.flatnonzero(sizes)
                 starts = (np.cumsum(sizes) - sizes)[some]
                 k1, k2, s1, s2 = (np.zeros(end - row, dtype=np.uint64) for _ in range(4))
                 sig = np.zeros((end - row, COORDINATES), dtype=np.uint32)
                 if len(some):
                     k1[some] = np.add.reduceat(mix(h), starts)
-                    k2[some] = np.add.reduceat(mix(h ^ _FACTORS[0]), starts)
+                    k2[some] = np.add.reduceat(mix(again), starts)
                     for i, f in enumerate(_FACTORS):
                         sig[some, i] = _minima(h, starts, f).astype(np.uint32)
                     for i, f in enumerate(_SKETCH_FACTORS):

@@ -127,6 +127,8 @@ class Repeats:
 
 
 PLACE = ("doc_id", "h", "first")
+#: content and check are both halves of a digest of an extent's units, with the anchor's place in it.
+CONTENT = ("gram", "content", "check")
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -136,21 +138,21 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame) -> Repeats:
-    """Sort extents (gram, content, doc_id, h, first, ...) into classes; null doc_ids stand before all others.
+    """Sort extents (gram, content, check, doc_id, h, first, ...) into classes; null doc_ids stand before all others.
 
     members: the extents of classes with several members, with the class's `head`, its earliest place (doc_id, h, first).
-    heads: (gram, content, n, head) of every class of a gram that has several classes.
+    heads: (gram, content, check, n, head) of every class of a gram that has several classes.
     """
-    groups = rows.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("head"))
+    groups = rows.groupBy(*CONTENT).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("head"))
     groups = materialise(groups, "classes")
     several = groups.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    members = rows.join(groups.where("n > 1").drop("n"), ["gram", "content"])
+    members = rows.join(groups.where("n > 1").drop("n"), list(CONTENT))
     return Repeats(members, groups.join(several, "gram", "left_semi"))
 
 
 def only_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """The extents among rows that are the heads of their classes, with n."""
-    return rows.join(heads, ["gram", "content"]).where(F.struct(*PLACE).eqNullSafe(F.col("head")))
+    return rows.join(heads, list(CONTENT)).where(F.struct(*PLACE).eqNullSafe(F.col("head")))
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from loomspan.llm.hashing import Bloom, Windows, Words, ragged, signed, slices
+from loomspan.llm.hashing import Bloom, Windows, Words, digests, folded, ragged, signed, slices
 from loomspan.llm.repeats import SPANS, Marked, classes, gram_keys, identified, only_heads, repeated_keys, surviving
 from loomspan.session import materialise, scratch, small_arrow_batches
 
@@ -35,23 +35,26 @@ def _extents(window: int, gram: int, seen):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, _, data, bounds in slices(batch.column("text")):
-                units, edges = _read(data, bounds)
+                words = Words(data, bounds)
+                units, edges = Windows(words.hash), words.first
                 found = surviving(units, edges, gram, window, seen.value)
                 count = found.last - found.first + 1
-                windows = units.each(window)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(signed(windows[ragged(found.first, count)]) if len(count) else np.zeros(0, np.int64)))
+                offsets, at = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), ragged(found.first, count)
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(signed(each[at]) if len(at) else np.zeros(0, np.int64))) for each in (units.each(window), folded(words.second(), window))]
+                content = digests(words.hash.tobytes(), 8 * found.first, 8 * (found.last + window))
                 base, rows = edges[found.text], pa.array(row + found.text)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(signed(found.gram)),
-                        pa.array(signed(units.spans(found.first, found.last + window) + (found.anchor - found.first).astype(np.uint64))),
+                        pa.array(content[:, 0] + (found.anchor - found.first)),
+                        pa.array(content[:, 1]),
                         batch.column("doc_id").take(rows),
                         batch.column("h").take(rows),
                         pa.array((found.first - base).astype(np.int64)),
                         pa.array((found.last - base).astype(np.int64)),
-                        lists,
+                        *lists,
                     ],
-                    ["gram", "content", "doc_id", "h", "first", "last", "windows"],
+                    ["gram", "content", "check", "doc_id", "h", "first", "last", "windows", "again"],
                 )
 
     return run
@@ -71,15 +74,15 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM)
         if 2 * length > window:
             break
         length *= 2
-    rows = texts.mapInArrow(_extents(window, gram, spark.sparkContext.broadcast(seen)), "gram long, content long, doc_id long, h long, first long, last long, windows array<long>")
+    rows = texts.mapInArrow(_extents(window, gram, spark.sparkContext.broadcast(seen)), "gram long, content long, check long, doc_id long, h long, first long, last long, windows array<long>, again array<long>")
     rows = materialise(rows, "extents")
     sorted_ = classes(rows)
     whole = sorted_.members.select("doc_id", "h", F.col("first").alias("start"), (F.col("last") + window).alias("end"))
-    each = only_heads(rows, sorted_.heads).select("n", "doc_id", "h", "first", F.posexplode("windows").alias("k", "w"))
-    each = materialise(each, "windows")
-    again = each.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
+    each = only_heads(rows, sorted_.heads).select("n", "doc_id", "h", "first", F.posexplode(F.arrays_zip(F.col("windows").alias("w"), F.col("again").alias("w2"))).alias("k", "hashes"))
+    each = materialise(each.select("n", "doc_id", "h", "first", "k", "hashes.w", "hashes.w2"), "windows")
+    again = each.groupBy("w", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w", "w2")
     at = F.col("first") + F.col("k")
-    single = each.where("n = 1").join(again, "w", "left_semi").select("doc_id", "h", at.alias("start"), (at + window).alias("end"))
+    single = each.where("n = 1").join(again, ["w", "w2"], "left_semi").select("doc_id", "h", at.alias("start"), (at + window).alias("end"))
     return whole.unionByName(single)
 
 

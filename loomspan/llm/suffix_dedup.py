@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.hashing import _UNITS, Bloom, Windows, mix, signed, slices, whole_groups
+from loomspan.llm.hashing import _UNITS, Bloom, Windows, digests, mix, signed, slices, whole_groups
 from loomspan.llm.repeats import SPANS, Extents, Marked, classes, gram_keys, identified, only_heads, repeated_keys, surviving
 from loomspan.session import materialise, scratch, small_arrow_batches
 
@@ -38,7 +38,7 @@ def _read(data: np.ndarray, bounds: np.ndarray) -> tuple[Windows, np.ndarray]:
     return Windows(_UNITS[data]), bounds
 
 
-EXTENT = "gram long, content long, doc_id long, h long, first long, last long"
+EXTENT = "gram long, content long, check long, doc_id long, h long, first long, last long"
 DETAIL = f"{EXTENT}, at int, bytes binary"
 
 
@@ -53,17 +53,18 @@ def _extents(window: int, gram: int, seen, only=None):
                 if only:
                     keep = only.value.might_hold(found.gram)
                     found = Extents(*[x[keep] for x in (found.text, found.anchor, found.first, found.last, found.gram)])
-                end, rows = found.last + window, pa.array(row + found.text)
+                end, rows, raw = found.last + window, pa.array(row + found.text), data.tobytes()
+                content = digests(raw, found.first, end)
                 columns = {
                     "gram": pa.array(signed(found.gram)),
-                    "content": pa.array(signed(units.spans(found.first, end) + (found.anchor - found.first).astype(np.uint64))),
+                    "content": pa.array(content[:, 0] + (found.anchor - found.first)),
+                    "check": pa.array(content[:, 1]),
                     "doc_id": batch.column("doc_id").take(rows),
                     "h": batch.column("h").take(rows),
                     "first": pa.array((found.first - edges[found.text]).astype(np.int64)),
                     "last": pa.array((found.last - edges[found.text]).astype(np.int64)),
                 }
                 if only:
-                    raw = data.tobytes()
                     columns["at"] = pa.array((found.anchor - found.first).astype(np.int32))
                     columns["bytes"] = pa.array([raw[a:b] for a, b in zip(found.first.tolist(), end.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
@@ -159,10 +160,11 @@ def _parts(window: int, low: int, width: int):
                     rows, place, a, b = pa.array(row + some), anchor[some], a[some], b[some]
                     shift = a - bounds[:-1][some]
                     core = mix(units.spans(place + stop, place + begin + window) ^ mix(gram[mine][some].view(np.uint64) + np.uint64(begin - low)))
-                    content = units.spans(a, b + window) + (place - a).astype(np.uint64)
+                    content = digests(raw, a, b + window)
                     columns = {
                         "gram": pa.array(signed(core)),
-                        "content": pa.array(signed(content)),
+                        "content": pa.array(content[:, 0] + (place - a)),
+                        "check": pa.array(content[:, 1]),
                         "doc_id": batch.column("doc_id").take(rows),
                         "h": batch.column("h").take(rows),
                         "first": pa.array(first[mine][some] + shift),
