@@ -131,6 +131,10 @@ FROM e GROUP BY conv_id
 """
 
 
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+              lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+
+
 def rebuilt_paths(paths: DataFrame) -> DataFrame:
     """paths (conv_id, path) whose first turns, crc32 of the id modulo 6 of them, are those of the hundred's first conversation, if there is one."""
     own = paths.select("conv_id", "path", (F.col("conv_id") - F.col("conv_id") % 100).alias("base"), (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int").alias("h"))
@@ -145,6 +149,32 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(rebuilt_paths(conversation_paths(table(spark, sf_dir, "conversations"))))
 
 
+OP12_SQL = (
+    """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id AS c, h % 6 AS h FROM (SELECT conv_id, CRC AS h FROM (SELECT DISTINCT conv_id FROM t))),
+r AS (
+  SELECT c, k, role, text FROM ids JOIN t ON conv_id = c - c % 100 WHERE k <= h
+  UNION ALL SELECT c, k, role, text FROM ids JOIN t ON conv_id = c WHERE k > h),
+d AS (
+  SELECT c, row_number() OVER w AS depth, length(text) AS chars, string_agg(sha256(length(role) || ':' || role || text), '') OVER w AS path
+  FROM r WINDOW w AS (PARTITION BY c ORDER BY k)),
+p AS (SELECT c, depth, chars, path FROM d UNION ALL SELECT c, 0, 0, '' FROM ids),
+ends AS (SELECT path, sha256(string_agg(c, ',' ORDER BY c)) AS ids FROM (SELECT c, max(path) AS path FROM p GROUP BY c) GROUP BY path),
+n AS (SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, max(chars) AS chars FROM p GROUP BY path, depth),
+kids AS (SELECT path[:-65] AS path, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1),
+sub AS (
+  SELECT path[:64 * u] AS path, sum((n_convs - 1) * chars) AS saved, count(*) FILTER (leaf) AS leaves
+  FROM (SELECT n.*, kids.n IS NULL AS leaf, unnest(range(depth + 1)) AS u FROM n LEFT JOIN kids USING (path)) GROUP BY 1)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       coalesce(ids, sha256('')) AS ends_sha256
+FROM n JOIN sub USING (path) LEFT JOIN kids USING (path) LEFT JOIN ends USING (path) LEFT JOIN n up ON n.depth > 0 AND up.path = n.path[:-65]
+"""
+).replace("CRC", CRC32.format("conv_id::VARCHAR"))
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """conversations (conv_id, turn, role, text) with every null role and text one space, and a twentieth each of the turns lost, emptied, without full stops, repeated and said by the user."""
     space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -169,6 +199,49 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         return keep(out, "repair")
 
 
+OP13_SQL = (
+    r"""
+WITH RECURSIVE closure(s, mid, c, a, said) AS (VALUES
+  (0, 0, 0, '', ''), (0, 2, 5, 'I', '|user:'), (0, 3, 10, 'II', '|user:|assistant:'), (1, 1, 0, '', ''), (1, 2, 5, 'I', '|user:'), (1, 3, 10, 'II', '|user:|assistant:'),
+  (2, 2, 0, '', ''), (2, 3, 5, 'I', '|assistant:'), (3, 3, 0, '', ''), (3, 2, 5, 'I', '|user:')),
+edit(mid, initial, goal, c, a, role) AS (VALUES
+  (0, NULL, 0, 2, 'D', NULL), (1, NULL, 1, 2, 'D', NULL), (2, NULL, 2, 2, 'D', NULL), (3, NULL, 3, 2, 'D', NULL),
+  (0, NULL, 2, 1, 'R', 'user'), (1, NULL, 2, 1, 'R', 'user'), (2, NULL, 3, 1, 'R', 'assistant'), (3, NULL, 2, 1, 'R', 'user'),
+  (0, 's', 1, 0, 'K', NULL), (0, 'u', 2, 0, 'K', NULL), (1, 'u', 2, 0, 'K', NULL), (2, 'a', 3, 0, 'K', NULL), (3, 'u', 2, 0, 'K', NULL)),
+fated AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, CRC % 20 AS fate FROM conversations),
+hurt AS (
+  SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE fate WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM fated)),
+x AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k0) AS k, role[1] AS initial,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k0) > 1 THEN 'd'
+              WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN '' ELSE 't' END AS fault
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k0 FROM hurt)),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS k, 0 AS s, '000000' AS best, '' AS said FROM x GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, k, goal, min(best), arg_min(said, best) FROM (
+    SELECT x.conv_id, x.k, e.goal, lpad((dp.best[:6]::BIGINT + c.c + e.c + CASE WHEN e.a <> 'D' AND x.fault = 't' THEN 5 ELSE 0 END)::VARCHAR, 6, '0') || dp.best[7:] || c.a || e.a AS best,
+           dp.said || replace(c.said, '|', chr(10)) || CASE e.a WHEN 'D' THEN '' WHEN 'R' THEN chr(10) || e.role || ':' || x.text ELSE chr(10) || x.role || ':' || x.text END AS said
+    FROM dp JOIN x ON x.conv_id IS NOT DISTINCT FROM dp.conv_id AND x.k = dp.k + 1 JOIN closure c ON c.s = dp.s
+         JOIN edit e ON e.mid = c.mid AND (e.a = 'D' OR x.fault IN ('', 't')) AND (e.initial IS NULL OR e.initial = x.initial))
+  GROUP BY conv_id, k, goal),
+ends AS (
+  SELECT dp.conv_id, lpad((best[:6]::BIGINT + c.c)::VARCHAR, 6, '0') || best[7:] || c.a AS best, dp.said || replace(c.said, '|', chr(10)) AS said
+  FROM (SELECT conv_id, max(k) AS k FROM x GROUP BY conv_id) n JOIN dp ON dp.conv_id IS NOT DISTINCT FROM n.conv_id AND dp.k = n.k JOIN closure c ON c.s = dp.s AND c.mid IN (0, 3)),
+done AS (SELECT conv_id, min(best) AS best, arg_min(said, best) AS said FROM ends GROUP BY conv_id),
+pairs AS (SELECT conv_id, initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY k) AS pair FROM x),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated FROM x GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       (SELECT count(*) FROM pairs p WHERE p.conv_id IS NOT DISTINCT FROM o.conv_id AND pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal,
+       coalesce(best[:6]::BIGINT, 0) AS cost, coalesce(best[7:], '') AS audit, sha256(coalesce(said[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+).replace("CRC", CRC32.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_classifier": op2_quality_classifier,
@@ -188,4 +261,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_url_filter": OP4_SQL,
     "op11_chat_formatting": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
