@@ -80,7 +80,7 @@ def paragraph_edges(spark, sf_dir):
 
 WRAPPED = f"""{PARAGRAPHS}, {REACHED},
 regions AS (SELECT root AS region, img, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, avg(lineheight) AS lineheight, avg(xheight) AS xheight, avg(thickness) AS thickness, avg(lettersize) AS lettersize,
- CAST(sum(lettercount) AS BIGINT) AS lettercount, CASE WHEN sum(lettercount) < 5 AND sum(angle * lettercount) / sum(lettercount) < 0.1 THEN 0 ELSE sum(angle * lettercount) / sum(lettercount) END AS angle,
+ CAST(sum(lettercount) AS BIGINT) AS lettercount, CASE WHEN sum(lettercount) < 5 AND CAST(sum(CAST(angle AS DECIMAL(18, 9)) * lettercount) AS DOUBLE) / sum(lettercount) < 0.1 THEN 0 ELSE CAST(sum(CAST(angle AS DECIMAL(18, 9)) * lettercount) AS DOUBLE) / sum(lettercount) END AS angle,
  count(*) AS lines, arg_min(direction, id) AS direction FROM lines JOIN placed USING (id) GROUP BY root, img)"""
 
 
@@ -92,11 +92,12 @@ def _regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query(f"""WITH RECURSIVE {LINES}, {WRAPPED}
-SELECT region, x0, y0, x1, y1, round(lineheight, 6) AS lineheight, round(xheight, 6) AS xheight, lettercount, round(angle, 6) + 0.0 AS angle, lines, direction FROM regions WHERE lettercount > 2""")
+SELECT region, x0, y0, x1, y1, round(lineheight, 6) AS lineheight, round(xheight, 6) AS xheight, lettercount, floor(angle * 1000000 + 0.5) / 1000000 + 0.0 AS angle, lines, direction FROM regions WHERE lettercount > 2""")
 def paragraphs(spark, sf_dir):
     _, found = _regions(spark, sf_dir)
-    rounded = [(F.round(c, 6) + 0.0).alias(c) for c in ("lineheight", "xheight", "angle")]
-    return found.where("lettercount > 2").select("region", "x0", "y0", "x1", "y1", *rounded, "lettercount", "lines", "direction")
+    rounded = [(F.round(c, 6) + 0.0).alias(c) for c in ("lineheight", "xheight")]
+    angle = F.floor(F.col("angle") * 1000000 + 0.5) / 1000000 + 0.0  # one formula on both sides, ties included
+    return found.where("lettercount > 2").select("region", "x0", "y0", "x1", "y1", *rounded, angle.alias("angle"), "lettercount", "lines", "direction")
 
 
 @query(f"""WITH RECURSIVE {LINES}, {WRAPPED},
