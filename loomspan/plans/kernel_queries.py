@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.operators import pixels as px
-from loomspan.operators import strokes
+from loomspan.operators import colour_filter, inpaint, strokes
 from loomspan.plans.catalog import query
-from loomspan.plans.pixel_queries import GRAY, SOBEL, _gray
+from loomspan.plans.pixel_queries import GRAY, LAB, SOBEL, _gray
 from loomspan.plans.shapes import frame
 from loomspan.session import materialise
 
@@ -103,3 +103,81 @@ def crawled_lines(spark, sf_dir):
     cuts = _separators(spark, sf_dir).where("explored > goal").select("id", F.lit(1).alias("cut")).distinct()
     letters = _letters(spark, sf_dir).join(cuts, "id", "left")
     return letters.select("id", F.count("cut").over(Window.partitionBy("img", "y").orderBy("x0")).alias("part"))
+
+
+#: Letters are pixels with little red; a band of ten rows is a region.
+FILTERED = f"""{LAB}, binned AS (SELECT img, y, x, CAST(floor((2 * l + 40) / 16 + 0.5) + 16 * floor((a + 128) / 16 + 0.5) + 256 * floor((bb + 128) / 16 + 0.5) AS INT) AS bin FROM lab),
+contours AS (SELECT img, img * 4 + y // 10 AS region, y, x FROM pixels WHERE r < 45),
+boxes AS (SELECT img, region, min(x) - 30 AS x0, max(x) + 30 AS x1, min(y) - 20 AS y0, max(y) + 20 AS y1 FROM contours GROUP BY ALL),
+near AS (SELECT DISTINCT img, y + oy AS y, x + ox AS x FROM contours, (SELECT unnest(range(-4, 5)) AS oy), (SELECT unnest(range(-4, 5)) AS ox)),
+counts AS (SELECT img, region, bin, count(*) FILTER (c.x IS NOT NULL) AS n, count(*) FILTER (c.x IS NULL) AS m
+ FROM near JOIN binned USING (img, y, x) JOIN boxes b USING (img) LEFT JOIN (SELECT DISTINCT img, y, x FROM contours) c USING (img, y, x) WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY ALL),
+ratios AS (SELECT img, region, bin + d AS bin, sum(n) / (1 + sum(m)) AS ratio FROM counts, (VALUES (0), (1), (-1), (16), (-16), (256), (-256)) o(d) GROUP BY ALL HAVING sum(n) / (1 + sum(m)) > 3)"""
+
+
+def _contours(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pixels = frame(spark, sf_dir, "pixels").select("img", "y", "x", "r", "g", "b")
+    return pixels, pixels.where("r < 45").selectExpr("img", "img * 4 + y DIV 10 AS region", "y", "x")
+
+
+@query(f"WITH {FILTERED} SELECT img, y, x, max(region) AS region, CAST(floor(least(255, 2 * arg_max(ratio, region))) AS INT) AS marker FROM binned JOIN boxes USING (img) JOIN ratios USING (img, region, bin) WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY ALL")
+def local_colours(spark, sf_dir):
+    """Pixels whose colour prevails in the letters of a region against a ring around them."""
+    return colour_filter.local_colours(*_contours(spark, sf_dir), ["img"])
+
+
+@query(f"WITH {FILTERED} SELECT img, region, bin, round(ratio, 6) AS ratio FROM ratios")
+def prevailing_bins(spark, sf_dir):
+    """Bins of 4,096 colours that prevail in a region's letters, each pixel counting for six bins around its own."""
+    pixels, contours = _contours(spark, sf_dir)
+    box = contours.groupBy("img", "region").agg((F.min("x") - 30).alias("x0"), (F.max("x") + 30).alias("x1"), (F.min("y") - 20).alias("y0"), (F.max("y") + 20).alias("y1"))
+    coloured = pixels.select("img", "y", "x", colour_filter.colour_bin(F.col("r"), F.col("g"), F.col("b")).alias("bin"))
+    near = colour_filter.in_boxes(colour_filter.marked(coloured, contours, ["img"]), box, ["img"])
+    return colour_filter.prevailing_bins(near, ["img", "region"]).select("img", "region", "bin", F.round("ratio", 6).alias("ratio"))
+
+
+#: The mask is blocks of pixels whose pooled colour is dark; times settle in at most 200 rounds.
+MARCH = f"""{GRAY}, mask AS (SELECT img, y, x FROM gray WHERE (img, y // 5, x // 7) IN (SELECT (img, y // 5, x // 7) FROM gray GROUP BY img, y // 5, x // 7 HAVING avg(v) < 120)),
+field AS (SELECT g.img, g.y, g.x, m.x IS NOT NULL AS masked FROM gray g LEFT JOIN mask m ON m.img = g.img AND m.y = g.y AND m.x = g.x),
+rounds(k, img, y, x, masked, u) AS (
+ SELECT 0, img, y, x, masked, CASE WHEN masked THEN 1e9 ELSE 0 END::DOUBLE FROM field
+ UNION ALL
+ SELECT k + 1, img, y, x, masked, CASE WHEN NOT masked THEN 0 WHEN abs(a - d) >= 1 THEN least(u, 1 + least(a, d)) ELSE least(u, (a + d + sqrt(2 - (a - d) * (a - d))) / 2) END FROM (
+  SELECT *, least(coalesce(lag(u) OVER h, 1e9), coalesce(lead(u) OVER h, 1e9)) AS a, least(coalesce(lag(u) OVER v, 1e9), coalesce(lead(u) OVER v, 1e9)) AS d
+  FROM rounds WHERE k < 60 WINDOW h AS (PARTITION BY img, y ORDER BY x), v AS (PARTITION BY img, x ORDER BY y))),
+times AS (SELECT img, y, x, masked, u FROM rounds WHERE k = 60)"""
+
+
+def _mask(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    gray = _gray(spark, sf_dir)
+    block = ["img", F.expr("y DIV 5").alias("by"), F.expr("x DIV 7").alias("bx")]
+    dark = gray.groupBy(*block).agg(F.avg("v").alias("mean")).where("mean < 120")
+    mask = gray.select("y", "x", *block).join(dark, ["img", "by", "bx"], "left_semi").select("img", "y", "x")
+    return frame(spark, sf_dir, "pixels").select("img", "y", "x", "r", "g", "b"), materialise(mask, "mask")
+
+
+@query(f"WITH RECURSIVE {MARCH} SELECT img, y, x, round(u, 6) AS u FROM times WHERE masked")
+def arrival_times(spark, sf_dir):
+    """When a front from the mask's edge reaches each of its pixels."""
+    return inpaint.arrivals(*_mask(spark, sf_dir), ["img"]).select("img", "y", "x", F.round("u", 6).alias("u"))
+
+
+@query(f"""WITH RECURSIVE {MARCH},
+target AS (SELECT img, y, x, u FROM times WHERE masked AND u <= 1), known AS (SELECT t.img, t.y, t.x, r, g, b FROM times t JOIN pixels p USING (img, y, x) WHERE NOT masked),
+disc AS (SELECT oy, ox, CAST(oy * oy + ox * ox AS DOUBLE) AS sq FROM (SELECT unnest(range(-5, 6)) AS oy), (SELECT unnest(range(-5, 6)) AS ox) WHERE oy * oy + ox * ox BETWEEN 1 AND 25),
+side AS (SELECT t.*, l.x IS NOT NULL AS l, r.x IS NOT NULL AS r, a.x IS NOT NULL AS a, d.x IS NOT NULL AS d FROM target t
+ LEFT JOIN known l ON l.img = t.img AND l.y = t.y AND l.x = t.x - 1 LEFT JOIN known r ON r.img = t.img AND r.y = t.y AND r.x = t.x + 1
+ LEFT JOIN known a ON a.img = t.img AND a.x = t.x AND a.y = t.y - 1 LEFT JOIN known d ON d.img = t.img AND d.x = t.x AND d.y = t.y + 1),
+slope AS (SELECT *, CASE WHEN l = r THEN 0 WHEN r THEN -u ELSE u END AS sx, CASE WHEN a = d THEN 0 WHEN d THEN -u ELSE u END AS sy FROM side),
+w AS (SELECT s.img, s.y, s.x, k.r, k.g, k.b, CASE WHEN k.r = 250 AND k.g = 254 AND k.b = 252 THEN 0 ELSE CAST(floor((abs(ox * sx + oy * sy) / (sq * sqrt(sq)) / (1 + u) + 1e-6::DOUBLE) * 1099511627776) AS BIGINT) END AS w
+ FROM slope s, disc o JOIN known k ON k.img = s.img AND k.y = s.y + oy AND k.x = s.x + ox)
+SELECT img, y, x, CAST(floor(CAST(sum(w * r) AS DOUBLE) / sum(w) + 0.5) AS INT) AS r, CAST(floor(CAST(sum(w * g) AS DOUBLE) / sum(w) + 0.5) AS INT) AS g, CAST(floor(CAST(sum(w * b) AS DOUBLE) / sum(w) + 0.5) AS INT) AS b FROM w GROUP BY ALL""")
+def inpainted_edge(spark, sf_dir):
+    """The first layer of a filled mask, which sees only pixels outside it."""
+    return inpaint.inpaint(*_mask(spark, sf_dir), ["img"], ["r", "g", "b"]).where("layer = 1").select("img", "y", "x", "r", "g", "b")
+
+
+@query()
+def inpainted(spark, sf_dir):
+    """Masks filled from their edges inwards, in the order in which a front reaches their pixels."""
+    return inpaint.inpaint(*_mask(spark, sf_dir), ["img"], ["r", "g", "b"]).select("img", "y", "x", F.round("u", 6).alias("u"), "layer", "r", "g", "b")
