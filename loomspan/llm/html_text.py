@@ -2,8 +2,7 @@
 
 Markup is stripped into lines, one for each block element, in page order. Tags only weigh lines: a line inside
 boilerplate (menus, page headers, footers, asides, notices, adverts, forms, comment threads) keeps
-its place but counts no text, link text outside an article counts none either, and where marked articles hold most of a
-page's text, lines outside them count none.
+its place but counts no text, link text outside an article counts none either, and lines of marked articles count ARTICLE_WEIGHT times.
 
 The sums of the weights over sliding windows of lines then decide. The floor comes from the page itself: if its window
 sums fall into two kinds far apart, it is the threshold between these (Otsu's, on logarithms), else a single
@@ -15,7 +14,9 @@ belong to it, and lines in the same one do.
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,18 +29,19 @@ from loomspan.session import small_arrow_batches
 
 WINDOW = 3
 APART = 4.0
-ARTICLE_SHARE = 0.4
+ARTICLE_WEIGHT = 8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?:script|style|noscript|template|textarea|iframe|svg|select|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>"
     r"|<(script|style|textarea|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(noscript|template|svg|select|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</\2\s*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|</[^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: Elements whose content is dropped where they are closed.
+_DROPPED = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("noscript", "template", "svg", "select", "object", "canvas", "math")}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _ATTRIBUTE = re.compile(r"([^\s\"'=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
@@ -79,78 +81,104 @@ def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     return not BOILERPLATE_NAMES.isdisjoint(re.split(r"[\s_-]+", words))
 
 
+@dataclass(eq=False)
+class Container:
+    """An element that holds lines: how deep it lies in others, and the lines [first, end) inside it."""
+
+    depth: int
+    first: int
+    end: float = math.inf
+
+
+PAGE = Container(0, 0)
+
+
 @dataclass
 class Line:
-    """A block of text: its weight is its length without links outside an article, and its containers are numbered, outermost first."""
+    """A block of text at place `at` of the page: its weight is its length without links outside an article; container is the innermost around it."""
 
     text: str
     weight: int
-    containers: tuple[int, ...]
+    at: int
+    container: Container
     in_article: bool
 
 
 def page_lines(source: str) -> list[Line]:
-    """The block lines of a page; those in boilerplate have neither text nor weight."""
+    """The block lines of a page; those in boilerplate have neither text nor weight. Work is linear in the page, however its tags nest or stay open."""
     lines: list[Line] = []
     part: list[str] = []
     linked: list[str] = []
     links = 0
     open_tags: list[tuple[str, bool]] = []
-    containers: list[int] = []
-    muted = articles = numbered = 0
+    known: Counter[str] = Counter()  # of open_tags
+    containers: list[Container] = []
+    never_closed: set[str] = set()
+    muted = articles = 0
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(part)).split())
         part.clear()
         if text:
             weight = 0 if muted else len(text) - min(len(text), len(" ".join(html.unescape("".join(linked)).split())))
-            lines.append(Line("" if muted else text, weight, tuple(containers), articles > 0))
+            lines.append(Line("" if muted else text, weight, len(lines), containers[-1] if containers else PAGE, articles > 0))
         linked.clear()
 
     def close(upto: int) -> None:
         nonlocal muted, articles
         while len(open_tags) > upto:
             tag, mutes = open_tags.pop()
+            known[tag] -= 1
             muted -= mutes
             articles -= tag in ("article", "main")
             if tag in CONTAINERS:
-                containers.pop()
+                containers.pop().end = len(lines)
+
+    def opened(tag: str, mutes: bool) -> None:
+        nonlocal muted
+        open_tags.append((tag, mutes))
+        known[tag] += 1
+        muted += mutes
 
     at = 0
-    for m in _TOKEN.finditer(source):
+    while m := _TOKEN.search(source, at):
         if m.start() > at:
             piece = source[at : m.start()]
             part.append(piece)
             if links and not articles:
                 linked.append(piece)
         at = m.end()
-        if not m[4]:
+        if not m[3]:
             continue
-        tag = m[4].lower()
+        tag = m[3].lower()
+        if tag in _DROPPED and not m[2] and tag not in never_closed:
+            if end := _DROPPED[tag].search(source, at):
+                at = end.end()
+                continue
+            never_closed.add(tag)
         if tag == "a":
-            links = 0 if m[3] else 1
+            links = 0 if m[2] else 1
             continue
         if tag not in BLOCKS and tag not in BOILERPLATE:
             if tag in ("br", "img", "input"):
                 part.append(" ")
-            elif m[3]:
-                for k in range(len(open_tags) - 1, -1, -1):
+            elif m[2]:
+                for k in range(len(open_tags) - 1, -1, -1) if known[tag] else ():
                     if open_tags[k][0] == tag:
                         close(k)
                         break
                     if open_tags[k][0] in BLOCKS:
                         break
-            elif tag not in VOID and not m[5].endswith("/") and _is_boilerplate(tag, m[5], articles > 0):
+            elif tag not in VOID and not m[4].endswith("/") and _is_boilerplate(tag, m[4], articles > 0):
                 flush()
-                open_tags.append((tag, True))
-                muted += 1
+                opened(tag, True)
             continue
         flush()
         links = 0
         if tag in VOID:
             continue
-        if m[3]:
-            for k in range(len(open_tags) - 1, -1, -1):
+        if m[2]:
+            for k in range(len(open_tags) - 1, -1, -1) if known[tag] else ():
                 if open_tags[k][0] == tag:
                     close(k)
                     break
@@ -161,23 +189,18 @@ def page_lines(source: str) -> list[Line]:
             close(len(open_tags) - 1)
         if tag == "body":
             close(0)
-        mutes = _is_boilerplate(tag, m[5], articles > 0)
-        open_tags.append((tag, mutes))
-        muted += mutes
+        opened(tag, _is_boilerplate(tag, m[4], articles > 0))
         articles += tag in ("article", "main")
         if tag in CONTAINERS:
-            numbered += 1
-            containers.append(numbered)
+            containers.append(Container(len(containers) + 1, len(lines)))
     part.append(source[at:])
     flush()
     return lines
 
 
 def line_weights(lines: list[Line]) -> np.ndarray:
-    """The weight of each line; lines outside articles count nothing where articles hold at least ARTICLE_SHARE of the weight."""
-    weight = np.array([x.weight for x in lines], dtype=np.int64)
-    inside = np.array([x.in_article for x in lines], dtype=bool)
-    return np.where(inside, weight, 0) if weight[inside].sum() >= ARTICLE_SHARE * max(1, weight.sum()) else weight
+    """The weight of each line; lines inside articles count ARTICLE_WEIGHT times."""
+    return np.array([x.weight * (ARTICLE_WEIGHT if x.in_article else 1) for x in lines], dtype=np.int64)
 
 
 def window_sums(weights: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -201,10 +224,10 @@ def page_floor(sums: np.ndarray, apart: float = APART) -> float:
 
 def _together(a: Line, b: Line) -> bool:
     """Do two lines stand in one container, or one of them in a container inside the other's? The page's body alone joins only its own lines."""
-    inner, outer = (a, b) if len(a.containers) >= len(b.containers) else (b, a)
-    if len(outer.containers) <= 1:
-        return len(inner.containers) <= 1
-    return inner.containers[: len(outer.containers)] == outer.containers
+    inner, outer = (a, b) if a.container.depth >= b.container.depth else (b, a)
+    if outer.container.depth <= 1:
+        return inner.container.depth <= 1
+    return outer.container.first <= inner.at < outer.container.end
 
 
 def surges(lines: list[Line], weights: np.ndarray, floor: float, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -228,7 +251,7 @@ def surges(lines: list[Line], weights: np.ndarray, floor: float, window: int = W
             first -= 1
         while last + 1 < len(lines) and weights[last + 1] and _together(lines[last + 1], lines[text[-1]]):
             last += 1
-        if found and len(lines[first].containers) > 1 and _together(lines[found[-1][1] - 1], lines[first]):
+        if found and lines[first].container.depth > 1 and _together(lines[found[-1][1] - 1], lines[first]):
             first = found.pop()[0]  # what lies between two surges of one container is part of it
         found.append((first, last + 1))
         i = max(j, last + 1)
@@ -251,7 +274,7 @@ def extract_text(pages: DataFrame, html_column: str = "html", into: str = "text"
     """pages with the main text of each html in column `into`; a null, empty or textless page gives ''.
 
     A column of that name is replaced; all others, repeated rows and null ids stay as they are. A narrow map over pages: no
-    shuffle, and Arrow batches of bounded rows. Truncated markup ends at the end of the page; unknown character
+    shuffle, and Arrow batches of bounded rows. Truncated markup, an open quote in a tag too, ends at the end of the page; unknown character
     references stay as written. An empty table gives no rows.
     """
     small_arrow_batches(pages.sparkSession)
