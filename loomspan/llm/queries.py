@@ -18,7 +18,7 @@ from loomspan.llm.prefix_trie import conversation_paths, prefix_trie
 from loomspan.llm.quality import quality
 from loomspan.llm.substring_dedup import without_repeated_windows
 from loomspan.llm.suffix_dedup import without_earlier_strings
-from loomspan.llm.url_filter import Rule, blocked_by, judge_urls, keys_of
+from loomspan.llm.url_filter import Rule, judge_urls
 from loomspan.session import scratch, table
 
 URL_RULES = [
@@ -47,9 +47,8 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, host, path, rule, verdict. The cascade learns the keys of the corpus that the rules block; all others are allowed."""
-    pages = table(spark, sf_dir, "pages")
-    return judge_urls(pages, URL_RULES, blocked_by(URL_RULES, keys_of(pages)))
+    """page_id, host, path, rule, verdict. The cascade learns the keys of the corpus that the rules block and gives the verdicts."""
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 OP4_SQL = """

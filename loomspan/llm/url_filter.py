@@ -154,28 +154,25 @@ def listed_in_cascade(rows: DataFrame, key: str, listed: DataFrame, into: str) -
     return answer
 
 
-def keys_of(pages: DataFrame, url: str = "url") -> DataFrame:
-    """(host, path, key) of every row of pages: the key of a url is its host and path."""
-    host, path = split_url(F.col(url))
-    return pages.select(host.alias("host"), path.alias("path"), F.concat(host, path).alias("key"))
-
-
-def blocked_by(rules: list[Rule], keys: DataFrame) -> DataFrame:
-    """(key): the distinct keys among `keys` (host, path, key) that the rules block, as a list for judge_urls."""
-    return keys.where(longest_rule(F.col("host"), F.col("path"), rules)["verdict"] == "block").select("key").distinct()
+def blocked_keys(keys: DataFrame, rules: list[Rule], listed: DataFrame | None = None) -> DataFrame:
+    """(key): the distinct keys among `keys` (host, path, key) that a rule blocks, and those that no rule fits and that `listed` (key) holds."""
+    verdict = longest_rule(F.col("host"), F.col("path"), rules)["verdict"]
+    own = keys.select("key", verdict.alias("verdict")).distinct()
+    blocked = own.where("verdict = 'block'").select("key")
+    if listed is None:
+        return blocked
+    return blocked.union(own.where("verdict IS NULL").join(listed.select("key").distinct(), "key", "left_semi").select("key"))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str = "url", page_id: str = "page_id") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame | None = None, url: str = "url", page_id: str = "page_id") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of pages.
 
-    listed: a table with the column `key` of blocked keys (host and path); the cascade learns it on the distinct keys of pages and
-    gives the verdict of every url that no rule fits. A fitting rule overrules the cascade. A null url has an empty host and path.
-    Repeated and null ids and repeated urls are separate rows; other columns of pages are not read. An empty table gives no rows.
+    The cascade learns the corpus's blocked keys, those that the rules block and those of the table `listed` (key: host and path) that no rule fits, on the distinct keys of pages;
+    it gives the verdict of every row, and the rules only the name. Of rules that fit, the one of most characters counts, and of equally long ones the last by name. A null
+    url has an empty host and path. Repeated and null ids and repeated urls are separate rows; other columns of pages are not read. An empty table gives no rows.
     """
     host, path = split_url(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("key", F.concat("host", "path"))
-    judged = listed_in_cascade(rows, "key", listed, "in_list")
-    fits = longest_rule(F.col("host"), F.col("path"), rules)
-    judged = judged.withColumn("fits", fits)
-    verdict = F.coalesce(F.col("fits.verdict"), F.when(F.col("in_list"), "block").otherwise("allow"))
-    return judged.select("page_id", "host", "path", F.col("fits.rule").alias("rule"), verdict.alias("verdict"))
+    judged = listed_in_cascade(rows, "key", blocked_keys(rows, rules, listed), "in_list")
+    verdict = F.when(F.col("in_list"), "block").otherwise("allow")
+    return judged.select("page_id", "host", "path", longest_rule(F.col("host"), F.col("path"), rules)["rule"].alias("rule"), verdict.alias("verdict"))
