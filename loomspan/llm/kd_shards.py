@@ -33,7 +33,8 @@ def points(docs: DataFrame) -> DataFrame:
     """(doc_id, size, text_crc32, k0..k3) of every document; text is read here and never again.
 
     A null text has size 16 and the checksum of the empty string. Null or absent source and
-    language stand at the low end of their dimension; repeated ids are separate rows.
+    language stand at the low end of their dimension; repeated ids are separate rows. Rows that repeat an id and its text
+    are numbered as they are written, so that their coordinates differ in the hashed half like those of others.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     name = lambda c: (F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) / F.lit(2.0**32)) if c in docs.columns else F.lit(0.0)
@@ -43,10 +44,17 @@ def points(docs: DataFrame) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         name("source").alias("d0"),
         name("lang").alias("d1"),
+        F.monotonically_increasing_id().alias("row"),
     )
     flat = materialise(flat, "kd-points")
+    again = materialise(flat.groupBy("doc_id", "text_crc32").count().where("count > 1").select(F.col("doc_id").alias("id"), F.col("text_crc32").alias("crc")), "kd-repeats")
+    if again.limit(1).count():
+        repeated = flat["doc_id"].eqNullSafe(again["id"]) & (flat["text_crc32"] == again["crc"])
+        flat = flat.join(again, repeated, "left").withColumn("row", F.when(F.col("crc").isNotNull(), F.col("row"))).drop("id", "crc")
+    else:
+        flat = flat.withColumn("row", F.lit(None).cast("long"))
     low, high, big = flat.agg(F.min("doc_id"), F.max("doc_id"), F.max("size")).first()
-    jitter = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "text_crc32"), 64 - LOW_BITS)
+    jitter = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "text_crc32", "row"), 64 - LOW_BITS)
     dims = [
         F.col("d0"),
         F.col("d1"),
@@ -103,8 +111,8 @@ def kd_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
 
     Returns (doc_id, size, text_crc32, shard, slot). Of every split the left side's bytes differ from its share by at most half of
     one document and TOLERANCE of a shard, so a shard of s bytes on average is off by at most a document for each
-    level of the tree. Equal texts, however many, differ in the hashed low half of their coordinates and are dealt like others;
-    rows that repeat id and text share a coordinate and stay together. Repeated and null ids are rows of their own. An
+    level of the tree. Equal texts and repeated rows, however many, differ in the hashed low half of their coordinates and are dealt like
+    others, so no shard stays empty while there are rows for it. Repeated and null ids are rows of their own. An
     empty table gives no rows; columns of docs other than doc_id, text, source and lang are not read, whatever their names.
     """
     rows = materialise(points(docs).withColumn("node", F.lit(0)), "kd-level")
@@ -131,14 +139,14 @@ def kd_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
         rows = deeper
         owed, first = next_owed, next_first
     shard = _table(first, F.col("node")).cast("int")
-    return with_slots(rows.select("doc_id", "size", "text_crc32", shard.alias("shard")), shards)
+    return with_slots(rows.select("doc_id", "size", "text_crc32", "k0", shard.alias("shard")), shards)
 
 
 def with_slots(rows: DataFrame, shards: int) -> DataFrame:
-    """Number the rows of each shard from 0 in groups of about SLOT_ROWS, so that no task orders a whole shard."""
+    """Number the rows (k0 tells repeated ones apart) of each shard from 0 in groups of about SLOT_ROWS, so that no task orders a whole shard."""
     count = rows.count()
     per = max(1, count // (SLOT_ROWS * shards))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(per)).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "k0"), F.lit(per)).cast("int"))
     offsets = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
