@@ -47,13 +47,16 @@ NUMBER, NAME, UNIT = (np.uint64(x) for x in (0xA11CE0000000001D, 0xA11CE00000000
 
 @dataclass
 class Template:
-    """Template words of a slice: `code` with placeholders, `filler` as written, `slot` where they differ, the first `word` of each, and the bounds of each text."""
+    """Template words of a slice: `code` with placeholders, `filler` as written, `slot` where they differ, the first `word` of each, and the bounds of each text; and
+    the hashes of all words as written with their bounds."""
 
     code: np.ndarray
     filler: np.ndarray
     slot: np.ndarray
     word: np.ndarray
     first: np.ndarray
+    raw: np.ndarray
+    raw_first: np.ndarray
 
 
 _unit_hashes: list[np.ndarray] = []
@@ -69,7 +72,7 @@ def _units() -> np.ndarray:
 def templates(data: np.ndarray, bounds: np.ndarray) -> Template:
     words = Words(data, bounds, lower=True, classes=_CLASSES)
     if not len(words.hash):
-        return Template(words.hash, words.hash, np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64), words.first)
+        return Template(words.hash, words.hash, np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64), words.first, words.hash, words.first)
     first = data[words.start]
     number = _DIGIT[first]
     name = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (data[np.minimum(words.start + 1, len(data) - 1)] <= 0x9E))
@@ -88,7 +91,7 @@ def templates(data: np.ndarray, bounds: np.ndarray) -> Template:
     nth = np.arange(len(joined)) - np.repeat(word, np.diff(np.append(word, len(joined))))
     filler = np.add.reduceat(words.hash * (2 * nth + 1).astype(np.uint64), word)
     kept = np.concatenate([[0], np.cumsum(~joined)])
-    return Template(code[word], filler, (number | name | unit)[word], word, kept[words.first])
+    return Template(code[word], filler, (number | name | unit)[word], word, kept[words.first], words.hash, words.first)
 
 
 def windows(t: Template, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,12 +120,13 @@ class Block:
     kinds: list[np.ndarray]
     slots: list[np.ndarray]
     sizes: np.ndarray
-    short: dict[bytes, list[int]]
+    #: items of fewer template words than a window: length in words -> words -> items
+    short: dict[int, dict[bytes, list[int]]]
 
     @classmethod
     def of(cls, items: pa.Table, width: int) -> Block:
         ids, fillers, kinds, slots, sizes, hashes, owner, place = [], [], [], [], [], [], [], []
-        short: dict[bytes, list[int]] = {}
+        short: dict[int, dict[bytes, list[int]]] = {}
         for row, end, data, bounds in slices(items.column("text")):
             t = templates(data, bounds)
             start, h = windows(t, width)
@@ -133,7 +137,8 @@ class Block:
                 fillers.append(t.filler[t.first[k] : t.first[k + 1]].copy())
                 kinds.append(t.code[t.first[k] : t.first[k + 1]].copy())
                 if 0 < len(fillers[-1]) < width:
-                    short.setdefault(fillers[-1].tobytes(), []).append(len(ids) - 1)
+                    words = t.raw[t.raw_first[k] : t.raw_first[k + 1]]
+                    short.setdefault(len(words), {}).setdefault(words.tobytes(), []).append(len(ids) - 1)
                 slots.append(t.slot[t.first[k] : t.first[k + 1]].copy())
             sizes.append(np.bincount(text, minlength=end - row))
             hashes.append(h)
@@ -165,10 +170,16 @@ def _agreement(item_filler: np.ndarray, doc_filler: np.ndarray, kind: np.ndarray
 def held_items(data: np.ndarray, bounds: np.ndarray, block: Block, width: int, share: int, consistent: int) -> Iterator[tuple]:
     """(text, item, word, windows, matched, slots, agreeing) of the items that the texts of a slice hold."""
     t = templates(data, bounds)
-    if block.short:
-        for d in np.flatnonzero((np.diff(t.first) > 0) & (np.diff(t.first) < width)).tolist():
-            for k in block.short.get(t.filler[t.first[d] : t.first[d + 1]].tobytes(), ()):
-                yield d, k, 0, 0, 0, 0, 0
+    for n, items in block.short.items():
+        if len(t.raw) < n:
+            continue
+        runs = np.sort([Windows(np.frombuffer(words, dtype=np.uint64)).each(n)[0] for words in items])
+        h = Windows(t.raw).each(n)
+        for at in np.flatnonzero(runs[np.minimum(np.searchsorted(runs, h), len(runs) - 1)] == h).tolist():
+            d = int(np.searchsorted(t.raw_first, at, side="right")) - 1
+            if at + n <= t.raw_first[d + 1]:
+                for k in items.get(t.raw[at : at + n].tobytes(), ()):
+                    yield d, k, at - int(t.raw_first[d]), 0, 0, 0, 0
     start, h = windows(t, width)
     likely = np.flatnonzero(block.mask[h >> np.uint64(42)])
     low = np.searchsorted(block.hash, h[likely], side="left")
@@ -224,7 +235,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shar
     """One row (doc_id, item_id, word, windows, matched, slots, agreeing) for each document and benchmark item it holds.
 
     docs needs doc_id and text, benchmark item_id and text; other columns are not read. Items of fewer than `width`
-    template words can't be told from common phrases: only a text that consists of such an item holds it. Null, empty and wordless texts
+    template words are held by the texts in which all their words, as written, stand in a row; such rows count no windows. Null, empty and wordless texts
     on either side match nothing. Repeated items and documents (null ids too) are separate rows; a document that
     holds an item twice gives one row, its first place. Either table may be empty. A benchmark of several blocks takes one pass for each.
     """
@@ -245,12 +256,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shar
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE, consistent: int = CONSISTENT) -> DataFrame:
     """The rows of docs, all columns, that hold no item as contaminated() finds them; ids are not read, so null and repeated ones don't matter.
 
-    The benchmark's blocks are all broadcast: it must be far smaller than the corpus. No row leaves its task.
+    One block of the benchmark is broadcast at a time; between two blocks the rows left are written. No row leaves its task.
     """
     spark = docs.sparkSession
     small_arrow_batches(spark)
+    last = None
     for block in _blocks(benchmark, width):
-        docs = docs.where(~_holds(spark.sparkContext.broadcast(block), width, share, consistent)(F.col("text").cast("string")))
+        if last:
+            docs = materialise(docs, "uncontaminated")
+            last.unpersist()
+        last = spark.sparkContext.broadcast(block)
+        docs = docs.where(~_holds(last, width, share, consistent)(F.col("text").cast("string")))
     return docs
 
 
