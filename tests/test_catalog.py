@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from loomspan.plans import catalog, kernel_queries, layout_queries, pixel_queries, value_queries  # noqa: F401 (all but the first register queries)
+from loomspan.plans import catalog, kernel_queries, layout_queries, pixel_queries, text_queries, value_queries  # noqa: F401 (all but the first register queries)
 
 SF = "/root/testdata/sf0.001"
 
