@@ -453,11 +453,11 @@ def expiry(spark, sf_dir):
     return events.join(newest, F.col("user_id") == F.col("u")).where(F.col("at") >= F.col("newest") - 7200).select("event_id")
 
 
-@query("""SELECT p_partkey, CAST(floor(p_retailprice / 7 + 0.5) AS BIGINT) AS rounded, lower(CASE WHEN p_partkey < 36 THEN substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST(p_partkey AS INT) + 1, 1)
- ELSE NULL END) AS id, (p_size * 4899 + 100 * 9617 + 50 * 1868 + 8192) >> 14 AS grey FROM part""")
+@query("""SELECT p_partkey, CAST(floor(p_retailprice / 7 + 0.5) AS BIGINT) AS rounded, (SELECT string_agg(substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST(p_partkey // CAST(pow(36, k) AS BIGINT) % 36 AS INT) + 1, 1), '' ORDER BY k DESC)
+ FROM (SELECT unnest(range(0, 8)) AS k) WHERE k = 0 OR p_partkey >= CAST(pow(36, k) AS BIGINT)) AS id, (p_size * 4899 + 100 * 9617 + 50 * 1868 + 8192) >> 14 AS grey FROM part""")
 def scalar_rules(spark, sf_dir):
     key = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select("p_partkey", exprs.half_up(F.col("p_retailprice") / 7).alias("rounded"), F.when(key < 36, exprs.base36(key)).alias("id"), exprs.luma(F.col("p_size"), F.lit(100), F.lit(50)).alias("grey"))
+    return table(spark, sf_dir, "part").select("p_partkey", exprs.half_up(F.col("p_retailprice") / 7).alias("rounded"), exprs.base36(key).alias("id"), exprs.luma(F.col("p_size"), F.lit(100), F.lit(50)).alias("grey"))
 
 
 @query("""

@@ -37,7 +37,7 @@ WHERE greatest(thickness, rt) / least(thickness, rt) <= 3 AND greatest(height, r
  AND NOT (x0 < rx0 AND x1 > rx1) AND NOT (rx0 < x0 AND rx1 > x1) AND w <= 2 * greatest(least(height, width), least(rh, rw)) AND h <= 10 AND rcx <> cx AND abs(rcy - cy) <= abs(rcx - cx)""")
 def letter_pairs(spark, sf_dir):
     letters = frame(spark, sf_dir, "letters")
-    reach = 2 * letters.agg(F.max(F.least("width", "height"))).first()[0]
+    reach = 2 * (letters.agg(F.max(F.least("width", "height"))).first()[0] or 0.0)
     return regions.letter_pairs(letters, ["page"], reach).withColumn("dist", F.round("dist", 6))
 
 
@@ -181,21 +181,22 @@ def chunk_lines(lines: DataFrame) -> DataFrame:
 
 
 TRIM = """
-t AS (SELECT id, page, row, height, row_number() OVER w AS k, count(*) OVER (PARTITION BY page, row) AS n FROM letters WINDOW w AS (PARTITION BY page, row ORDER BY cx, id)),
+t AS (SELECT id, page, row, height * CASE WHEN s % 7 = 0 THEN 3 ELSE 1 END AS height, row_number() OVER w AS k, count(*) OVER (PARTITION BY page, row) AS n FROM letters WINDOW w AS (PARTITION BY page, row ORDER BY cx, id)),
 i AS (SELECT page, row, avg(height) AS a FROM t WHERE k > 1 AND k < n GROUP BY ALL),
 j AS (SELECT page, row, avg(height) AS avg2, stddev_samp(height) AS sd FROM t JOIN i USING (page, row) WHERE k > 1 AND k < n AND height > a GROUP BY ALL)"""
 
 
 @query(f"""WITH {LETTERS}, {TRIM}
-SELECT id, NOT (n >= 7 AND avg2 >= 10 AND (k = 1 OR k = n) AND (height - avg2) / greatest(1, sd) > 0.5) AS stays FROM t LEFT JOIN j USING (page, row)""")
+SELECT id, NOT (n >= 7 AND avg2 >= 10 AND (k = 1 OR k = n) AND (height - avg2) / greatest(1, sd) > 3) AS stays FROM t LEFT JOIN j USING (page, row)""")
 def trimmed_ends(spark, sf_dir):
-    """First and last letters of long lines that stand out by height; half a deviation here, so that some do."""
+    """First and last letters of long lines that stand three deviations out by height; a seventh of all letters is drawn three times as tall."""
     order, line = Window.partitionBy("page", "row").orderBy("cx", "id"), ["page", "row"]
-    t = frame(spark, sf_dir, "letters").select("id", *line, "height", F.row_number().over(order).alias("k"), F.count("*").over(Window.partitionBy(*line)).alias("n"))
+    height = (F.col("height") * F.when(F.col("s") % 7 == 0, 3).otherwise(1)).alias("height")
+    t = frame(spark, sf_dir, "letters").select("id", *line, height, F.row_number().over(order).alias("k"), F.count("*").over(Window.partitionBy(*line)).alias("n"))
     inner = t.where("k > 1 AND k < n")
     tall = inner.join(inner.groupBy(*line).agg(F.avg("height").alias("a")), line).where("height > a").groupBy(*line).agg(F.avg("height").alias("avg2"), F.stddev_samp("height").alias("sd"))
     z = (F.col("height") - F.col("avg2")) / F.greatest(F.lit(1.0), F.col("sd"))
-    out = (F.col("n") >= 7) & (F.col("avg2") >= 10) & ((F.col("k") == 1) | (F.col("k") == F.col("n"))) & (z > 0.5)
+    out = (F.col("n") >= 7) & (F.col("avg2") >= 10) & ((F.col("k") == 1) | (F.col("k") == F.col("n"))) & (z > 3)
     return t.join(tall, line, "left").select("id", (~F.coalesce(out, F.lit(False))).alias("stays"))
 
 
@@ -243,7 +244,7 @@ SELECT event_id, id, round(dist, 6) AS dist FROM d WHERE dist <= 10 QUALIFY row_
 def nearest_letters(spark, sf_dir):
     """The letter nearest to each point, within ten pixels."""
     letters = frame(spark, sf_dir, "letters")
-    pages = letters.agg(F.max("page")).first()[0] + 1
+    pages = (letters.agg(F.max("page")).first()[0] or 0) + 1
     at = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % pages).alias("page"), (F.col("user_id") * 7 % 150).cast("double").alias("x0"), (F.col("event_id") * 13 % 120).cast("double").alias("y0"))
     pairs = boxes.box_pairs(at.withColumns({"x1": F.col("x0"), "y1": F.col("y0")}), letters.select("page", "id", "x0", "x1", "y0", "y1"), ["page"], reach=[10.0, 10.0])
     away = lambda a: F.greatest(F.lit(0.0), F.col(f"{a}0_r") - F.col(f"{a}0_l"), F.col(f"{a}0_l") - F.col(f"{a}1_r"))
@@ -268,7 +269,7 @@ SELECT sid, id FROM h JOIN lines USING (img) WHERE least(hx1, x1) > greatest(hx0
 def selected_lines(spark, sf_dir):
     """What a selection covers: the hull of the lines it hits, and everything that the hull overlaps."""
     lines = frame(spark, sf_dir, "lines").select("img", "id", "x0", "y0", "x1", "y1")
-    images = lines.agg(F.max("img")).first()[0] + 1
+    images = (lines.agg(F.max("img")).first()[0] or 0) + 1
     over = (boxes.shared("x") > 0) & (boxes.shared("y") > 0)
     wide = _selections(spark, sf_dir, images).withColumns({"x0": F.col("x0") - 1, "y0": F.col("y0") - 1, "x1": F.col("x1") + 1, "y1": F.col("y1") + 1})
     hits = boxes.box_pairs(wide, lines, ["img"]).where(over)
@@ -276,12 +277,25 @@ def selected_lines(spark, sf_dir):
     return boxes.box_pairs(hull, lines, ["img"]).where(over).select(F.col("sid_l").alias("sid"), F.col("id_r").alias("id"))
 
 
+@query(f"""WITH {LINES}, {SELECTIONS}, {LINE_LETTERS}
+SELECT sid, count(*) AS inside FROM sel JOIN lines USING (img) JOIN line_letters l ON l.line = lines.id
+WHERE (l.x0 + l.x1) / 2 BETWEEN sx0 AND sx1 AND (l.y0 + l.y1) / 2 BETWEEN sy0 AND sy1 GROUP BY sid HAVING count(*) >= 7""")
+def crowded_selections(spark, sf_dir):
+    """Selections that hold the centres of seven letters or more."""
+    lines = frame(spark, sf_dir, "lines")
+    images = (lines.agg(F.max("img")).first()[0] or 0) + 1
+    middle = [((F.col(f"{a}0") + F.col(f"{a}1")) / 2).alias(f"{a}{k}") for a in "xy" for k in (0, 1)]
+    centres = _line_letters(lines).join(lines.select(F.col("id").alias("line"), "img"), "line").select("img", "id", *middle)
+    found = boxes.box_pairs(_selections(spark, sf_dir, images), centres, ["img"])
+    return found.groupBy(F.col("sid_l").alias("sid")).agg(F.count("*").alias("inside")).where("inside >= 7")
+
+
 #: A selection from one line's letter to another's covers at most three rectangles of its column.
 SQUIGS = """squig AS (SELECT id AS sid, img, col, x0 + u AS sx, y0 AS sy0, y1 AS sy1, lead(x1, 2) OVER w - u AS ex, lead(y0, 2) OVER w AS ey0, lead(y1, 2) OVER w AS ey1 FROM lines WINDOW w AS (PARTITION BY img, col ORDER BY cy, id)),
 hull AS (SELECT img, col, min(x0) AS cx0, max(x1) AS cx1 FROM lines GROUP BY ALL),
 rects AS (SELECT sid, img, r.k AS k, r.x0 AS x0, r.y0 AS y0, r.x1 AS x1, r.y1 AS y1 FROM (SELECT sid, img, unnest([
  {'k': 0, 'x0': sx, 'y0': sy0, 'x1': cx1, 'y1': sy1}, {'k': 1, 'x0': cx0, 'y0': sy1, 'x1': cx1, 'y1': ey0}, {'k': 2, 'x0': cx0, 'y0': ey0, 'x1': ex, 'y1': ey1}]) AS r
- FROM squig JOIN hull USING (img, col) WHERE ey0 IS NOT NULL AND sid % 7 IN (0, 3)) WHERE r.x1 > r.x0 AND r.y1 > r.y0)"""
+ FROM squig JOIN hull USING (img, col) WHERE ey0 IS NOT NULL) WHERE r.x1 > r.x0 AND r.y1 > r.y0)"""
 
 
 def _rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,7 +305,7 @@ def _rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     hull = lines.groupBy("img", "col").agg(F.min("x0").alias("cx0"), F.max("x1").alias("cx1"))
     box = lambda k, *c: F.struct(F.lit(k).alias("k"), *[F.col(x).alias(n) for n, x in zip(("x0", "y0", "x1", "y1"), c, strict=True)])
     three = F.array(box(0, "sx", "sy0", "cx1", "sy1"), box(1, "cx0", "sy1", "cx1", "ey0"), box(2, "cx0", "ey0", "ex", "ey1"))
-    return squig.join(hull, ["img", "col"]).where("ey0 IS NOT NULL AND sid % 7 IN (0, 3)").select("sid", "img", F.explode(three).alias("r")).select("sid", "img", "r.*").where("x1 > x0 AND y1 > y0")
+    return squig.join(hull, ["img", "col"]).where("ey0 IS NOT NULL").select("sid", "img", F.explode(three).alias("r")).select("sid", "img", "r.*").where("x1 > x0 AND y1 > y0")
 
 
 @query(f"WITH {LINES}, {SQUIGS} SELECT sid, k, x0, y0, x1, y1 FROM rects")
@@ -324,16 +338,16 @@ def _cached_hits(lines: DataFrame) -> DataFrame:
     pairs = boxes.box_pairs(lines.select("id", "img", "direction", "x0", "y0", "x1", "y1"), cached.where("v = 3"), ["img", "direction"])
     area = lambda s: (1 + F.col(f"x1{s}") - F.col(f"x0{s}")) * (1 + F.col(f"y1{s}") - F.col(f"y0{s}"))
     share = boxes.shared("x") * boxes.shared("y") / F.greatest(area("_l"), area("_r"))
-    return pairs.where((boxes.shared("x") > 0) & (boxes.shared("y") > 0)).where(share > 0.8).select(F.col("id_l").alias("id"), F.col("cid_r").alias("cid"), F.col("engine_r").alias("engine"))
+    return pairs.where((boxes.shared("x") > 0) & (boxes.shared("y") > 0)).where(share > 0.9).select(F.col("id_l").alias("id"), F.col("cid_r").alias("cid"), F.col("engine_r").alias("engine"))
 
 
-@query(f"WITH {LINES}, {ENGINES} SELECT id, cid, engine FROM f WHERE share > 0.8")
+@query(f"WITH {LINES}, {ENGINES} SELECT id, cid, engine FROM f WHERE share > 0.9")
 def cached_matches(spark, sf_dir):
     """Cached results of the same version and direction that cover nearly the same box."""
     return _cached_hits(frame(spark, sf_dir, "lines"))
 
 
-@query(f"""WITH {LINES}, {ENGINES}, h AS (SELECT id, arg_min(engine, cid) AS engine FROM f WHERE share > 0.8 GROUP BY id)
+@query(f"""WITH {LINES}, {ENGINES}, h AS (SELECT id, arg_min(engine, cid) AS engine FROM f WHERE share > 0.9 GROUP BY id)
 SELECT l.id, coalesce(CASE WHEN u % 10 = 0 THEN 'own' END, h.engine, CASE WHEN u % 4 = 1 THEN 'preferred' END, 'ocrad') AS engine FROM lines l LEFT JOIN h USING (id)""")
 def chosen_engines(spark, sf_dir):
     """A line's engine: its own, else that of a cached result, else a preferred one, else the local one."""
@@ -456,5 +470,5 @@ def built_regions(spark, sf_dir):
 def built_lines(spark, sf_dir):
     """Letters to lines by greedy merges of near pairs."""
     letters = frame(spark, sf_dir, "letters")
-    reach = 2 * letters.agg(F.max(F.least("width", "height"))).first()[0]
+    reach = 2 * (letters.agg(F.max(F.least("width", "height"))).first()[0] or 0.0)
     return regions.built_lines(letters, regions.letter_pairs(letters, ["page"], reach), "page")

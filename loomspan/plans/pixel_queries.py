@@ -149,15 +149,17 @@ def bucket_medians(spark, sf_dir):
     return found.withColumn("threshold", F.when(F.col("bucket") == 8, 4).otherwise(1))
 
 
-RINGS = f"""{GRAY}, m AS (SELECT * FROM gray WHERE v < 30),
-d AS (SELECT g.img, g.y, g.x, g.v, min(abs(g.y - m.y) + abs(g.x - m.x)) AS ring FROM gray g JOIN m ON g.img = m.img AND abs(g.y - m.y) + abs(g.x - m.x) <= 3 GROUP BY ALL),
-a AS (SELECT img, ring, avg(v) AS luma FROM d WHERE ring > 0 AND v <> 253 GROUP BY ALL)"""
+RINGS = f"""{GRAY}, m AS (SELECT * FROM gray WHERE v < 14),
+d AS (SELECT g.img, g.y, g.x, g.v, min(abs(g.y - m.y) + abs(g.x - m.x)) AS ring FROM gray g JOIN m ON g.img = m.img AND abs(g.y - m.y) + abs(g.x - m.x) <= 10 GROUP BY ALL),
+a AS (SELECT img, ring, avg(v * least(ring + 3, 10)) / 10 AS luma FROM d WHERE ring > 0 AND v <> 253 GROUP BY ALL)"""
 
 
 def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lumas of ten rings around a mask that casts a shadow over seven of them."""
     pixels = _gray(spark, sf_dir)
-    near = px.rings(pixels.where("v < 30"), pixels, ["img"], 3)
-    return near.join(pixels, ["img", "y", "x"]).where("v <> 253").groupBy("img", "ring").agg(F.avg("v").alias("luma"))
+    near = px.rings(pixels.where("v < 14"), pixels, ["img"], 10)
+    shaded = F.avg(F.col("v") * F.least(F.col("ring") + 3, F.lit(10))) / 10
+    return near.join(pixels, ["img", "y", "x"]).where("v <> 253").groupBy("img", "ring").agg(shaded.alias("luma"))
 
 
 @query(f"WITH {RINGS} SELECT img, CAST(ring AS INT) AS ring, round(luma, 6) AS luma FROM a")
@@ -167,14 +169,14 @@ def ring_lumas(spark, sf_dir):
 
 
 @query(f"""WITH {RINGS}, r AS (SELECT img, max(luma) AS top, min(luma) AS low, arg_min(luma, ring) AS first FROM a GROUP BY img)
-SELECT img, CAST(CASE WHEN top - low > 3 AND first < 150 THEN (SELECT min(ring) - 1 FROM a WHERE a.img = r.img AND luma > top - 10) ELSE 0 END AS INT) AS grow FROM r""")
+SELECT img, CAST(CASE WHEN top - low > 30 AND first < 85 THEN (SELECT min(ring) - 1 FROM a WHERE a.img = r.img AND luma > top - 10) ELSE 0 END AS INT) AS grow FROM r""")
 def shadow_growth(spark, sf_dir):
     """By how many rings a mask grows: up to the first ring nearly as light as the lightest, if the first one is dark."""
     a = _rings(spark, sf_dir)
     img = Window.partitionBy("img")
     both = a.withColumns({"top": F.max("luma").over(img), "low": F.min("luma").over(img), "first": F.min_by("luma", "ring").over(img)})
     light = F.min(F.when(F.col("luma") > F.col("top") - 10, F.col("ring")))
-    return both.groupBy("img", "top", "low", "first").agg(light.alias("light")).select("img", F.when((F.col("top") - F.col("low") > 3) & (F.col("first") < 150), F.col("light") - 1).otherwise(0).alias("grow"))
+    return both.groupBy("img", "top", "low", "first").agg(light.alias("light")).select("img", F.when((F.col("top") - F.col("low") > 30) & (F.col("first") < 85), F.col("light") - 1).otherwise(0).alias("grow"))
 
 
 LAB = f"""{PIXELS}, s AS (SELECT img, y, x, r, g, b, {', '.join(f"CASE WHEN {c} / 255.0 > 0.04045 THEN power(({c} / 255.0 + 0.055) / 1.055, 2.4) ELSE {c} / 255.0 / 12.92 END AS {c}l" for c in 'rgb')} FROM pixels),
