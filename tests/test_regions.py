@@ -4,6 +4,7 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -182,6 +183,55 @@ def test_letters_join_to_straight_lines(spark):
     assert {r["id"]: r["line"] for r in got.collect()} == {**dict.fromkeys(range(6), 0), **dict.fromkeys(range(10, 14), 10), 20: 20}
 
 
+def straight_plain(group, parts):
+    """Does a group of letters, made of two parts, stand on one even line? From all slopes and gaps at once."""
+    def tilt(letters):
+        both = [(a, b) for i, a in enumerate(letters) for b in letters[i + 1 :] if a["cx"] != b["cx"]]
+        found = np.sort([(a["cy"] - b["cy"]) / (a["cx"] - b["cx"]) for a, b in both])
+        return abs(np.arctan(found[len(found) // 2])) if len(found) else 0.0
+
+    row = sorted(group, key=lambda x: (x["x1"], x["id"]))
+    lift = [max(2.0, max(a["y0"], b["y0"]) - min(a["y1"], b["y1"])) for a, b in zip(row, row[1:], strict=False)]
+    hull = [[f(x[c] for x in p) for f, c in ((min, "x0"), (min, "y0"), (max, "x1"), (max, "y1"))] for p in parts]
+    (a0, a1, a2, a3), (b0, b1, b2, b3) = hull
+    w, h = min(a2, b2) - max(a0, b0), min(a3, b3) - max(a1, b1)
+    least = min((a2 - a0) * (a3 - a1), (b2 - b0) * (b3 - b1))
+    tall = [max(x["height"] for x in p) for p in parts]
+    return (
+        tilt(group) <= 0.1 + sum(tilt(p) for p in parts)
+        and len(set(lift)) <= 1
+        and not (w > 0 and h > 0 and w * h > 0.3 * least)
+        and max(tall) / min(tall) <= 1.5 + 10 / max(map(len, parts))
+    )
+
+
+def lines_plain(letters, pairs):
+    """Single-link merging, the nearest pair first, as sets of letters."""
+    groups = [[x] for x in letters]
+    for _, left, right in sorted((p["dist"], p["left"], p["right"]) for p in pairs):
+        a, b = (next(g for g in groups if any(x["id"] == k for x in g)) for k in (left, right))
+        if a is not b and (len(a) + len(b) == 2 or straight_plain(a + b, (a, b))):
+            groups = [g for g in groups if g is not a and g is not b] + [a + b]
+    return {x["id"]: min(y["id"] for y in g) for g in groups for x in g}
+
+
+def test_lines_of_letters_equal_a_plain_version(spark):
+    r, letters = random.Random(7), []
+    for page in range(4):
+        for k in range(60):
+            row, place, w, h = k // 15, k % 15, r.randrange(5, 12), r.randrange(8, 15) if r.random() < 0.9 else 30
+            x0, y0 = place * 13.0 + r.randrange(3), row * 22.0 + place * (page % 2) * 0.5 + r.choice([0, 0, 0, 1, 4])
+            letters.append({"page": page, "id": page * 100 + k, "x0": x0, "y0": y0, "x1": x0 + w, "y1": y0 + h, "cx": x0 + w / 2, "cy": y0 + h / 2, "width": w + 1.0, "height": h + 1.0, "thickness": 2.0})
+    df = spark.createDataFrame(pd.DataFrame(letters))
+    pairs = regions.letter_pairs(df, ["page"], 40.0)
+    got = {x["id"]: x["line"] for x in regions.built_lines(df, pairs, "page").collect()}
+    near = [p.asDict() for p in pairs.collect()]
+    want = {}
+    for page in range(4):
+        want |= lines_plain([x for x in letters if x["page"] == page], [p for p in near if p["page"] == page])
+    assert got == want and 8 < len(set(want.values())) < 200
+
+
 def stitch_plain(lines):
     """Groups by a flood over both sides of neighbouring chunks, with the survivors of the chunk before."""
     fate, alive = {}, []

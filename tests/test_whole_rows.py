@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspan.operators import joins, stats
 from loomspan.operators.boxes import box_pairs
-from loomspan.plans import catalog
+from loomspan.plans import catalog, kernel_queries, layout_queries, text_queries  # noqa: F401 (the last three register queries)
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +58,10 @@ def test_garbled_documents_are_all_judged(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = catalog.QUERIES["bad_text_documents"](spark, SF)
     assert got.count() == docs.count() and got.select(F.count_distinct("garbled")).first()[0] == 2
+
+
+@pytest.mark.parametrize("name", ["letter_pairs", "nearest_letters", "selected_lines", "built_lines", "crowded_selections", "paragraphs", "stroke_widths", "crawled_lines", "inpainted", "arrival_times", "wrap_least_ragged", "fitted_sizes"])
+def test_empty_tables_give_no_rows(spark, tmp_path, name):
+    for table in ("part", "orders", "events", "customer", "conversations"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 0
