@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.operators import pixels as px
-from loomspan.operators import colour_filter, inpaint, strokes
+from loomspan.operators import colour_filter, floods, inpaint, strokes
 from loomspan.plans.catalog import query
 from loomspan.plans.pixel_queries import GRAY, LAB, SOBEL, _gray
 from loomspan.plans.shapes import frame
@@ -181,3 +181,26 @@ def inpainted_edge(spark, sf_dir):
 def inpainted(spark, sf_dir):
     """Masks filled from their edges inwards, in the order in which a front reaches their pixels."""
     return inpaint.inpaint(*_mask(spark, sf_dir), ["img"], ["r", "g", "b"]).select("img", "y", "x", F.round("u", 6).alias("u"), "layer", "r", "g", "b")
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels with the darkness of their block of two by two pixels, 0 where it is bright."""
+    gray = _gray(spark, sf_dir)
+    block = ["img", F.expr("y DIV 2").alias("by"), F.expr("x DIV 2").alias("bx")]
+    dark = gray.groupBy(*block).agg(F.min("v").alias("low"))
+    level = F.greatest(F.lit(0), 60 - F.col("low"))
+    return gray.select("y", "x", *block).join(dark, ["img", "by", "bx"]).select("img", "y", "x", F.expr("img * 1600 + y * 40 + x").alias("p"), level.alias("level"))
+
+
+@query()
+def ratio_components(spark, sf_dir):
+    """Dark pixels joined while their components' means are within a fifth of each other; components of ten pixels or more."""
+    found = floods.ratio_components(_levels(spark, sf_dir), ["img"], "p", "level", 1.2)
+    return found.withColumn("n", F.count("*").over(Window.partitionBy("component"))).where("n >= 10").select("p", "component")
+
+
+@query()
+def priority_components(spark, sf_dir):
+    """Floods from the darkest pixels down; components of ten pixels or more."""
+    found = floods.priority_components(_levels(spark, sf_dir), ["img"], "p", "level")
+    return found.withColumn("n", F.count("*").over(Window.partitionBy("component"))).where("n >= 10").select("p", "component")
