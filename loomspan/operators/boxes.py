@@ -72,3 +72,33 @@ def box_pairs(left: DataFrame, right: DataFrame, keys: list[str], axes: list[str
         return pairs.drop("grid", *[f"cell_{x}" for x in axes])
 
     return sides(True).unionByName(sides(False))
+
+
+def near_pairs(items: DataFrame, keys: list[str], axes: list[str] | None = None, reach: list[Column | float] | None = None, order: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Pairs of boxes of one table with equal keys that touch when each is widened by its own `reach` along every axis, each once.
+
+    All other columns get the suffixes _l and _r; `order` tells which box of a pair is the left one, and a box is no pair with itself or with one of the same place in that order. A box is as
+    large as its own reach makes it, so one far-reaching box costs its own pairs and no other's; the smaller box of a pair looks for the larger one on the grid of that, never the other way
+    round. Boxes with null or inverted sides match nothing.
+    """
+    axes = axes or ["x", "y"]
+    own = [F.coalesce(r, F.lit(0.0)) if isinstance(r, Column) else F.lit(float(r)) for r in reach or [0.0] * len(axes)]
+    rest = [c for c in items.columns if c not in keys]
+    sound = items.where(" AND ".join(f"{a}0 <= {a}1" for a in axes))
+    wide = sound.select(*keys, F.struct(*rest).alias("row"), *[(F.col(f"{a}{k}") + (2 * k - 1) * r).alias(f"{a}{k}") for a, r in zip(axes, own, strict=True) for k in (0, 1)])
+    placed = _placed(wide, axes, [0.0] * len(axes))
+    levels = sorted(r[0] for r in placed.select("level").distinct().collect())  # a few dozen powers of two
+    up = F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x >= F.col("level"))
+    none = [0.0] * len(axes)
+    on = [*keys, "grid", *[f"cell_{a}" for a in axes]]
+    named = lambda df, s: df.withColumnsRenamed({c: c + s for c in df.columns if c not in on})
+    small = named(_in_cells(placed.withColumn("up", F.explode(up)), axes, none, F.col("up")).drop("up"), "_s")
+    big = named(_in_cells(placed, axes, none, F.col("level")), "_b")
+    place = lambda s: F.struct(*[F.col(f"row{s}")[c] for c in order])
+    pairs = small.join(big, on).where((place("_s") < place("_b")) | (F.col("level_s") < F.col("level_b")) & (place("_s") > place("_b")))
+    for a in axes:
+        low, high = F.greatest(f"{a}0_s", f"{a}0_b"), F.least(f"{a}1_s", f"{a}1_b")
+        pairs = pairs.where((low <= high) & (F.floor(low / F.pow(F.lit(2.0), F.col("grid"))) == F.col(f"cell_{a}")))
+    first = place("_s") < place("_b")
+    sides = pairs.select(*keys, F.when(first, F.col("row_s")).otherwise(F.col("row_b")).alias("l"), F.when(first, F.col("row_b")).otherwise(F.col("row_s")).alias("r"))
+    return sides.select(*keys, *[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "lr" for c in rest])

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.operators.boxes import box_pairs, ratio, relative_gap, shared
+from loomspan.operators.boxes import near_pairs, ratio, relative_gap, shared
 from loomspan.operators.graph import connected_components
 from loomspan.operators.sequences import gap_sessions
 from loomspan.operators.stats import otsu
@@ -20,12 +20,9 @@ LEAST_SPACING, MOST_SPACING, MISALIGNED, COLUMN_BREAK = 0.1, 1.7, 0.1, 0.3
 CHUNK, CHUNK_OVERLAP = 250, 90
 
 
-def letter_pairs(letters: DataFrame, keys: list[str], reach: float) -> DataFrame:
-    """(keys, left, right, dist) of letters that may stand in one line; the left one ends first, equal ends by id.
-
-    `reach` is at least twice the largest of the letters' smaller sides: no pair is further apart.
-    """
-    pairs = box_pairs(letters, letters, keys, reach=[reach, 10.0]).where("id_l <> id_r AND (x1_l < x1_r OR (x1_l = x1_r AND id_l < id_r))")
+def letter_pairs(letters: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, left, right, dist) of letters that may stand in one line; the left one ends first, equal ends by id. A letter reaches as far as twice its smaller side."""
+    pairs = near_pairs(letters, keys, reach=[2 * F.least("width", "height"), 5.0], order=("x1", "id"))
     c = F.col
     inside = ((c("x0_l") < c("x0_r")) & (c("x1_l") > c("x1_r"))) | ((c("x0_r") < c("x0_l")) & (c("x1_r") > c("x1_l")))
     w, h = F.greatest(F.lit(0.0), -shared("x")), F.greatest(F.lit(0.0), -shared("y"))
@@ -44,8 +41,7 @@ def grouped(items: DataFrame, edges: DataFrame, group: str) -> DataFrame:
 
 def merge_edges(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(a, b) of lines that continue each other horizontally."""
-    reach = float(lines.agg(F.max(F.least(0.2 * F.col("width"), 3 * F.col("height")))).first()[0] or 0.0)
-    pairs = box_pairs(lines, lines, keys, reach=[max(reach, float(lines.agg(F.max("width")).first()[0] or 0.0) * 0.2), 0.0]).where("id_l < id_r")
+    pairs = near_pairs(lines, keys, reach=[0.2 * F.col("width"), 0.0])
     gap = -shared("x")
     fits = (shared("y") > 0) & (shared("y") >= 0.8 * F.least("height_l", "height_r")) & (gap >= 0) & (gap <= 0.2 * F.greatest("width_l", "width_r"))
     fits &= (gap <= 3 * F.greatest("height_l", "height_r")) & (F.abs("angle_l") <= 0.2) & (F.abs("angle_r") <= 0.2) & (ratio("height") <= 1.4)
@@ -54,8 +50,7 @@ def merge_edges(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 def paragraph_edges(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(a, b) of lines of one paragraph: near, aligned and alike."""
-    tallest = float(lines.agg(F.max("height")).first()[0] or 0.0)
-    pairs = box_pairs(lines, lines, keys, reach=[0.0, MOST_SPACING * tallest]).where("id_l < id_r")
+    pairs = near_pairs(lines, keys, reach=[0.0, MOST_SPACING / 2 * F.col("height")])
     c, spacing = F.col, (F.col("height_l") + F.col("height_r")) / 2
     offset = F.least(F.abs(c("x0_l") - c("x0_r")), F.abs(c("x1_l") - c("x1_r")), F.abs(c("cx_l") - c("cx_r")))
     fits = (ratio("thickness") <= THICKNESS_RATIO) & (ratio("height") <= 2) & (shared("x") > 0)
@@ -83,7 +78,7 @@ def letter_scores(letters: DataFrame, keys: list[str]) -> DataFrame:
 
     A stroke is no wider than the letter's pixels allow. Letters have ids of their own.
     """
-    pairs = box_pairs(letters, letters, keys, reach=[2.0, 2.0]).where("id_l < id_r").where((shared("x") > -2) & (shared("y") > -2))
+    pairs = near_pairs(letters, keys, reach=[1.0, 1.0]).where((shared("x") > -2) & (shared("y") > -2))
     clusters = grouped(letters, pairs.select(F.col("id_l").alias("a"), F.col("id_r").alias("b")), "cluster")
     stroke = F.least(F.col("thickness"), F.col("size") / F.least("width", "height"))
     # a cluster is a run of letters that touch, so its strokes fit one row
@@ -111,8 +106,7 @@ def spacing_deviation(rows: DataFrame, keys: list[str]) -> DataFrame:
 def continuation_edges(regions: DataFrame, lines: DataFrame, keys: list[str], region: str) -> DataFrame:
     """(a, b) of regions above each other whose lines have one spacing. lines: (id, region, cy)."""
     boxes = regions.withColumnRenamed(region, "id").withColumns({"width": F.col("x1") - F.col("x0"), "height": F.col("y1") - F.col("y0")})
-    reach = 2 * float(boxes.agg(F.max("lineheight")).first()[0] or 0.0)
-    pairs = box_pairs(boxes, boxes, keys, reach=[0.0, reach]).where("id_l < id_r")
+    pairs = near_pairs(boxes, keys, reach=[0.0, 2 * F.col("lineheight")])
     c = F.col
     fits = (c("direction_l") == c("direction_r")) & (relative_gap("lettersize") < LETTER_SIZE) & (c("lines_l") + c("lines_r") > 2)
     fits &= (shared("x") >= 0.9 * F.least("width_l", "width_r")) & (shared("y") < 0) & (-shared("y") < 2 * F.greatest("lineheight_l", "lineheight_r")) & (ratio("lineheight") < 1.5)
@@ -222,7 +216,7 @@ def overlap_edges(regions: DataFrame, keys: list[str], share: float) -> DataFram
     """(a, b) of regions (id, x0, y0, x1, y1) that overlap by more than `share` of the smaller one."""
     area = lambda s: (F.col(f"x1{s}") - F.col(f"x0{s}")) * (F.col(f"y1{s}") - F.col(f"y0{s}"))
     w, h = shared("x"), shared("y")
-    pairs = box_pairs(regions, regions, keys).where("id_l < id_r").where((w > 0) & (h > 0) & (w * h > share * F.least(area("_l"), area("_r"))))
+    pairs = near_pairs(regions, keys).where((w > 0) & (h > 0) & (w * h > share * F.least(area("_l"), area("_r"))))
     return pairs.select(F.col("id_l").alias("a"), F.col("id_r").alias("b"))
 
 

@@ -225,7 +225,7 @@ SPANS = f"WITH {EVENTS}, s AS (SELECT user_id, event_id, t AS x0, t + value * 10
 FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.x0 <= b.x1 AND b.x0 <= a.x1""")
 def range_join(spark, sf_dir):
     spans = _spans(spark, sf_dir)
-    pairs = joins.overlap_join(spans, spans, ["user_id"]).where("event_id_l < event_id_r")
+    pairs = boxes_.near_pairs(spans, ["user_id"], ["x"], order=("event_id",))
     shared = F.least("x1_l", "x1_r") - F.greatest("x0_l", "x0_r")
     return pairs.select(F.col("event_id_l").alias("a"), F.col("event_id_r").alias("b"), F.round(shared, 3).alias("shared"))
 
@@ -237,7 +237,7 @@ WHERE greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(
 def box_overlap(spark, sf_dir):
     y = F.col("p_retailprice") / 10
     boxes = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("x0"), (F.col("p_size") + 2.0).alias("x1"), y.alias("y0"), (y + 4).alias("y1"))
-    pairs = boxes_.box_pairs(boxes, boxes, ["p_brand"]).where("p_partkey_l < p_partkey_r")
+    pairs = boxes_.near_pairs(boxes, ["p_brand"], order=("p_partkey",))
     c = F.col
     area = exprs.overlap(c("x0_l"), c("x1_l"), c("x0_r"), c("x1_r")) * exprs.overlap(c("y0_l"), c("y1_l"), c("y0_r"), c("y1_r"))
     return pairs.where(area > 0.2 * 8).select(c("p_partkey_l").alias("a"), c("p_partkey_r").alias("b"))

@@ -37,8 +37,7 @@ WHERE greatest(thickness, rt) / least(thickness, rt) <= 3 AND greatest(height, r
  AND NOT (x0 < rx0 AND x1 > rx1) AND NOT (rx0 < x0 AND rx1 > x1) AND w <= 2 * greatest(least(height, width), least(rh, rw)) AND h <= 10 AND rcx <> cx AND abs(rcy - cy) <= abs(rcx - cx)""")
 def letter_pairs(spark, sf_dir):
     letters = frame(spark, sf_dir, "letters")
-    reach = 2 * (letters.agg(F.max(F.least("width", "height"))).first()[0] or 0.0)
-    return regions.letter_pairs(letters, ["page"], reach).withColumn("dist", F.round("dist", 6))
+    return regions.letter_pairs(letters, ["page"]).withColumn("dist", F.round("dist", 6))
 
 
 @query(f"""WITH {LINES}
@@ -157,7 +156,7 @@ def line_overlaps(lines: DataFrame) -> DataFrame:
     wide = lines.withColumns({"x0": F.col("x0") - 30, "x1": F.col("x1") + 30, "y0": F.col("y0") - 10})
     area = lambda s: (F.col(f"x1{s}") - F.col(f"x0{s}")) * (F.col(f"y1{s}") - F.col(f"y0{s}"))
     w, h = boxes.shared("x"), boxes.shared("y")
-    pairs = boxes.box_pairs(wide, wide, ["img"]).where("id_l < id_r").where((w > 0) & (h > 0) & (w * h > 0.2 * F.least(area("_l"), area("_r"))))
+    pairs = boxes.near_pairs(wide, ["img"]).where((w > 0) & (h > 0) & (w * h > 0.2 * F.least(area("_l"), area("_r"))))
     return pairs.select(F.col("id_l").alias("a"), F.col("id_r").alias("b"))
 
 
@@ -318,8 +317,8 @@ WHERE least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(
 def crossing_selections(spark, sf_dir):
     """Pairs of selections any of whose rectangles overlap."""
     rects = _rectangles(spark, sf_dir).withColumn("rid", F.col("sid") * 3 + F.col("k"))
-    pairs = boxes.box_pairs(rects, rects, ["img"]).where("sid_l < sid_r").where((boxes.shared("x") > 0) & (boxes.shared("y") > 0))
-    return pairs.select(F.col("sid_l").alias("a"), F.col("sid_r").alias("b")).distinct()
+    pairs = boxes.near_pairs(rects, ["img"], order=("rid",)).where("sid_l <> sid_r").where((boxes.shared("x") > 0) & (boxes.shared("y") > 0))
+    return pairs.select(F.least("sid_l", "sid_r").alias("a"), F.greatest("sid_l", "sid_r").alias("b")).distinct()
 
 
 #: Results of earlier readers: boxes near the lines, some of another version or direction.
@@ -470,5 +469,4 @@ def built_regions(spark, sf_dir):
 def built_lines(spark, sf_dir):
     """Letters to lines by greedy merges of near pairs."""
     letters = frame(spark, sf_dir, "letters")
-    reach = 2 * (letters.agg(F.max(F.least("width", "height"))).first()[0] or 0.0)
-    return regions.built_lines(letters, regions.letter_pairs(letters, ["page"], reach), "page")
+    return regions.built_lines(letters, regions.letter_pairs(letters, ["page"]), "page")

@@ -179,7 +179,7 @@ def test_greedy_subset_equals_one_after_the_other(spark):
 def test_letters_join_to_straight_lines(spark):
     row = lambda k, y, n, h=10: [dict(page=0, id=k + i, x0=12.0 * i, y0=y, x1=12.0 * i + 8, y1=y + h - 1.0, cx=12.0 * i + 4, cy=y + (h - 1) / 2, width=9.0, height=float(h), thickness=2.0) for i in range(n)]
     letters = spark.createDataFrame(pd.DataFrame(row(0, 0.0, 6) + row(10, 30.0, 4) + row(20, 80.0, 1, 30)))
-    got = regions.built_lines(letters, regions.letter_pairs(letters, ["page"], 40.0), "page")
+    got = regions.built_lines(letters, regions.letter_pairs(letters, ["page"]), "page")
     assert {r["id"]: r["line"] for r in got.collect()} == {**dict.fromkeys(range(6), 0), **dict.fromkeys(range(10, 14), 10), 20: 20}
 
 
@@ -223,7 +223,7 @@ def test_lines_of_letters_equal_a_plain_version(spark):
             x0, y0 = place * 13.0 + r.randrange(3), row * 22.0 + place * (page % 2) * 0.5 + r.choice([0, 0, 0, 1, 4])
             letters.append({"page": page, "id": page * 100 + k, "x0": x0, "y0": y0, "x1": x0 + w, "y1": y0 + h, "cx": x0 + w / 2, "cy": y0 + h / 2, "width": w + 1.0, "height": h + 1.0, "thickness": 2.0})
     df = spark.createDataFrame(pd.DataFrame(letters))
-    pairs = regions.letter_pairs(df, ["page"], 40.0)
+    pairs = regions.letter_pairs(df, ["page"])
     got = {x["id"]: x["line"] for x in regions.built_lines(df, pairs, "page").collect()}
     near = [p.asDict() for p in pairs.collect()]
     want = {}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.operators import joins, stats
-from loomspan.operators.boxes import box_pairs
+from loomspan.operators.boxes import box_pairs, near_pairs
 from loomspan.plans import catalog, kernel_queries, layout_queries, text_queries  # noqa: F401 (the last three register queries)
 
 SF = "/root/testdata/sf0.001"
@@ -54,6 +54,23 @@ def test_box_pairs_of_any_size_equal_nested_loop(spark):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def test_near_pairs_equal_nested_loop_and_one_far_box_costs_only_its_own(spark):
+    r = random.Random(9)
+    boxes = [(i, i % 2, x, x + r.choice([0.0, 0.5, 3.0, 60.0]), y, y + r.choice([0.1, 2.0, 40.0]), r.choice([0.0, 0.3, 5.0, None])) for i in range(150) for x, y in [(r.uniform(-50, 50), r.uniform(-50, 50))]]
+    df = spark.createDataFrame([*boxes, (500, 0, None, 1.0, 0.0, 1.0, 1.0), (501, 0, 2.0, 1.0, 0.0, 1.0, 1.0)], "id long, k long, x0 double, x1 double, y0 double, y1 double, far double")
+    pairs = [(x["id_l"], x["id_r"]) for x in near_pairs(df, ["k"], reach=[F.col("far"), 0.5]).collect()]
+    touch = lambda a, b: a[2] - (a[6] or 0) <= b[3] + (b[6] or 0) and b[2] - (b[6] or 0) <= a[3] + (a[6] or 0) and a[4] - 0.5 <= b[5] + 0.5 and b[4] - 0.5 <= a[5] + 0.5
+    want = {(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and a[1] == b[1] and touch(a, b)}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    grid = [(40 * i + j, 1, 10.0 * i, 10.0 * i + 4, 10.0 * j, 10.0 * j + 4) for i in range(40) for j in range(40)]
+    schema = "id long, k long, x0 double, x1 double, y0 double, y1 double"
+    met = {}
+    for name, more in (("even", []), ("far", [(9999, 1, 0.0, 4.0, 0.0, 4.0)])):
+        rows = spark.createDataFrame(grid + more, schema)
+        met[name] = near_pairs(rows, ["k"], reach=[F.when(F.col("id") == 9999, 10_000.0).otherwise(1.0), F.when(F.col("id") == 9999, 10_000.0).otherwise(1.0)]).count()
+    assert met["even"] == 0 and met["far"] == 1600
+
+
 def test_garbled_documents_are_all_judged(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = catalog.QUERIES["bad_text_documents"](spark, SF)
