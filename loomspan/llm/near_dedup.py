@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from loomspan.llm.hashing import Bloom, Windows, Words, mix, ragged, signed, slices, whole_groups
 from loomspan.llm.repeats import identified
 from loomspan.operators.graph import connected_components
-from loomspan.session import arrow_batches, materialise, scratch, small_arrow_batches
+from loomspan.session import arrow_batches, discard, materialise, scratch, small_arrow_batches
 
 SHINGLE = 5
 COORDINATES = 64
@@ -364,6 +364,8 @@ def _components(docs: DataFrame, percent: int, width: int, trees: int) -> DataFr
     first = classes.groupBy(F.col("rep.doc_id").alias("doc_id")).agg(F.min_by("rep.h", F.struct("k1", "k2", "n")).alias("h"))
     reps = sets.select("doc_id", "h", "n", "s1", "s2", "sig").join(first, ["doc_id", "h"], "left_semi")
     reps = materialise(reps.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]), "reps")
+    sizes = materialise(found.select("doc_id", "n"), "sizes")
+    discard(found)  # the signatures of all documents; those of distinct sets are kept
 
     walk = "node long, rep long, n long, s1 long, s2 long"
     roots = reps.withColumn("node", F.explode(F.array(*[F.lit(t + 1).cast("long") for t in range(trees)]))).select("node", "rep", "n", "s1", "s2", "sig")
@@ -376,6 +378,7 @@ def _components(docs: DataFrame, percent: int, width: int, trees: int) -> DataFr
     joining = None
     for depth in range(1, MAX_DEPTH + 1):
         live = _live(rows, component)
+        discard(rows)
         settled = live.where((F.col("others") <= SMALL) | F.lit(depth == MAX_DEPTH))
         whole = _in_pieces(settled).select("node", "rep", "component", "n", "s1", "s2").repartition("node").sortWithinPartitions("node")
         fresh = whole.mapInArrow(_walked(percent, depth, depth), may)
@@ -392,6 +395,7 @@ def _components(docs: DataFrame, percent: int, width: int, trees: int) -> DataFr
             break
         deeper = _with_signatures(large, reps).select("node", "rep", "n", "s1", "s2", "sig")
         rows = materialise(deeper.mapInArrow(_children(percent / 100), walk), "walk")
+        discard(live)
     component = materialise(component, "component")
     # a candidate names its group by a component; sets without links are components of their own
     members = component.select(F.col("component").alias("c"), "rep").union(joining.select("c", F.col("c").alias("rep")))
@@ -399,7 +403,7 @@ def _components(docs: DataFrame, percent: int, width: int, trees: int) -> DataFr
     if late.limit(1).count():
         component = connected_components(links.union(late), "a", "b").select(F.col("node").alias("rep"), "component")
     placed = of_class.join(component, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    out = found.select("doc_id", "n").join(placed, "doc_id", "left")
+    out = sizes.join(placed, "doc_id", "left")
     root = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(False)).alias("kept"))
 
