@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import exprs
 from loomspan.operators import boxes as boxes_
 from loomspan.operators import graph, joins, sequences, stats
-from loomspan.session import table
+from loomspan.session import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -19,11 +20,19 @@ DAY = 86_400
 
 
 def query(sql: str | None = None):
+    """Register a query with its SQL. The tables that its operators write are deleted when its own result is written; a query without any stays lazy."""
+
     def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with scratch(spark) as keep:
+                out = f(spark, sf_dir)
+                return keep(out, f.__name__) if keep.tables else out
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE_SQL[f.__name__] = sql
-        return f
+        return run
 
     return register
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -12,8 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 ARROW_ROWS = 1000
 
-#: Paths that materialise() made inside each open scratch scope, the innermost last.
-_scopes: list[list[str]] = []
+
+class _Scopes(threading.local):
+    """Paths that materialise() made inside each of this thread's open scratch scopes, the innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -34,8 +42,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,11 +63,12 @@ def discard(df: DataFrame) -> None:
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """A scope whose tables are deleted at its end, but for those made by the function it gives, which works as materialise().
 
-    Nothing lazy may leave the scope but what that function returns. A kept table belongs to the scope around, if there is one.
+    Nothing lazy may leave the scope but what that function returns. A kept table belongs to the scope around, if there is one; `tables` of the function lists what else
+    was written. Scopes belong to the thread that opens them.
     """
     mine: list[str] = []
-    outer = _scopes[-1] if _scopes else None
-    _scopes.append(mine)
+    outer = _scopes.open[-1] if _scopes.open else None
+    _scopes.open.append(mine)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         out = materialise(df, name)
@@ -68,10 +77,11 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
             outer.append(path)
         return out
 
+    keep.tables = mine
     try:
         yield keep
     finally:
-        _scopes.remove(mine)
+        _scopes.open[:] = [s for s in _scopes.open if s is not mine]
         for path in mine:
             _delete(spark, path)
 
