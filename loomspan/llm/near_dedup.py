@@ -112,7 +112,7 @@ def _sets(width: int, wanted):
             for row, end, data, bounds in slices(batch.column("text")):
                 h, sizes = shingle_sets(data, bounds, width)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(signed(h)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), batch.column("h").slice(row, end - row), lists], ["rep", "h", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), batch.column("h").slice(row, end - row), lists], ["doc", "h", "shingles"])
 
     return run
 
@@ -286,7 +286,7 @@ def _confirm(docs: DataFrame, reps: DataFrame, candidates: DataFrame, members: D
     members = members.join(candidates.select("c").distinct(), "c", "left_semi")
     sides = candidates.select("c", "rep", F.lit(0).alias("side"), "n").union(members.select("c", "rep", F.lit(1), F.lit(0).cast("long")))
     sides = materialise(sides.distinct(), "sides")
-    used = materialise(sides.select("rep").distinct().join(reps.select("rep", "h", "n", "s1", "s2"), "rep"), "used")
+    used = materialise(sides.select("rep").distinct().join(reps.select("rep", "doc", "h", "n", "s1", "s2"), "rep"), "used")
 
     def blocks(side: int) -> F.Column:
         sets = F.count_if(F.col("side") == side)
@@ -300,9 +300,9 @@ def _confirm(docs: DataFrame, reps: DataFrame, candidates: DataFrame, members: D
     block = block.otherwise(F.struct(F.col("theirs").cast("long").alias("x"), F.col("mine").cast("long").alias("y")))
     dealt = dealt.select(F.xxhash64("c", block).alias("key"), "side", "rep")
 
-    wanted = spark.sparkContext.broadcast(Bloom.of(used.select(F.xxhash64("rep", "h").alias("key")), "key"))
-    sets = docs.select("doc_id", "h", "text", F.xxhash64("doc_id", "h").alias("key")).mapInArrow(_sets(width, wanted), "rep long, h long, shingles array<long>")
-    sets = materialise(sets.join(used, ["rep", "h"]).drop("h"), "sets")
+    wanted = spark.sparkContext.broadcast(Bloom.of(used.select(F.xxhash64("doc", "h").alias("key")), "key"))
+    sets = docs.select("doc_id", "h", "text", F.xxhash64("doc_id", "h").alias("key")).mapInArrow(_sets(width, wanted), "doc long, h long, shingles array<long>")
+    sets = materialise(sets.join(used, ["doc", "h"]).drop("doc", "h"), "sets")
     work = dealt.join(sets, "rep").repartition("key").sortWithinPartitions("key", "side")
     with arrow_batches(spark, BATCH_ROWS):
         return materialise(work.select("key", "side", "rep", "n", "s1", "s2", "shingles").mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
@@ -345,8 +345,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE, tr
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets;
     component_id is the least doc_id reachable over links. Texts without words, null and empty
-    texts have no shingles and are linked with nothing. Rows that repeat a doc_id are the same document: its links are
-    those of the row whose set has the least hash, and sets equal to that of any of its rows. A null doc_id stays alone,
+    texts have no shingles and are linked with nothing. Rows that repeat a doc_id are the same document, which is
+    linked with whatever the set of any of its rows is linked with. A null doc_id stays alone,
     with a null component_id and kept false. An empty table gives no rows.
     """
     with scratch(docs.sparkSession) as keep:
@@ -360,10 +360,17 @@ def _components(docs: DataFrame, percent: int, width: int, trees: int) -> DataFr
     found = materialise(docs.mapInArrow(_signatures(width), "doc_id long, h long, n long, k1 long, k2 long, s1 long, s2 long, sig binary"), "signatures")
     sets = found.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialise(sets.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "h")).alias("rep")), "classes")
-    of_class = materialise(sets.select("doc_id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"]).select("doc_id", F.col("rep.doc_id").alias("rep")), "of-class")
-    first = classes.groupBy(F.col("rep.doc_id").alias("doc_id")).agg(F.min_by("rep.h", F.struct("k1", "k2", "n")).alias("h"))
-    reps = sets.select("doc_id", "h", "n", "s1", "s2", "sig").join(first, ["doc_id", "h"], "left_semi")
-    reps = materialise(reps.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]), "reps")
+    # a class is named by its least doc_id; further classes of one doc_id have names above all ids in use, and are linked with it
+    least = classes.groupBy(F.col("rep.doc_id").alias("doc_id")).agg(F.min(F.struct("k1", "k2", "n")).alias("least"))
+    other = F.shiftrightunsigned(F.xxhash64("k1", "k2", "n"), 2).bitwiseOR(F.lit(1 << 62))
+    own = F.when(F.struct("k1", "k2", "n") == F.col("least"), F.col("doc_id")).otherwise(other).alias("name")
+    names = classes.select("k1", "k2", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h")).join(least, "doc_id")
+    names = materialise(names.select("k1", "k2", "n", "doc_id", "h", own), "names")
+    of_class = materialise(sets.select("doc_id", "k1", "k2", "n").join(names.drop("doc_id", "h"), ["k1", "k2", "n"]).select("doc_id", F.col("name").alias("rep")), "of-class")
+    several = of_class.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").drop("z")
+    twins = materialise(of_class.join(several, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "twins")
+    reps = sets.join(names, ["doc_id", "h", "k1", "k2", "n"]).select(F.col("name").alias("rep"), F.col("doc_id").alias("doc"), "h", "n", "s1", "s2", "sig")
+    reps = materialise(reps.dropDuplicates(["rep"]), "reps")
     sizes = materialise(found.select("doc_id", "n"), "sizes")
     discard(found)  # the signatures of all documents; those of distinct sets are kept
 
@@ -371,7 +378,7 @@ def _components(docs: DataFrame, percent: int, width: int, trees: int) -> DataFr
     roots = reps.withColumn("node", F.explode(F.array(*[F.lit(t + 1).cast("long") for t in range(trees)]))).select("node", "rep", "n", "s1", "s2", "sig")
     rows = materialise(roots.mapInArrow(_children(percent / 100), walk), "walk")
     star = materialise(_pivots(rows, percent), "star")
-    links = _confirm(docs, reps, star, star.select("c", F.col("c").alias("rep")), percent, width)
+    links = _confirm(docs, reps, star, star.select("c", F.col("c").alias("rep")), percent, width).union(twins)
     component = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
 
     may = "c long, rep long, n long"
