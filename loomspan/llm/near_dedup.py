@@ -6,8 +6,8 @@
    on the minwise tokens chosen on the way; at every node one coordinate of the signature is chosen,
    and a second one with the chance that makes 1/threshold children the expectation, so that a pair at the
    threshold keeps an expected one common child at every depth.
-3. The members of a node are first compared with its pivot; whatever that links is one component and
-   is never compared again. A node with few sets outside its largest component is then compared
+3. Rows of the walk are a node and a set, nothing else; nodes of one set go at once. The members of a node are first compared with its pivot, its least set,
+   so that a group has one pivot in most trees; whatever that links is one component and is never compared again. A node with few sets outside its largest component is then compared
    exhaustively between components; other nodes branch further, and what is left at MAX_DEPTH is compared exhaustively too.
    Nodes of at most NODE_ROWS sets are walked down to the end inside one task each; larger ones branch across the cluster until they are that small.
 4. A comparison inside a node is a size bound and a sketch of 128 one-bit minwise hashes. What it finds is not a pair of sets but
@@ -308,21 +308,31 @@ def _confirm(docs: DataFrame, reps: DataFrame, candidates: DataFrame, members: D
         return materialise(work.select("key", "side", "rep", "n", "s1", "s2", "shingles").mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """(node, rep, c): the rows of nodes that hold several sets, c is the node's least one. The rows' own table goes."""
+    # written, so that adaptive execution may split a node of very many rows in the join
+    nodes = materialise(rows.groupBy("node").agg(F.count("*").alias("k"), F.min("rep").alias("c")).where("k > 1").drop("k"), "nodes")
+    shared = materialise(rows.join(nodes, "node"), "shared")
+    for gone in (rows, nodes):
+        discard(gone)
+    return shared
+
+
 def _live(rows: DataFrame, component: DataFrame) -> DataFrame:
     """rows of all nodes that hold sets of two components, with their node's size, and how many of its sets lie outside its largest component."""
-    rows = rows.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rows = rows.select("node", "rep").join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     parts = rows.groupBy("node", "component").agg(F.count("*").alias("k"))
     nodes = parts.groupBy("node").agg(F.sum("k").alias("size"), (F.sum("k") - F.max("k")).alias("others"), F.max_by("component", F.struct("k", "component")).alias("main")).where("others > 0")
     return materialise(rows.join(nodes, "node"), "live")
 
 
-def _pivots(rows: DataFrame, percent: int) -> DataFrame:
-    """(c, rep, n): the sets of nodes of several that may be linked with the node's pivot c."""
-    pivot = F.min_by(F.struct(F.col("rep").alias("c"), F.col("n").alias("pn"), F.col("s1").alias("p1"), F.col("s2").alias("p2")), F.xxhash64("node", "rep"))
-    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), pivot.alias("p")).where("size > 1").select("node", "p.*")
+def _pivots(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(c, rep, n): the sets that may be linked with the pivot c of one of their nodes."""
+    pairs = rows.where("rep <> c").select("c", "rep").distinct()
+    pivots = reps.select(F.col("rep").alias("c"), F.col("n").alias("pn"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
     sizes = F.lit(100) * F.least("n", "pn") >= F.lit(percent) * F.greatest("n", "pn")
     bits = F.bit_count(F.col("s1").bitwiseXOR(F.col("p1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("p2")))
-    return rows.join(nodes, "node").where((F.col("rep") != F.col("c")) & sizes & (bits <= _slack(percent))).select("c", "rep", "n").distinct()
+    return pairs.join(reps.select("rep", "n", "s1", "s2"), "rep").join(pivots, "c").where(sizes & (bits <= _slack(percent))).select("c", "rep", "n")
 
 
 def _in_pieces(rows: DataFrame) -> DataFrame:
@@ -333,11 +343,12 @@ def _in_pieces(rows: DataFrame) -> DataFrame:
     return cut.withColumn("node", F.when(F.col("size") > NODE_ROWS, F.xxhash64("node", "piece")).otherwise(F.col("node")))
 
 
-def _with_signatures(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """rows (node, rep, component) with all columns of reps; signatures are joined once for each set, whatever its nodes."""
+def _with_sets(rows: DataFrame, reps: DataFrame, *more: str) -> DataFrame:
+    """rows (node, rep, component) with n, s1, s2 and `more` columns of reps; these are joined once for each set, whatever its nodes."""
     sets = rows.groupBy("rep").agg(F.first("component").alias("component"), F.collect_list("node").alias("nodes"))
-    joined = sets.join(reps, "rep").select("nodes", "rep", "component", "n", "s1", "s2", "sig")
-    return joined.mapInArrow(_at_each_node, "node long, rep long, component long, n long, s1 long, s2 long, sig binary")
+    joined = sets.join(reps, "rep").select("nodes", "rep", "component", "n", "s1", "s2", *more)
+    types = {f.name: f.dataType.simpleString() for f in joined.schema}
+    return joined.mapInArrow(_at_each_node, ", ".join(["node long", *[f"{c} {types[c]}" for c in joined.columns[1:]]]))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE, trees: int = TREES) -> DataFrame:
@@ -374,10 +385,10 @@ def _components(docs: DataFrame, percent: int, width: int, trees: int) -> DataFr
     sizes = materialise(found.select("doc_id", "n"), "sizes")
     discard(found)  # the signatures of all documents; those of distinct sets are kept
 
-    walk = "node long, rep long, n long, s1 long, s2 long"
-    roots = reps.withColumn("node", F.explode(F.array(*[F.lit(t + 1).cast("long") for t in range(trees)]))).select("node", "rep", "n", "s1", "s2", "sig")
-    rows = materialise(roots.mapInArrow(_children(percent / 100), walk), "walk")
-    star = materialise(_pivots(rows, percent), "star")
+    walk = "node long, rep long"
+    roots = reps.withColumn("node", F.explode(F.array(*[F.lit(t + 1).cast("long") for t in range(trees)]))).select("node", "rep", "sig")
+    rows = _shared(materialise(roots.mapInArrow(_children(percent / 100), walk), "walk"))
+    star = materialise(_pivots(rows, reps, percent), "star")
     links = _confirm(docs, reps, star, star.select("c", F.col("c").alias("rep")), percent, width).union(twins)
     component = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
 
@@ -387,11 +398,11 @@ def _components(docs: DataFrame, percent: int, width: int, trees: int) -> DataFr
         live = _live(rows, component)
         discard(rows)
         settled = live.where((F.col("others") <= SMALL) | F.lit(depth == MAX_DEPTH))
-        whole = _in_pieces(settled).select("node", "rep", "component", "n", "s1", "s2").repartition("node").sortWithinPartitions("node")
+        whole = _with_sets(_in_pieces(settled), reps).repartition("node").sortWithinPartitions("node")
         fresh = whole.mapInArrow(_walked(percent, depth, depth), may)
         if depth < MAX_DEPTH:
             open_ = live.where(F.col("others") > SMALL)
-            inside = _with_signatures(open_.where(F.col("size") <= NODE_ROWS), reps).repartition("node").sortWithinPartitions("node")
+            inside = _with_sets(open_.where(F.col("size") <= NODE_ROWS), reps, "sig").repartition("node").sortWithinPartitions("node")
             fresh = fresh.union(inside.mapInArrow(_walked(percent, depth, MAX_DEPTH), may))
         fresh = materialise(fresh.distinct(), "candidates")
         joining = fresh if joining is None else joining.union(fresh)
@@ -400,8 +411,8 @@ def _components(docs: DataFrame, percent: int, width: int, trees: int) -> DataFr
         large = open_.where(F.col("size") > NODE_ROWS)
         if not large.limit(1).count():
             break
-        deeper = _with_signatures(large, reps).select("node", "rep", "n", "s1", "s2", "sig")
-        rows = materialise(deeper.mapInArrow(_children(percent / 100), walk), "walk")
+        deeper = _with_sets(large, reps, "sig").select("node", "rep", "sig")
+        rows = _shared(materialise(deeper.mapInArrow(_children(percent / 100), walk), "walk"))
         discard(live)
     component = materialise(component, "component")
     # a candidate names its group by a component; sets without links are components of their own
