@@ -15,7 +15,6 @@ import base64
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,65 +24,142 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.hashing import give_back
+from loomspan.llm.hashing import give_back, ragged
 from loomspan.session import materialise, small_arrow_batches
 
 SIZE = 1024
 SHARD_ROWS = 2000
 RANGE_SHARDS = 4
 K1, B = 1.2, 0.75
-CACHE_WORDS = 200_000
+SLICE_CHARS = 1 << 22
 VOCABULARY = 50_257
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-#: Characters for which Python's own `re` and the tokenizer's pattern agree on what a letter, a digit and white space is.
+#: Characters other than those whose kind (letter, digit, white space) their first byte tells.
 _UNUSUAL = re.compile("[^\\t\\n\\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018-\u201e\u2026\u20ac]")
-_PLAIN_SPLIT = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: The end of a text, white space, letters, digits, all else.
+_END, _WHITE, _LETTER, _DIGIT, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, dtype=np.uint8)
+_KIND[0] = _END
+_KIND[list(b"\t\n\r ")] = _WHITE
+_KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0xC3, 0xCA)]] = _LETTER
+_KIND[ord("0") : ord("9") + 1] = _DIGIT
 
 
-class Tokenizer(dict):
-    """Token ids of whole texts, as little-endian 16-bit numbers. A byte-level BPE never joins two pre-tokens, so the
-    ids of frequent ones are remembered: this is the dictionary of known pre-tokens, and a missing one is encoded when it is asked for.
+def pre_tokens(data: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of texts without unusual characters start, and the end of the last one. data: UTF-8, a 0 after each text, which is a pre-token of its own.
+
+    The tokenizer's pattern, in runs of one kind: a space before a run belongs to it, white space before that or at the end of a text stands alone, and
+    a quote that opens a match takes the letters of a contraction with it.
+    """
+    kind = _KIND[data]
+    later = np.flatnonzero((data & 0xC0) == 0x80)
+    for _ in range(2):  # characters have three bytes at most
+        kind[later] = kind[later - 1]
+    cut = np.ones(len(data) + 1, dtype=bool)
+    np.not_equal(kind[1:], kind[:-1], out=cut[1:-1])
+    cut[:-1] |= kind == _END
+    last = np.flatnonzero((kind[:-1] == _WHITE) & (kind[1:] > _WHITE))
+    cut[last] = True
+    cut[last[data[last] == ord(" ")] + 1] = False
+    quote = np.flatnonzero(data == ord("'"))
+    quote = quote[cut[quote] & (kind[quote + 1] == _LETTER)]
+    first, second = data[quote + 1], data[quote + 2]
+    one = np.isin(first, list(b"stmd"))
+    two = (((first == ord("r")) | (first == ord("v"))) & (second == ord("e"))) | ((first == ord("l")) & (second == ord("l")))
+    cut[quote[one | two] + 1] = False
+    cut[quote[one] + 2] = True
+    cut[quote[two] + 3] = True
+    return np.flatnonzero(cut)
+
+
+class Tokenizer:
+    """Token ids of whole texts with end_id after each, as little-endian 16-bit numbers. A byte-level BPE never joins two pre-tokens, so those of
+    a slice of texts are told apart by Arrow, and the distinct ones are encoded in one call.
 
     Texts with characters outside the common Latin ones are encoded whole. ranks: the same vocabulary as
     merge ranks, which encodes several times faster; without it the tokenizer itself does.
     """
 
-    def __init__(self, path: str, ranks: str | None, pattern: str):
-        super().__init__()
+    def __init__(self, path: str, ranks: str | None, pattern: str, end_id: int):
+        self.end = np.array([end_id], dtype="<u2")
         if ranks:
             import tiktoken
 
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+            encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+            sizes = {b: len(a) for a, b in table.items()}
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer as Fast
 
             fast = Fast.from_file(path)
             fast.encode_special_tokens = True
-            self.one = lambda text: fast.encode(text, add_special_tokens=False).ids
-
-    def __missing__(self, word: str) -> bytes:
-        ids = array("H", self.one(word)).tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = ids
-        return ids
-
-    def __call__(self, text: str) -> np.ndarray:
-        if _UNUSUAL.search(text):
-            return np.array(self.one(text), dtype="<u2")
-        return np.frombuffer(b"".join(map(self.__getitem__, _PLAIN_SPLIT.findall(text))), dtype="<u2")
+            encode = lambda text: fast.encode(text, add_special_tokens=False).ids
+            sizes = {b: len(a) for a, b in fast.get_vocab().items()}  # a character for each byte
+        self.encode = encode
+        self.sizes = np.zeros(1 << 16, dtype=np.int64)  # bytes of each token
+        self.sizes[list(sizes)] = list(sizes.values())
+
+    def one(self, text: str) -> np.ndarray:
+        return np.array(self.encode(text), dtype="<u2")
+
+    def _distinct(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each pre-token begin and how many they are. In one text line feeds part pre-tokens that no space begins, and the bytes of its tokens tell
+        which are whose; pre-tokens of white space and the end of texts stay out of it."""
+        kind = _KIND[data[start]]
+        alone = np.flatnonzero((kind == _END) | ((kind == _WHITE) & ((size == 1) | (_KIND[data[np.minimum(start + 1, len(data) - 1)]] == _WHITE))))
+        apart = np.ones(len(start), dtype=bool)
+        apart[alone] = False
+        rest, length = start[apart], size[apart]
+        end = np.cumsum(length + (data[rest] != ord(" ")))
+        text = np.full(end[-1] if len(end) else 0, ord("\n"), dtype=np.uint8)
+        text[ragged(end - length, length)] = data[ragged(rest, length)]
+        ids = self.one(text.tobytes().decode())
+        upto = np.concatenate(([0], np.cumsum(self.sizes[ids])))
+        first, count = np.zeros(len(start), dtype=np.int64), np.zeros(len(start), dtype=np.int64)
+        first[apart] = np.searchsorted(upto, end - length)
+        count[apart] = np.searchsorted(upto, end) - first[apart]
+        more = [self.one(data[start[k] : start[k] + size[k]].tobytes().decode()) if kind[k] else self.end for k in alone.tolist()]
+        count[alone] = [len(x) for x in more]
+        first[alone] = len(ids) + np.cumsum(count[alone]) - count[alone]
+        return np.concatenate([ids, *more]), first, count
+
+    def _split(self, texts: list[str]) -> list[np.ndarray]:
+        raw = "\0".join([*texts, ""]).encode()
+        bounds = pre_tokens(np.frombuffer(raw, dtype=np.uint8))
+        words = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
+        each, distinct = words.indices.to_numpy(), words.dictionary
+        start = np.frombuffer(distinct.buffers()[1], dtype=np.int64)[: len(distinct) + 1]
+        data = np.frombuffer(distinct.buffers()[2], dtype=np.uint8)
+        ids, first, count = self._distinct(data, start[:-1], np.diff(start))
+        counts = count[each]
+        is_end = data[start[:-1]] == 0
+        return np.split(ids[ragged(first[each], counts)], np.cumsum(counts)[is_end[each]][:-1])
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        usual = [not _UNUSUAL.search(x) for x in texts]
+        split = iter(self._split([x for x, u in zip(texts, usual, strict=True) if u]) if any(usual) else ())
+        return [next(split) if u else np.append(self.one(x), self.end) for x, u in zip(texts, usual, strict=True)]
 
 
 @lru_cache(maxsize=1)
-def _tokenizer(path: str, ranks: str | None, pattern: str) -> Tokenizer:
+def _tokenizer(path: str, ranks: str | None, pattern: str, end_id: int) -> Tokenizer:
     """One for all tasks of a worker process."""
-    return Tokenizer(path, ranks, pattern)
+    return Tokenizer(path, ranks, pattern, end_id)
+
+
+def _slices(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
+    """Runs of whole rows of about SLICE_CHARS characters."""
+    first, held = 0, 0
+    for k, text in enumerate(texts, 1):
+        held += len(text)
+        if held >= SLICE_CHARS or k == len(texts):
+            yield ids[first:k], texts[first:k]
+            first, held = k, 0
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -92,16 +168,16 @@ def _crc(ids: np.ndarray) -> int:
 
 def _tokenised(path: str, ranks: str | None, pattern: str, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(path, ranks, pattern)
+        encode = _tokenizer(path, ranks, pattern, end_id)
         sequence = (TaskContext.get().partitionId() << 36) + (1 << 35)
         seen, docs, total = np.zeros(VOCABULARY, dtype=np.int64), 0, 0
         kinds = [pa.int64()] * 6 + [pa.binary(), pa.binary()]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "tail", "seen"]
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(encode(text or ""), np.uint16(end_id))
-                seen[np.unique(ids)] += 1
+            rows = _slices(batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()])
+            for doc_id, ids in ((d, x) for docs_, texts in rows for d, x in zip(docs_, encode(texts), strict=True)):
+                seen[ids] += 1  # once for each distinct id
                 docs += 1
                 total += len(ids)
                 for start in range(0, len(ids) - size + 1, size):
