@@ -10,10 +10,10 @@ import heapq
 import math
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.session import materialise
+from loomspan.session import large, materialise
 
 TILE = 64
 RADIUS = 5
@@ -70,9 +70,9 @@ def arrivals(pixels: DataFrame, mask: DataFrame, keys: list[str], tile: int = TI
     Every round costs one grouped job over the tiles that a changed rim borders on; rounds follow the number of tiles that the front crosses.
     """
     place = [*keys, "y", "x"]
-    own = materialise(mask.select(*place).distinct().join(pixels.select(*place), place, "left_semi"), "mask")
+    own = materialise(mask.select(*place).distinct().join(large(pixels.select(*place)), place, "left_semi"), "mask")
     beside = own.select(*keys, F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in FOUR])).alias("p")).select(*keys, "p.*").distinct()
-    edge = beside.join(pixels.select(*place), place, "left_semi").join(own, place, "left_anti")
+    edge = beside.join(large(pixels.select(*place)), place, "left_semi").join(large(own), place, "left_anti")
     edge = materialise(edge.withColumns({"u": F.lit(0.0), "masked": F.lit(False)}), "edge")
     now = own.withColumns({"u": F.lit(None).cast("double"), "masked": F.lit(True)})
     near = [F.floor(F.col(a) / tile) for a in ("y", "x")]
@@ -87,14 +87,14 @@ def arrivals(pixels: DataFrame, mask: DataFrame, keys: list[str], tile: int = TI
     active = None
     while True:
         rows = rims(now.unionByName(edge))
-        rows = rows if active is None else rows.join(active, [*keys, "ty", "tx"], "left_semi")
+        rows = rows if active is None else rows.join(large(active), [*keys, "ty", "tx"], "left_semi")
         group = [*keys, "ty", "tx", "tile"]
         fresh = rows.withColumn("tile", F.lit(tile)).groupBy(*group).applyInArrow(_tile(len(keys)), schema)
         fresh = materialise(fresh, "times")
         if active is None:
             now = fresh.select(*place, "u").withColumn("masked", F.lit(True))
         else:
-            stale = now.withColumns({"ty": near[0], "tx": near[1]}).join(active, [*keys, "ty", "tx"], "left_anti").drop("ty", "tx")
+            stale = now.withColumns({"ty": near[0], "tx": near[1]}).join(large(active), [*keys, "ty", "tx"], "left_anti").drop("ty", "tx")
             now = materialise(stale.unionByName(fresh.select(*place, "u").withColumn("masked", F.lit(True))), "now")
         moved = rims(fresh.where("changed").select(*place, "u").withColumn("masked", F.lit(True))).where((F.col("ty") != near[0]) | (F.col("tx") != near[1]))
         active = materialise(moved.select(*keys, "ty", "tx").distinct(), "active")
@@ -106,10 +106,10 @@ def _disc(radius: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if 0 < dy * dy + dx * dx <= radius * radius]
 
 
-def _slope(axis: str) -> Column:
+def _slope(axis: str, target: Window) -> Column:
     """The slope of the times at a pixel, from the neighbours that were reached before it."""
     other = "x" if axis == "y" else "y"
-    at = lambda step: F.get(F.filter("seen", lambda s: (s[f"d{axis}"] == step) & (s[f"d{other}"] == 0)), F.lit(0))["u"]
+    at = lambda step: F.max(F.when((F.col(f"d{axis}") == step) & (F.col(f"d{other}") == 0), F.col("ku"))).over(target)
     up, down = at(1), at(-1)
     return F.when(up.isNotNull() & down.isNotNull(), (up - down) * 0.5).when(up.isNotNull(), up - F.col("u")).when(down.isNotNull(), F.col("u") - down).otherwise(0.0)
 
@@ -124,41 +124,40 @@ def fill_layer(targets: DataFrame, known: DataFrame, keys: list[str], channels:
     offsets = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in _disc(radius)])).alias("o")
     asked = targets.select(*place, "u", *channels, offsets).select(*place, "u", *channels, "o.dy", "o.dx").withColumns({"ky": F.col("y") + F.col("dy"), "kx": F.col("x") + F.col("dx")})
     given = known.select(*keys, F.col("y").alias("ky"), F.col("x").alias("kx"), F.col("u").alias("ku"), *[F.col(c).alias(f"k{c}") for c in channels])
-    # at most the pixels of a disc
-    seen = F.collect_list(F.struct("dy", "dx", F.col("ku").alias("u"), *[F.col(f"k{c}").alias(c) for c in channels])).alias("seen")
-    each = asked.join(given, [*keys, "ky", "kx"]).groupBy(*place, "u", *channels).agg(seen).withColumns({"sy": _slope("y"), "sx": _slope("x")})
-
-    def weight(s: Column) -> Column:
-        square = (s["dy"] * s["dy"] + s["dx"] * s["dx"]).cast("double")
-        way = F.abs(s["dx"] * F.col("sx") + s["dy"] * F.col("sy"))
-        w = F.floor((way / (square * F.sqrt(square)) / (1 + F.abs(s["u"] - F.col("u"))) + SMALL) * SCALE)
-        return F.when(sum((F.when(s[c] == v, 1).otherwise(0) for c, v in zip(channels, skip, strict=True)), F.lit(0)) == len(channels), F.lit(0)).otherwise(w) if skip else w
-
-    weighed = each.withColumn("weighed", F.transform("seen", lambda s: F.struct(weight(s).cast("long").alias("w"), *[s[c].cast("long").alias(c) for c in channels])))
-    total = lambda f: F.aggregate("weighed", F.lit(0).cast("long"), lambda a, s: a + f(s))
-    weighed = weighed.withColumn("norm", total(lambda s: s["w"]))
-    mean = lambda c: F.when(F.col("norm") > 0, F.floor(total(lambda s: s["w"] * s[c]) / F.col("norm") + 0.5).cast("int")).otherwise(F.col(c)).alias(c)
+    # a window runs over the pixels of a disc
+    target = [*place, "u", *channels]
+    met = asked.join(large(given), [*keys, "ky", "kx"]).withColumns({f"s{axis}": _slope(axis, Window.partitionBy(*target)) for axis in ("y", "x")})
+    square = (F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).cast("double")
+    way = F.abs(F.col("dx") * F.col("sx") + F.col("dy") * F.col("sy"))
+    w = F.floor((way / (square * F.sqrt(square)) / (1 + F.abs(F.col("ku") - F.col("u"))) + SMALL) * SCALE)
+    if skip:
+        w = F.when(sum((F.when(F.col(f"k{c}") == v, 1).otherwise(0) for c, v in zip(channels, skip, strict=True)), F.lit(0)) == len(channels), F.lit(0)).otherwise(w)
+    sums = [F.sum(F.col("w") * F.col(f"k{c}")).alias(f"sum_{c}") for c in channels]
+    weighed = met.withColumn("w", w.cast("long")).groupBy(*target).agg(F.sum("w").alias("norm"), *sums)
+    mean = lambda c: F.when(F.col("norm") > 0, F.floor(F.col(f"sum_{c}") / F.col("norm") + 0.5).cast("int")).otherwise(F.col(c)).alias(c)
     filled = weighed.select(*place, "u", *[mean(c) for c in channels])
-    lonely = targets.select(*place, "u", *channels).join(filled.select(*place), place, "left_anti")
+    lonely = targets.select(*place, "u", *channels).join(large(filled.select(*place)), place, "left_anti")
     return filled.unionByName(lonely)
 
 
-def inpaint(pixels: DataFrame, mask: DataFrame, keys: list[str], channels: list[str], radius: int = RADIUS, skip: tuple[int, ...] | None = NO_COLOUR, tile: int = TILE) -> DataFrame:
+def inpaint(pixels: DataFrame, mask: DataFrame, keys: list[str], channels: list[str], radius: int = RADIUS, skip: tuple[int, ...] | None = NO_COLOUR, tile: int = TILE, layers: int | None = None) -> DataFrame:
     """(keys, y, x, u, layer, channels) of the mask's pixels, filled layer by layer from its edge inwards; a layer holds the times of one unit and sees those before it.
 
-    Only pixels within `radius` of the mask take part. Pixels that no front reaches keep their channels and have no layer.
+    Only pixels within `radius` of the mask take part. Pixels that no front reaches keep their channels and have no layer. With `layers` set, rows of later layers, on which those
+    before don't depend, are neither filled nor given.
     """
     place = [*keys, "y", "x"]
     times = materialise(arrivals(pixels, mask, keys, tile), "arrivals")
     near = times.select(*place)
     for axis in ("x", "y"):
         near = near.withColumn(axis, F.explode(F.sequence(F.col(axis) - radius, F.col(axis) + radius))).distinct()
-    cut = materialise(pixels.select(*place, *[F.col(c).cast("int").alias(c) for c in channels]).join(near, place, "left_semi"), "near")
-    known = cut.join(times.select(*place), place, "left_anti").withColumn("u", F.lit(0.0))
+    cut = materialise(pixels.select(*place, *[F.col(c).cast("int").alias(c) for c in channels]).join(large(near), place, "left_semi"), "near")
+    known = cut.join(large(times.select(*place)), place, "left_anti").withColumn("u", F.lit(0.0))
     known = materialise(known, "known")
-    open_ = materialise(cut.join(times, place).withColumn("layer", F.ceil("u").cast("int")), "open")
+    open_ = materialise(cut.join(large(times), place).withColumn("layer", F.ceil("u").cast("int")), "open")
     done = open_.where("layer IS NULL")
-    for layer in range(1, (open_.agg(F.max("layer")).first()[0] or 0) + 1):
+    last = open_.agg(F.max("layer")).first()[0] or 0
+    for layer in range(1, (last if layers is None else min(last, layers)) + 1):
         fresh = fill_layer(open_.where(F.col("layer") == layer), known, keys, channels, radius, skip)
         fresh = materialise(fresh, "layer")
         known = known.unionByName(fresh)

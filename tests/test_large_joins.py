@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomspan.operators import boxes
+from loomspan.operators import boxes, inpaint
 from loomspan.plans import catalog, kernel_queries  # noqa: F401 (registers queries)
 
 SF = "/root/testdata/sf0.001"
@@ -19,3 +19,21 @@ def test_box_joins_are_not_broadcast(spark):
 
 def test_occlusion_count_is_not_broadcast(spark):
     assert broadcasts(catalog.QUERIES["occlusion_count"](spark, SF)) == 0
+
+
+def test_a_layer_is_filled_without_broadcasts(spark):
+    near = spark.createDataFrame([(1, 0, 0, 0.0, 7), (1, 0, 1, 0.0, 9)], "img long, y long, x long, u double, r int")
+    target = spark.createDataFrame([(1, 0, 2, 1.0, 0), (1, 50, 50, 1.0, 3)], "img long, y long, x long, u double, r int")
+    filled = inpaint.fill_layer(target, near, ["img"], ["r"], skip=None)
+    assert broadcasts(filled) == 0 and {(q["y"], q["x"]): q["r"] for q in filled.collect()} == {(0, 2): 9, (50, 50): 3}
+
+
+def test_first_layers_alone_equal_those_of_the_whole_filling(spark, monkeypatch):
+    field = spark.range(400).selectExpr("1L AS img", "id DIV 20 AS y", "id % 20 AS x", "CAST(id * 37 % 256 AS INT) AS r")
+    mask = field.where("y BETWEEN 4 AND 15 AND x BETWEEN 4 AND 15").select("img", "y", "x")
+    whole = inpaint.inpaint(field, mask, ["img"], ["r"], skip=None)
+    filled, fill = [], inpaint.fill_layer
+    monkeypatch.setattr(inpaint, "fill_layer", lambda *a: filled.append(1) or fill(*a))
+    first = inpaint.inpaint(field, mask, ["img"], ["r"], skip=None, layers=2)
+    rows = lambda df: sorted(tuple(q) for q in df.collect())
+    assert len(filled) == 2 and rows(first) == rows(whole.where("layer <= 2")) and whole.agg({"layer": "max"}).first()[0] > 2
