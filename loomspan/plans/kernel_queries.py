@@ -10,7 +10,7 @@ from loomspan.operators import colour_filter, floods, inpaint, strokes
 from loomspan.plans.catalog import query
 from loomspan.plans.pixel_queries import GRAY, LAB, SOBEL, _gray
 from loomspan.plans.shapes import frame
-from loomspan.session import materialise
+from loomspan.session import large, materialise
 
 LOW, HIGH = 200, 350
 
@@ -152,7 +152,7 @@ def _mask(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     gray = _gray(spark, sf_dir)
     block = ["img", F.expr("y DIV 5").alias("by"), F.expr("x DIV 7").alias("bx")]
     dark = gray.groupBy(*block).agg(F.avg("v").alias("mean")).where("mean < 120")
-    mask = gray.select("y", "x", *block).join(dark, ["img", "by", "bx"], "left_semi").select("img", "y", "x")
+    mask = gray.select("y", "x", *block).join(large(dark), ["img", "by", "bx"], "left_semi").select("img", "y", "x")
     return frame(spark, sf_dir, "pixels").select("img", "y", "x", "r", "g", "b"), materialise(mask, "mask")
 
 
@@ -174,7 +174,7 @@ w AS (SELECT s.img, s.y, s.x, k.r, k.g, k.b, CASE WHEN k.r = 250 AND k.g = 254 A
 SELECT img, y, x, CAST(floor(CAST(sum(w * r) AS DOUBLE) / sum(w) + 0.5) AS INT) AS r, CAST(floor(CAST(sum(w * g) AS DOUBLE) / sum(w) + 0.5) AS INT) AS g, CAST(floor(CAST(sum(w * b) AS DOUBLE) / sum(w) + 0.5) AS INT) AS b FROM w GROUP BY ALL""")
 def inpainted_edge(spark, sf_dir):
     """The first layer of a filled mask, which sees only pixels outside it."""
-    return inpaint.inpaint(*_mask(spark, sf_dir), ["img"], ["r", "g", "b"]).where("layer = 1").select("img", "y", "x", "r", "g", "b")
+    return inpaint.inpaint(*_mask(spark, sf_dir), ["img"], ["r", "g", "b"], layers=1).where("layer = 1").select("img", "y", "x", "r", "g", "b")
 
 
 @query()
