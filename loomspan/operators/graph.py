@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.session import discard, materialise
+from loomspan.session import discard, large, materialise
 
 MAX_ROUNDS = 60
 
@@ -17,7 +17,7 @@ def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
     else:
         sides = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = sides.join(least, "u")
+    joined = sides.join(large(least), "u")
     if larger_only:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

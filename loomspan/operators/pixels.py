@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.operators.graph import connected_components
+from loomspan.session import large
 
 CROSS = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)]
 AROUND = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
@@ -39,14 +40,14 @@ def shifted(mask: DataFrame, keys: list[str], offsets: list[tuple[int, int]]) ->
 
 def dilated(mask: DataFrame, pixels: DataFrame, keys: list[str], offsets: list[tuple[int, int]] | None = None) -> DataFrame:
     """The pixels (keys, y, x) on or beside the mask."""
-    return shifted(mask, keys, offsets or CROSS).join(pixels.select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
+    return shifted(mask, keys, offsets or CROSS).join(large(pixels.select(*keys, "y", "x")), [*keys, "y", "x"], "left_semi")
 
 
 def eroded(mask: DataFrame, pixels: DataFrame, keys: list[str], offsets: list[tuple[int, int]] | None = None) -> DataFrame:
     """The pixels of the mask with no pixel outside it beside them; places outside the image don't count."""
     place = [*keys, "y", "x"]
-    outside = pixels.select(*place).join(mask.select(*place), place, "left_anti")
-    return mask.select(*place).join(shifted(outside, keys, offsets or CROSS), place, "left_anti")
+    outside = pixels.select(*place).join(large(mask.select(*place)), place, "left_anti")
+    return mask.select(*place).join(large(shifted(outside, keys, offsets or CROSS)), place, "left_anti")
 
 
 def components(mask: DataFrame, keys: list[str], pixel: str) -> DataFrame:
@@ -57,9 +58,9 @@ def components(mask: DataFrame, keys: list[str], pixel: str) -> DataFrame:
     ahead = [o for o in AROUND if o > (0, 0)]
     steps = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in ahead])).alias("p")
     near = mask.select(*keys, F.col(pixel).alias("a"), steps).select(*keys, "a", "p.y", "p.x")
-    edges = near.join(mask.select(*keys, "y", "x", F.col(pixel).alias("b")), [*keys, "y", "x"]).select("a", "b")
+    edges = near.join(large(mask.select(*keys, "y", "x", F.col(pixel).alias("b"))), [*keys, "y", "x"]).select("a", "b")
     found = connected_components(edges, "a", "b").select(F.col("node").alias(pixel), "component")
-    return mask.join(found, pixel, "left").withColumn("component", F.coalesce("component", pixel))
+    return mask.join(large(found), pixel, "left").withColumn("component", F.coalesce("component", pixel))
 
 
 def rings(mask: DataFrame, pixels: DataFrame, keys: list[str], most: int) -> DataFrame:
@@ -67,7 +68,7 @@ def rings(mask: DataFrame, pixels: DataFrame, keys: list[str], most: int) -> Dat
     offsets = [(dy, dx) for dy in range(-most, most + 1) for dx in range(-most, most + 1) if abs(dy) + abs(dx) <= most]
     near = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.lit(abs(dy) + abs(dx)).alias("ring")) for dy, dx in offsets])).alias("p")
     reached = mask.select(*keys, near).select(*keys, "p.*").groupBy(*keys, "y", "x").agg(F.min("ring").alias("ring")).where("ring > 0")
-    return reached.join(pixels.select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
+    return reached.join(large(pixels.select(*keys, "y", "x")), [*keys, "y", "x"], "left_semi")
 
 
 def thinned(gradients: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,7 +86,7 @@ def thinned(gradients: DataFrame, keys: list[str]) -> DataFrame:
     def beside(sign: int, name: str) -> DataFrame:
         own = marked.select(*place, (F.col("y") + sign * F.col("sy")).alias("ny"), (F.col("x") + sign * F.col("sx")).alias("nx"))
         other = marked.select(*keys, F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("m").alias(name))
-        return own.join(other, [*keys, "ny", "nx"]).select(*place, name)
+        return own.join(large(other), [*keys, "ny", "nx"]).select(*place, name)
 
-    both = marked.join(beside(-1, "before"), place, "left").join(beside(1, "after"), place, "left")
+    both = marked.join(large(beside(-1, "before")), place, "left").join(large(beside(1, "after")), place, "left")
     return both.where((F.col("m") >= F.coalesce("before", F.lit(0.0))) & (F.col("m") > F.coalesce("after", F.lit(0.0)))).select(*place, "m")

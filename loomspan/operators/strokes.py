@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspan.operators.boxes import box_pairs
 from loomspan.operators.pixels import components, thinned
-from loomspan.session import materialise
+from loomspan.session import large, materialise
 
 LONGEST = 35
 
@@ -17,10 +17,10 @@ LONGEST = 35
 def canny(gradients: DataFrame, keys: list[str], pixel: str, low: float, high: float) -> DataFrame:
     """(keys, y, x, m) of gradients (keys, y, x, pixel id, dx, dy): thin edges above `low` that hang together with one above `high`."""
     thin = thinned(gradients.select(*keys, "y", "x", "dx", "dy"), keys).where(F.col("m") > low)
-    named = thin.join(gradients.select(*keys, "y", "x", pixel), [*keys, "y", "x"])
+    named = thin.join(large(gradients.select(*keys, "y", "x", pixel)), [*keys, "y", "x"])
     found = materialise(components(named, keys, pixel), "edges")
     linked = found.where(F.col("m") > high).select("component").distinct()
-    return found.join(linked, "component", "left_semi").select(*keys, "y", "x", "m")
+    return found.join(large(linked), "component", "left_semi").select(*keys, "y", "x", "m")
 
 
 def _along(place: str, slope: str, step: Column) -> Column:
@@ -42,7 +42,7 @@ def rays(edges: DataFrame, keys: list[str], direction: int = 1, longest: int = L
     other = edges.select(*keys, *[F.col(c).alias(f"t{c}") for c in place], F.col("dx").alias("ex"), F.col("dy").alias("ey"))
     flat = lambda dx, dy: F.when((F.col(dx) == 0) & (F.col(dy) == 0), F.lit(1.0)).otherwise(F.col(dx))
     facing = flat("dx", "dy") * flat("ex", "ey") + F.col("dy") * F.col("ey")
-    met = at.join(other, [*keys, "ty", "tx"]).groupBy(*keys, *place, "dx", "dy").agg(F.min(F.struct("step", "ty", "tx", facing.alias("facing"))).alias("hit"))
+    met = at.join(large(other), [*keys, "ty", "tx"]).groupBy(*keys, *place, "dx", "dy").agg(F.min(F.struct("step", "ty", "tx", facing.alias("facing"))).alias("hit"))
     across, down = F.col("hit.tx") - F.col("x"), F.col("hit.ty") - F.col("y")
     return met.where("hit.facing < 0").select(*keys, *place, "dx", "dy", F.col("hit.step").alias("steps"), F.sqrt((across * across + down * down).cast("double")).alias("width"))
 
@@ -58,12 +58,12 @@ def stroke_widths(edges: DataFrame, keys: list[str], direction: int = 1, longest
     k = F.explode(F.sequence(F.lit(0), F.col("steps"))).alias("k")
     on = found.select(*keys, "y", "x", "dx", "dy", "width", k).withColumns({"py": _along("y", "dy", direction * F.col("k")), "px": _along("x", "dx", direction * F.col("k"))})
     first = materialise(on.groupBy(*keys, "py", "px").agg(F.min("width").alias("stroke")), "strokes")
-    behind = on.where("k > 0").select(*place, "py", "px").join(first, [*keys, "py", "px"])
+    behind = on.where("k > 0").select(*place, "py", "px").join(large(first), [*keys, "py", "px"])
     # a ray has fewer pixels than the longest stroke
     each = behind.groupBy(*place).agg(F.sort_array(F.collect_list("stroke")).alias("s"), F.collect_set(F.struct("py", "px")).alias("pixels"))
     offered = each.withColumn("median", F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1)).select(*keys, F.explode("pixels").alias("p"), "median")
     offered = offered.groupBy(*keys, F.col("p.py").alias("py"), F.col("p.px").alias("px")).agg(F.min("median").alias("median"))
-    out = first.join(offered, [*keys, "py", "px"], "left")
+    out = first.join(large(offered), [*keys, "py", "px"], "left")
     return out.select(*keys, F.col("py").alias("y"), F.col("px").alias("x"), F.least("stroke", F.coalesce("median", "stroke")).alias("stroke"))
 
 
@@ -84,7 +84,7 @@ def _jumps(mask: DataFrame, keys: list[str], levels: int) -> list[DataFrame]:
     out = [materialise(single.select(*keys, F.explode(F.array(F.lit(1), F.lit(-1))).alias("way"), "y", "x", "to"), "jumps")]
     for k in range(1, levels):
         ahead = out[-1].select(*keys, "way", (F.col("y") - F.col("way") * (1 << (k - 1))).alias("y"), F.col("x").alias("to"), F.col("to").alias("then"))
-        out.append(materialise(out[-1].join(ahead, [*keys, "way", "y", "to"]).select(*keys, "way", "y", "x", F.col("then").alias("to")), "jumps"))
+        out.append(materialise(out[-1].join(large(ahead), [*keys, "way", "y", "to"]).select(*keys, "way", "y", "x", F.col("then").alias("to")), "jumps"))
     return out
 
 
@@ -104,7 +104,7 @@ def separators(mask: DataFrame, gaps: DataFrame, keys: list[str]) -> DataFrame:
     jumps = _jumps(mask, keys, levels)
     for k in range(levels - 1, -1, -1):
         ahead = jumps[k].withColumnRenamed("y", "at")
-        walks = walks.join(ahead, [*keys, "way", "at", "x"], "left")
+        walks = walks.join(large(ahead), [*keys, "way", "at", "x"], "left")
         takes = F.col("to").isNotNull() & (F.col("left") >= (1 << k))
         walks = walks.withColumns({"at": F.when(takes, F.col("at") + F.col("way") * (1 << k)).otherwise(F.col("at")), "x": F.when(takes, F.col("to")).otherwise(F.col("x")), "left": F.when(takes, F.col("left") - (1 << k)).otherwise(F.col("left"))}).drop("to")
     return walks.groupBy(*row, "id", "goal", "mid").agg(F.sum(F.col("goal") - F.col("left")).alias("explored")).drop("y")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomspan.operators import boxes, inpaint
+from loomspan.operators import boxes, inpaint, pixels, strokes
 from loomspan.plans import catalog, kernel_queries  # noqa: F401 (registers queries)
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +37,11 @@ def test_first_layers_alone_equal_those_of_the_whole_filling(spark, monkeypatch)
     first = inpaint.inpaint(field, mask, ["img"], ["r"], skip=None, layers=2)
     rows = lambda df: sorted(tuple(q) for q in df.collect())
     assert len(filled) == 2 and rows(first) == rows(whole.where("layer <= 2")) and whole.agg({"layer": "max"}).first()[0] > 2
+
+
+def test_separators_and_edges_are_found_without_broadcasts(spark):
+    ink = spark.createDataFrame([(1, y, x) for y in range(9) for x in (0, 1, 3, 7)], "img long, y long, x long")
+    gaps = spark.createDataFrame([(1, 4, 4, 1, 7, 6)], "img long, y long, id long, x0 long, x1 long, goal long")
+    found = strokes.separators(ink, gaps, ["img"])
+    assert broadcasts(found) == 0 and [(q["id"], q["mid"], q["explored"]) for q in found.collect()] == [(4, 3, 8)]
+    assert broadcasts(pixels.components(ink.withColumn("p", F.expr("y * 40 + x")), ["img"], "p")) == 0
