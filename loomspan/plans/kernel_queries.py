@@ -26,7 +26,7 @@ edges AS (SELECT img, y, x, m, CAST(dx AS DOUBLE) AS dx, CAST(dy AS DOUBLE) AS d
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     gradients = materialise(px.sobel(_gray(spark, sf_dir), ["img"], "v").selectExpr("img * 1600 + y * 40 + x AS p", "img", "y", "x", "dx", "dy"), "gradients")
-    return materialise(strokes.canny(gradients, ["img"], "p", LOW, HIGH).join(gradients.drop("p"), ["img", "y", "x"]), "canny")
+    return materialise(strokes.canny(gradients, ["img"], "p", LOW, HIGH).join(large(gradients.drop("p")), ["img", "y", "x"]), "canny")
 
 
 @query(f"WITH RECURSIVE {CANNY} SELECT img, y, x, CAST(m AS DOUBLE) AS m FROM edges")
@@ -101,7 +101,7 @@ SELECT id, CAST(count(cuts.id) OVER (PARTITION BY img, y ORDER BY x0) AS BIGINT)
 def crawled_lines(spark, sf_dir):
     """Rows of letters cut where a vertical separator, found by walking through ink, stands between two of them."""
     cuts = _separators(spark, sf_dir).where("explored > goal").select("id", F.lit(1).alias("cut")).distinct()
-    letters = _letters(spark, sf_dir).join(cuts, "id", "left")
+    letters = _letters(spark, sf_dir).join(large(cuts), "id", "left")
     return letters.select("id", F.count("cut").over(Window.partitionBy("img", "y").orderBy("x0")).alias("part"))
 
 
