@@ -12,6 +12,8 @@ from loomspan.operators.pixels import components, thinned
 from loomspan.session import large, materialise
 
 LONGEST = 35
+#: So many steps all rays take before those that have met an edge are left out.
+FIRST_STEPS = 3
 
 
 def canny(gradients: DataFrame, keys: list[str], pixel: str, low: float, high: float) -> DataFrame:
@@ -34,15 +36,25 @@ def rays(edges: DataFrame, keys: list[str], direction: int = 1, longest: int = L
     """(keys, y, x, dx, dy, steps, width): the edge pixels whose ray along (direction 1) or against (-1) their gradient meets an edge of opposite gradient first.
 
     A ray takes up to longest - 1 steps of one pixel and ends at the first edge pixel it meets; it counts if both gradients are more than a right angle apart. A pixel without a
-    gradient looks to the right. Steps are generated rows that meet the edges in one equi-join on their place; a grouped minimum keeps each ray's first.
+    gradient looks to the right. Steps are generated rows that meet the edges in an equi-join on their place; a grouped minimum keeps each ray's first. The first steps go by
+    themselves, and only rays that have met nothing take the next ones, twice as many each time.
     """
     place = ["y", "x"]
-    steps = F.explode(F.sequence(F.lit(1), F.lit(longest - 1))).alias("step")
-    at = edges.select(*keys, *place, "dx", "dy", steps).withColumns({"ty": _along("y", "dy", direction * F.col("step")), "tx": _along("x", "dx", direction * F.col("step"))})
+    ray = [*keys, *place, "dx", "dy"]
     other = edges.select(*keys, *[F.col(c).alias(f"t{c}") for c in place], F.col("dx").alias("ex"), F.col("dy").alias("ey"))
     flat = lambda dx, dy: F.when((F.col(dx) == 0) & (F.col(dy) == 0), F.lit(1.0)).otherwise(F.col(dx))
     facing = flat("dx", "dy") * flat("ex", "ey") + F.col("dy") * F.col("ey")
-    met = at.join(large(other), [*keys, "ty", "tx"]).groupBy(*keys, *place, "dx", "dy").agg(F.min(F.struct("step", "ty", "tx", facing.alias("facing"))).alias("hit"))
+    open_, met, step, many = edges.select(*ray), None, 1, FIRST_STEPS
+    while met is None or step < longest:
+        last = min(step + many, longest) - 1
+        at = open_.withColumn("step", F.explode(F.filter(F.sequence(F.lit(step), F.lit(max(step, last))), lambda s: s <= last)))
+        at = at.withColumns({"ty": _along("y", "dy", direction * F.col("step")), "tx": _along("x", "dx", direction * F.col("step"))})
+        hits = at.join(large(other), [*keys, "ty", "tx"]).groupBy(*ray).agg(F.min(F.struct("step", "ty", "tx", facing.alias("facing"))).alias("hit"))
+        step, many = last + 1, many * 2
+        if step < longest:
+            hits = materialise(hits, "hits")
+            open_ = materialise(open_.join(large(hits.select(*ray)), ray, "left_anti"), "open")
+        met = hits if met is None else met.unionByName(hits)
     across, down = F.col("hit.tx") - F.col("x"), F.col("hit.ty") - F.col("y")
     return met.where("hit.facing < 0").select(*keys, *place, "dx", "dy", F.col("hit.step").alias("steps"), F.sqrt((across * across + down * down).cast("double")).alias("width"))
 

@@ -43,5 +43,14 @@ def test_separators_and_edges_are_found_without_broadcasts(spark):
     ink = spark.createDataFrame([(1, y, x) for y in range(9) for x in (0, 1, 3, 7)], "img long, y long, x long")
     gaps = spark.createDataFrame([(1, 4, 4, 1, 7, 6)], "img long, y long, id long, x0 long, x1 long, goal long")
     found = strokes.separators(ink, gaps, ["img"])
-    assert broadcasts(found) == 0 and [(q["id"], q["mid"], q["explored"]) for q in found.collect()] == [(4, 3, 8)]
+    assert broadcasts(found) == 0 and [(q["id"], q["mid"], q["explored"]) for q in found.orderBy("mid").collect()] == [(4, 1, 10), (4, 3, 10)]
     assert broadcasts(pixels.components(ink.withColumn("p", F.expr("y * 40 + x")), ["img"], "p")) == 0
+
+
+def test_rays_that_met_an_edge_take_no_more_steps(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, y, x, d, 0.0) for y in range(4) for x, d in ((2, 5.0), (4, -5.0), (30, 5.0), (60, -5.0))], "img long, y long, x long, dx double, dy double")
+    tables, write = {}, strokes.materialise
+    monkeypatch.setattr(strokes, "materialise", lambda df, name: tables.setdefault((name, len(tables)), write(df, name)))
+    found = strokes.rays(edges, ["img"])
+    assert broadcasts(found) == 0 and {(q["x"], q["steps"], q["width"]) for q in found.collect()} == {(2, 2, 2.0), (4, 2, 2.0), (30, 30, 30.0), (60, 30, 30.0)}
+    assert next(df.count() for (name, _), df in tables.items() if name == "open") == 8
