@@ -76,15 +76,30 @@ def wrap(lines: DataFrame, keys: list[str]) -> DataFrame:
 def letter_scores(letters: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, score): over clusters of touching letters, the upper median stroke times the root of the largest width, summed.
 
-    A stroke is no wider than the letter's pixels allow. Letters have ids of their own.
+    A stroke is no wider than the letter's pixels allow. Letters have ids of their own. One pass in the order of x0 finds runs whose letters hang together along x; where all letters of
+    a run share rows it is a cluster, and one row of it goes on. Only letters of other runs are met in pairs.
     """
-    pairs = near_pairs(letters, keys, reach=[1.0, 1.0]).where((shared("x") > -2) & (shared("y") > -2))
-    clusters = grouped(letters, pairs.select(F.col("id_l").alias("a"), F.col("id_r").alias("b")), "cluster")
-    stroke = F.least(F.col("thickness"), F.col("size") / F.least("width", "height"))
+    stroke = F.least(F.col("thickness"), F.col("size") / F.least("width", "height")).alias("stroke")
+    sound = F.coalesce((F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1")), F.lit(False))
+    for k in keys:
+        sound &= F.col(k).isNotNull()
+    rows = letters.select(*keys, "id", "x0", "x1", "y0", "y1", "width", stroke, sound.alias("sound"))
+    order = Window.partitionBy(*keys, "sound").orderBy("x0", "id")
+    reached = F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("fresh", F.when(reached - F.col("x0") > -2, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(*keys, "sound", "run")
+    rows = rows.withColumns({"even": F.col("sound") & (F.min("y1").over(run) - F.max("y0").over(run) > -2), "w": F.max("width").over(run), "n": F.count("stroke").over(run)})
+    rows = rows.withColumn("k", F.row_number().over(run.orderBy(F.col("stroke").asc_nulls_last(), "id"))).where("NOT even OR k = n DIV 2 + 1")
+    rows = materialise(rows.select(*keys, "id", "x0", "x1", "y0", "y1", "width", "stroke", "even", "w"), "runs")
+    even = rows.where("even").select(*keys, F.col("stroke").alias("median"), "w")
+
+    rest = rows.where("NOT even").drop("even", "w")
+    pairs = near_pairs(rest, keys, reach=[1.0, 1.0]).where((shared("x") > -2) & (shared("y") > -2))
+    clusters = grouped(rest, pairs.select(F.col("id_l").alias("a"), F.col("id_r").alias("b")), "cluster")
     # a cluster is a run of letters that touch, so its strokes fit one row
-    each = clusters.groupBy(*keys, "cluster").agg(F.sort_array(F.collect_list(stroke)).alias("s"), F.max("width").alias("w"))
-    median = F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1)
-    return each.groupBy(*keys).agg(F.sum(median * F.sqrt("w")).alias("score"))
+    each = clusters.groupBy(*keys, "cluster").agg(F.sort_array(F.collect_list("stroke")).alias("s"), F.max("width").alias("w"))
+    each = each.select(*keys, F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1).alias("median"), "w")
+    return even.unionByName(each).groupBy(*keys).agg(F.sum(F.col("median") * F.sqrt("w")).alias("score"))
 
 
 def direction_votes(lines: DataFrame, scores: DataFrame, group: str) -> DataFrame:
