@@ -12,7 +12,7 @@ from loomspan.operators.boxes import near_pairs, ratio, relative_gap, shared
 from loomspan.operators.graph import connected_components
 from loomspan.operators.sequences import gap_sessions
 from loomspan.operators.stats import otsu
-from loomspan.session import materialise
+from loomspan.session import discard, materialise
 
 #: Fixed values of the layout rules.
 THICKNESS_RATIO, HEIGHT_RATIO, LETTER_SIZE = 3.0, 2.5, 0.4
@@ -250,17 +250,20 @@ def build_regions(lines: DataFrame, letters: DataFrame, key: str) -> DataFrame:
     groups = grouped(found, overlap_edges(found, [key], 0.2), "group").select(F.col("id").alias("region"), "group", F.col("direction").alias("own"))
     votes = direction_votes(placed.join(groups, "region"), letter_scores(letters, ["line"]), "group")
     right = groups.join(votes, "group", "left").where("vote IS NULL OR vote = own").select("region")
-    placed = materialise(placed.join(right, "region", "left_semi"), "placed")
+    before, placed = placed, materialise(placed.join(right, "region", "left_semi"), "placed")
+    discard(before)
 
     found = materialise(boxes(placed), "regions")
     groups = grouped(ids(found).select("id"), continuation_edges(found, placed, [key], "region"), "group").withColumnRenamed("id", "region")
     joined = materialise(placed.join(groups, "region"), "placed")
+    discard(placed)
     even = spacing_deviation(joined, ["group"]).where("mad < 2").select("group", F.lit(True).alias("even"))
     placed = joined.join(even, "group", "left").withColumn("region", F.when(F.col("even"), F.col("group")).otherwise(F.col("region"))).drop("group", "even")
 
     parts = split_at_gaps(placed, ["region"]).drop("gap")
     first = F.min("id").over(Window.partitionBy("region", "part"))
     placed = materialise(parts.withColumn("first", first).drop("region", "part").withColumnRenamed("first", "region"), "placed")
+    discard(joined)
 
     found = materialise(ids(boxes(placed)), "regions")
     edges = materialise(overlap_edges(found, [key], COLUMN_BREAK), "overlaps")

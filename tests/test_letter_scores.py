@@ -2,8 +2,12 @@
 
 import math
 import random
+from pathlib import Path
 
 from loomspan.operators import regions
+from loomspan.plans import layout_queries
+from loomspan.plans.shapes import frame
+from loomspan.session import scratch_dir
 
 
 def plain(letters):
@@ -39,3 +43,10 @@ def test_scores_equal_all_pairs_and_even_lines_are_met_in_none(spark, monkeypatc
     frame = spark.createDataFrame([tuple(x.values()) for x in letters], schema)
     assert {q["line"]: round(q["score"], 6) for q in regions.letter_scores(frame, ["line"]).collect()} == plain(letters)
     assert {q["line"] % 2 for q in asked[0].select("line").distinct().collect()} == {1}
+
+
+def test_built_regions_leave_only_their_last_table_of_lines(spark):
+    lines = layout_queries.doubled_lines(frame(spark, "/root/testdata/sf0.001", "lines").where("img = 1"))
+    there = lambda: set(Path(scratch_dir(spark).removeprefix("file:")).glob("placed-*"))
+    before = there()
+    assert regions.build_regions(lines, layout_queries._line_letters(lines), "img").count() and len(there() - before) == 1
